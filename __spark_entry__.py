@@ -23,7 +23,7 @@ _ROOT = os.path.dirname(os.path.abspath(__file__))
 if _ROOT not in sys.path:
     sys.path.insert(0, _ROOT)
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 import oracle as O  # noqa: E402
 from fundflow.functions.money import to_output  # noqa: E402
@@ -103,8 +103,11 @@ def _rule_metrics(spark, ledger, lf, p):
 
 
 def _sink_daily(spark, lf):
+    """The daily metrics written as a month-partitioned parquet table and read back."""
     path = scratch_path(spark, "daily-metrics")
-    sinks.write_result(flows.daily_metrics(lf), path, partition_by=("date",))
+    daily = flows.daily_metrics(lf)
+    sinks.write_result(daily.withColumn("month", F.date_format("date", "yyyy-MM")), path,
+                       partition_by=("month",))
     return to_output(spark.read.parquet(path).select(
         "date", "nmfundo", "fonte", "daily_entries", "daily_exits", "daily_net_flow",
         "daily_operations", "avg_balance", "max_balance", "min_balance"))
@@ -268,10 +271,28 @@ SCENARIOS["kpi_alerts_empty"] = _sc("kpi_alerts", params=FilterParams(dt.date(19
 SCENARIOS["evolution_by_horizon_events"] = _sc("evolution_by_horizon", "events")
 
 
+_LEDGERS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def ledger_for(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
+    """The adapter's ledger DataFrame, built once per session and folder.
+
+    A DataFrame is an immutable plan (nothing is cached), so queries can
+    share it; this saves re-reading parquet footers and re-analysing the
+    adapter for every query.
+    """
+    key = (id(spark), sf_dir, adapter)
+    hit = _LEDGERS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, ADAPTERS[adapter](spark, sf_dir))
+        _LEDGERS[key] = hit
+    return hit[1]
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = SCENARIOS[name]
     configure(spark)
-    ledger = ADAPTERS[sc.adapter](spark, sf_dir)
+    ledger = ledger_for(spark, sf_dir, sc.adapter)
     lf = filters.apply_filters(ledger, sc.params)
     return sc.build(spark, ledger, lf, sc.params, sc.as_of or AS_OF[sc.adapter])
 

@@ -74,22 +74,25 @@ def fund_volumes(lf: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("operation_count"))
 
 
-def grand_total(volumes: DataFrame) -> DataFrame:
-    """A4: one-row total over all groups, taken before the positive-volume filter."""
-    return volumes.agg(F.sum("total_volume").alias("grand_total"))
+def grand_total(lf: DataFrame) -> DataFrame:
+    """A4: one-row total volume over all lines (= the sum over all groups,
+    taken before the positive-volume filter)."""
+    return lf.agg(F.sum(gross_volume()).alias("grand_total"))
 
 
 def concentration(lf: DataFrame) -> DataFrame:
     """A3 (+A4, J1, F9, C4): share of each (fund, custodian) in the total volume.
 
-    The total is a one-row aggregate joined to every group with a broadcast
+    The total is a one-row global aggregate over the lines (two money
+    columns, combined map-side) joined to every group with a broadcast
     nested-loop join (J1) -- a window ``sum() OVER ()`` would pull every
-    group into one partition instead.  Both branches read the same
-    aggregation, whose shuffle Spark reuses.
+    group into one partition instead.  Deriving the total from the grouped
+    result would not save the scan: column pruning makes the two branches'
+    aggregates differ, so their exchange is not reused.
     """
     v = fund_volumes(lf)
     pct = ratio(F.col("total_volume"), F.col("grand_total")) * 100
-    return (v.crossJoin(F.broadcast(grand_total(v)))
+    return (v.crossJoin(F.broadcast(grand_total(lf)))
             .filter(F.col("total_volume") > 0)
             .select(*FUND_KEYS, "total_volume", "operation_count",
                     rnd(pct, 2).alias("concentration_pct"),

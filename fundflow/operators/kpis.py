@@ -1,12 +1,16 @@
 """The KPI block (A10-A15) as one single-row DataFrame.
 
-One scan, one (tiny) shuffle: the extract is aggregated with GROUPING
-SETS ((date), (fund)) -- every line is counted once per set, partial
-aggregation runs before the shuffle, and the shuffle carries one row per
-date plus one per fund.  Totals, data-quality counts and the daily flow
-volatility come from the date set (every line has a date); the liquidity
-and concentration figures come from the fund set.  The three one-row
-results are cross joined (broadcast nested loop over single rows).
+The extract is aggregated once with GROUPING SETS ((date), (fund)):
+every line is counted once per set, partial aggregation runs before the
+shuffle, and the shuffle carries one row per date plus one per fund.  A
+single conditional aggregation over that result gives the whole row:
+totals, data-quality counts and the daily flow volatility from the date
+rows (every line has a date), liquidity and concentration from the fund
+rows.  Only the top-3 funds (O4) need a second, narrow read (fund and
+money columns) feeding a distributed top-k; its one row is cross joined
+(broadcast nested loop over single rows).  Keeping one consumer per
+branch matters: Catalyst pushes a set filter into the Expand, so several
+filtered consumers of one grouping-set aggregate would each rescan.
 
 The reference drops the NULL fund where it groups by fund in pandas
 (A11, A12) and keeps every line in row totals (A10, A13, A14).
@@ -75,33 +79,38 @@ def kpis(lf: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
     now = _ts(as_of)
     g = _grouped(ex, now)
     # grouping_id bit is set for the column *not* grouped: day set -> 1, fund set -> 2
-    days = g.filter(F.col("gid") == 1)
-    funds = g.filter((F.col("gid") == 2) & F.col("nmfundo").isNotNull())
-
-    totals = days.agg(
-        F.sum("n").alias("rows"), F.sum("e").alias("te"), F.sum("s").alias("ts"),
-        F.sum("nulls").alias("nulls"), F.sum("neg").alias("neg"), F.sum("future").alias("future"),
-        F.count(F.lit(1)).alias("ndays"),
-        F.stddev_samp(F.col("e") - F.col("s")).alias("day_std"))
-
+    day = F.col("gid") == 1
+    fund = (F.col("gid") == 2) & F.col("nmfundo").isNotNull()
     fmean = ratio(F.col("b"), F.col("n"))
     vol = F.abs(F.col("e")) + F.abs(F.col("s"))
-    fstats = funds.agg(
-        F.count(F.lit(1)).alias("nfunds"),
-        F.sum("bmin").alias("sum_min"),
-        F.sum(fmean).alias("sum_mean"),
-        F.min("bmin").alias("min_min"),
-        F.avg(fmean).alias("mean_mean"),
-        F.count_if(dbl(F.col("bmin")) < fmean * 0.1).alias("critical"),
-        F.sum(vol).alias("vtotal"),
-        F.max(vol).alias("vmax"),
-        F.sum(F.pow(dbl(vol), 2)).alias("vsq"))
+
+    def on(cond, c):
+        return F.when(cond, c)
+
+    stats = g.agg(
+        # date rows: A10 totals, A13 daily volatility, A14 counts
+        F.sum(on(day, F.col("n"))).alias("rows"),
+        F.sum(on(day, F.col("e"))).alias("te"),
+        F.sum(on(day, F.col("s"))).alias("ts"),
+        F.sum(on(day, F.col("nulls"))).alias("nulls"),
+        F.sum(on(day, F.col("neg"))).alias("neg"),
+        F.sum(on(day, F.col("future"))).alias("future"),
+        F.count_if(day).alias("ndays"),
+        F.stddev_samp(on(day, F.col("e") - F.col("s"))).alias("day_std"),
+        # fund rows (NULL fund excluded): A10 active funds, A11, A12
+        F.count_if(fund).alias("nfunds"),
+        F.sum(on(fund, F.col("bmin"))).alias("sum_min"),
+        F.sum(on(fund, fmean)).alias("sum_mean"),
+        F.min(on(fund, F.col("bmin"))).alias("min_min"),
+        F.avg(on(fund, fmean)).alias("mean_mean"),
+        F.count_if(fund & (dbl(F.col("bmin")) < fmean * 0.1)).alias("critical"),
+        F.sum(on(fund, vol)).alias("vtotal"),
+        F.max(on(fund, vol)).alias("vmax"),
+        F.sum(on(fund, F.pow(dbl(vol), 2))).alias("vsq"))
     # The three largest funds -- a distributed top-k, then one row
-    top3 = (funds.select(vol.alias("v")).orderBy(F.col("v").desc()).limit(3)
+    top3 = (g.filter(fund).select(vol.alias("v")).orderBy(F.col("v").desc()).limit(3)
             .agg(F.sum("v").alias("v3")))
-
-    row = totals.crossJoin(fstats).crossJoin(top3)
-    return row.select(*_kpi_columns(p, now))
+    return stats.crossJoin(top3).select(*_kpi_columns(p, now))
 
 
 def _kpi_columns(p: FilterParams, now: Column) -> list[Column]:

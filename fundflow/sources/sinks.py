@@ -15,7 +15,14 @@ from fundflow.session import scratch_path
 
 def write_result(df: DataFrame, path: str, mode: str = "overwrite",
                  partition_by: tuple[str, ...] | list[str] = (), fmt: str = "parquet",
-                 **options) -> str:
+                 cluster: bool = True, **options) -> str:
+    """Write ``df``; with ``partition_by`` the rows are first hash-clustered on
+    the partition columns so each partition value is written by one task
+    (one file per value instead of one per task and value).  Leave
+    ``cluster`` off for raw, skewed data where one value can hold a large
+    share of the rows."""
+    if partition_by and cluster:
+        df = df.repartition(*partition_by)
     writer = df.write.mode(mode).format(fmt).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
