@@ -29,10 +29,15 @@ def ledger_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def daily_metrics_stream(lines: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """A2 over a stream of ledger lines (append mode: one row per closed day)."""
-    day = F.window("dt_lancamento", "1 day")
-    agg = (lines.withWatermark("dt_lancamento", lateness)
-           .groupBy(day.alias("w"), "nmfundo", "fonte").agg(
+    """A2 over a stream of ledger lines (append mode: one row per closed day).
+
+    Watermarks need a zone-aware timestamp: the zone-less posting time is
+    read as UTC (``configure`` pins the session zone to UTC), so the
+    one-day windows are exactly the calendar dates of ``dt_lancamento``.
+    """
+    event = F.col("dt_lancamento").cast("timestamp")
+    agg = (lines.withColumn("_event", event).withWatermark("_event", lateness)
+           .groupBy(F.window("_event", "1 day").alias("w"), "nmfundo", "fonte").agg(
                F.sum(entrada()).alias("daily_entries"),
                F.sum(saida()).alias("daily_exits"),
                F.sum(flow()).alias("daily_net_flow"),
