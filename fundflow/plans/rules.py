@@ -189,16 +189,21 @@ def rule_metrics(fund_liquidity: DataFrame, lf: DataFrame) -> DataFrame:
 
 
 def rule_alerts(metrics: DataFrame, rules, as_of: dt.date) -> DataFrame:
-    """One alert row per (rule, fund) whose SQL condition holds."""
-    out = None
+    """One alert row per (rule, fund) whose SQL condition holds.
+
+    All rules are evaluated in one pass over the metrics: each fund row
+    carries an array with the rules that fire, which is exploded.  (One
+    filter per rule unioned together would recompute the metrics -- and
+    rescan the ledger -- once per rule.)
+    """
     cols = {c: F.col(c) for c in ("liquidity_ratio", "volume_concentration", "balance_volatility")}
     cols["fund_name"] = F.col("nmfundo")
-    for i, r in enumerate(rules):
-        hit = metrics.filter(F.expr(r["condition"])).select(
-            F.lit(i).alias("rule_order"), F.lit(r["name"]).alias("rule"),
-            F.lit(r["severity"]).alias("severity"), F.col("nmfundo").alias("fund"),
-            "liquidity_ratio", "volume_concentration", "balance_volatility",
-            render_template(r["message"], cols).alias("message"),
-            stamp(as_of).alias("timestamp"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    fired = [F.when(F.coalesce(F.expr(r["condition"]), F.lit(False)), F.struct(
+        F.lit(i).alias("rule_order"), F.lit(r["name"]).alias("rule"),
+        F.lit(r["severity"]).alias("severity"),
+        render_template(r["message"], cols).alias("message")))
+        for i, r in enumerate(rules)]
+    return (metrics.withColumn("_r", F.explode(F.array_compact(F.array(*fired))))
+            .select("_r.rule_order", "_r.rule", "_r.severity", F.col("nmfundo").alias("fund"),
+                    "liquidity_ratio", "volume_concentration", "balance_volatility",
+                    "_r.message", stamp(as_of).alias("timestamp")))

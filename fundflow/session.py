@@ -25,9 +25,34 @@ SQL_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+MB = 1 << 20
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB,
+               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+    """Shuffle / split sizing for a job reading ``input_bytes``.
+
+    The initial shuffle partition count is sized so that a shuffle of the
+    whole input (W1, the only operator that shuffles every line) lands at
+    about ``partition_bytes`` per task; AQE coalesces the small shuffles of
+    the pre-aggregated operators down to the advisory size and splits
+    skewed join partitions.
+    """
+    parts = max(min_partitions, min(max_partitions, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     for k, v in SQL_CONF.items():
         spark.conf.set(k, v)
+    if input_bytes:
+        for k, v in scale_conf(input_bytes).items():
+            spark.conf.set(k, v)
     return spark
 
 

@@ -26,6 +26,8 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("lancamento", T.StringType(), True),     # description
 ])
 LEDGER_COLUMNS = tuple(f.name for f in LEDGER_SCHEMA.fields)
+# partition key of a stored ledger (see sinks.write_ledger / readers.read_ledger)
+PARTITION_COLUMN = "dt_part"
 
 
 def _money(c: Column, source_type: T.DataType) -> Column:

@@ -10,15 +10,35 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fundflow.sources.contract import normalise
+from fundflow.sources.contract import PARTITION_COLUMN, normalise
 
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet",
-                rename: dict[str, str] | None = None, **options) -> DataFrame:
-    """Read a ledger stored as files (parquet by default)."""
-    return normalise(spark.read.format(fmt).options(**options).load(path), rename)
+                rename: dict[str, str] | None = None,
+                period: tuple[dt.date, dt.date] | None = None, **options) -> DataFrame:
+    """Read a ledger stored as files (parquet by default).
+
+    For a ledger written by ``sinks.write_ledger`` (partitioned by
+    ``dt_part``), ``period=(start, end)`` prunes whole partitions before any
+    file is opened; the exact period filter (F1) is still applied later.
+    """
+    raw = spark.read.format(fmt).options(**options).load(path)
+    if period is not None and PARTITION_COLUMN in raw.columns:
+        raw = raw.filter(partition_filter(raw, *period))
+    return normalise(raw, rename)
+
+
+def partition_filter(raw: DataFrame, start: dt.date, end: dt.date) -> F.Column:
+    """Partition-key range covering calendar dates ``start..end``.
+
+    Keys are ``yyyy-MM`` (monthly layout) or ``yyyy-MM-dd`` (daily); both
+    sort as text, and a month key sorts just before its own days.
+    """
+    part = F.col(PARTITION_COLUMN).cast("string")
+    lower = (part >= F.lit(start.strftime("%Y-%m-%d"))) | (part == F.lit(start.strftime("%Y-%m")))
+    return lower & (part <= F.lit(end.strftime("%Y-%m-%d")))
 
 
 def read_ledger_table(spark: SparkSession, name: str,

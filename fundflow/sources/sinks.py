@@ -8,9 +8,10 @@ Intermediates that several jobs reuse are materialised under the shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundflow.session import scratch_path
+from fundflow.sources.contract import PARTITION_COLUMN
 
 
 def write_result(df: DataFrame, path: str, mode: str = "overwrite",
@@ -30,6 +31,27 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite",
     return path
 
 
+def write_ledger(ledger: DataFrame, path: str, granularity: str = "month",
+                 num_files: int | None = None, mode: str = "overwrite") -> str:
+    """Store a ledger for fast period / fund queries.
+
+    * partitioned by ``dt_part`` (``yyyy-MM`` or ``yyyy-MM-dd``), so a period
+      filter prunes whole directories;
+    * range-partitioned on the posting time (Spark samples the keys), so
+      every write task gets an even slice of time whatever the fund skew
+      and touches only a few partition directories;
+    * sorted by fund then time inside each file, so parquet row-group
+      statistics let fund filters skip most row groups.
+    """
+    fmt = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}[granularity]
+    n = num_files or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = (ledger.withColumn(PARTITION_COLUMN, F.date_format("dt_lancamento", fmt))
+           .repartitionByRange(n, "dt_lancamento")
+           .sortWithinPartitions(PARTITION_COLUMN, "nmfundo", "dt_lancamento"))
+    out.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+    return path
+
+
 def write_result_table(df: DataFrame, name: str, mode: str = "overwrite",
                        partition_by: tuple[str, ...] | list[str] = ()) -> str:
     writer = df.write.mode(mode)

@@ -57,6 +57,22 @@ def test_parquet_reader_and_sink_roundtrip(spark, micro):
     assert [r.id_origem for r in lf.collect()] == [8]
 
 
+def test_stored_ledger_prunes_partitions(spark, micro):
+    path = scratch_path(spark, "ledger-store")
+    sinks.write_ledger(micro, path, granularity="day", num_files=2)
+    p = FilterParams(dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    led = readers.read_ledger(spark, path, period=(p.start_date, p.end_date))
+    lf = filters.apply_filters(led, p)
+    plan = spark._jvm.PythonSQLUtils.explainString(lf._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(dt_part" in plan
+    assert sorted(r.id_origem for r in lf.collect()) == [2, 3, 5]
+    assert sorted(r.id_origem for r in led.collect()) == [2, 3, 5]  # pruned to two days
+    monthly = scratch_path(spark, "ledger-store-m")
+    sinks.write_ledger(micro, monthly)
+    led = readers.read_ledger(spark, monthly, period=(dt.date(2024, 2, 1), dt.date(2024, 2, 29)))
+    assert [r.id_origem for r in led.collect()] == [8]
+
+
 def test_materialise(spark, micro_lf):
     m = sinks.materialise(spark, flows.daily_metrics(micro_lf), "daily")
     assert m.count() == flows.daily_metrics(micro_lf).count()
@@ -200,3 +216,11 @@ def test_streaming_sink_to_parquet(spark, micro):
     # append mode: a day is emitted once the watermark (max time - 2 days) passes it
     days = {r.date for r in spark.read.parquet(out).select("date").collect()}
     assert dt.date(2024, 1, 1) in days and dt.date(2024, 2, 1) not in days
+
+
+def test_scale_conf():
+    from fundflow.session import scale_conf
+    c = scale_conf(100 * 2 ** 40)  # 100 TiB: 409 600 splits of 256 MiB, capped
+    assert c["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10 * 2 ** 20)["spark.sql.shuffle.partitions"] == "200"
+    assert scale_conf(1 << 40)["spark.sql.shuffle.partitions"] == "4096"
