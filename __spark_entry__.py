@@ -116,7 +116,7 @@ def _sink_daily(spark, lf):
 B = {
     "extract": lambda s, led, lf, p, a: to_output(X.extract(lf)),
     "extract_limited": lambda s, led, lf, p, a: to_output(X.extract(lf, p.limit)),
-    "extract_enriched": lambda s, led, lf, p, a: to_output(X.enriched_extract(lf)),
+    "extract_enriched": lambda s, led, lf, p, a: to_output(X.enriched_extract(lf, p.limit)),
     "available_funds": lambda s, led, lf, p, a: filters.available_funds(led),
     "available_custodians": lambda s, led, lf, p, a: filters.available_custodians(led),
     "fund_search": lambda s, led, lf, p, a: filters.fund_search(filters.available_funds(led), "ion_1"),
@@ -151,13 +151,15 @@ B = {
     "kpi_data_quality": lambda s, led, lf, p, a: K.kpi_part(_kpis(lf, p, a), K.QUALITY),
     "kpi_alerts": lambda s, led, lf, p, a: L.kpi_alerts(_kpis(lf, p, a)),
     "extract_metrics": lambda s, led, lf, p, a: to_output(
-        breakdowns.extract_metrics(X.enriched_extract(lf))),
+        breakdowns.extract_metrics(X.enriched_extract(lf, p.limit))),
     "extract_metrics_display": lambda s, led, lf, p, a: breakdowns.extract_metrics_display(
-        breakdowns.extract_metrics(X.enriched_extract(lf))),
+        breakdowns.extract_metrics(X.enriched_extract(lf, p.limit))),
     "category_breakdown": lambda s, led, lf, p, a: to_output(
-        breakdowns.category_breakdown(X.enriched_extract(lf))),
+        breakdowns.category_breakdown(X.enriched_extract(lf, p.limit))),
     "custodian_comparison": lambda s, led, lf, p, a: to_output(
-        breakdowns.custodian_comparison(X.enriched_extract(lf))),
+        breakdowns.custodian_comparison(X.enriched_extract(lf, p.limit))),
+    "concentration_display": lambda s, led, lf, p, a: breakdowns.concentration_display(
+        flows.concentration(lf)),
     "rule_fund_liquidity": lambda s, led, lf, p, a: _pack(s, led, p, "fund_liquidity_metrics"),
     "rule_daily_metrics": lambda s, led, lf, p, a: _pack(s, led, p, "daily_metrics"),
     "rule_volume_concentration": lambda s, led, lf, p, a: flows.volume_concentration(lf),
@@ -211,6 +213,7 @@ Q = {
     "extract_metrics_display": O.extract_metrics_display,
     "category_breakdown": O.category_breakdown,
     "custodian_comparison": O.custodian_comparison,
+    "concentration_display": O.concentration_display,
     "rule_fund_liquidity": O.rule_fund_liquidity,
     "rule_daily_metrics": O.rule_daily_metrics,
     "rule_volume_concentration": O.rule_volume_concentration,
@@ -264,6 +267,8 @@ SCENARIOS["kpis_four_funds_recent"] = _sc("kpis", params=since(
 SCENARIOS["kpi_alerts_four_funds_recent"] = _sc("kpi_alerts", params=since(
     "orders", dt.date(2001, 7, 25), funds=THREE_NATIONS + ("NATION_3",)))
 SCENARIOS["kpis_limited"] = _sc("kpis", params=full("orders", limit=MAX_RECORDS_DISPLAY))
+for op in ("extract_enriched", "extract_metrics", "category_breakdown", "custodian_comparison"):
+    SCENARIOS[f"{op}_limited"] = _sc(op, params=full("orders", limit=MAX_RECORDS_DISPLAY))
 SCENARIOS["kpis_future_events"] = _sc("kpis", "events", as_of=dt.date(2024, 1, 15))
 SCENARIOS["kpis_empty"] = _sc("kpis", params=FilterParams(dt.date(1990, 1, 1), dt.date(1990, 1, 31)))
 SCENARIOS["kpi_alerts_empty"] = _sc("kpi_alerts", params=FilterParams(dt.date(1990, 1, 1),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fundflow.functions import classify as C
-from fundflow.functions.formatting import currency_br
+from fundflow.functions.formatting import currency_br, percent_br
 
 TOP_CONCENTRATION = 10
 
@@ -55,3 +55,11 @@ def concentration_top10(a3: DataFrame, n: int = TOP_CONCENTRATION) -> DataFrame:
     """O3: the ``n`` largest shares (ties broken by fund, custodian)."""
     return a3.orderBy(F.col("concentration_pct").desc(), F.col("nmfundo").asc_nulls_first(),
                       F.col("fonte").asc_nulls_first()).limit(n)
+
+
+def concentration_display(a3: DataFrame) -> DataFrame:
+    """A3 rows as the concentration table shows them (BR currency and percent)."""
+    return a3.select("nmfundo", "fonte",
+                     currency_br(F.col("total_volume")).alias("total_volume"),
+                     percent_br(F.col("concentration_pct")).alias("concentration_pct"),
+                     "concentration_level")

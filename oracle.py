@@ -143,7 +143,7 @@ def enriched_cte(limit=None):
 
 
 def extract_enriched(adapter, p, as_of):
-    return base(adapter, p, enriched_cte()) + """
+    return base(adapter, p, enriched_cte(p.limit)) + """
 SELECT id_origem, fonte, id_carteira, nmfundo, cnpj, dt_lancamento,
   CAST(entrada AS DOUBLE) AS entrada, CAST(saida AS DOUBLE) AS saida,
   CAST(saldo AS DOUBLE) AS saldo, lancamento, CAST(valor AS DOUBLE) AS valor,
@@ -543,7 +543,7 @@ def kpi_alerts(adapter, p, as_of):
 # --------------------------------------------------------------------------- breakdowns
 
 def extract_metrics(adapter, p, as_of):
-    return base(adapter, p, enriched_cte()) + """
+    return base(adapter, p, enriched_cte(p.limit)) + """
 SELECT CAST(COALESCE(SUM(valor) FILTER (WHERE tipo_lancamento = 'Crédito'), 0) AS DOUBLE) AS creditos,
   CAST(ABS(COALESCE(SUM(valor) FILTER (WHERE tipo_lancamento = 'Débito'), 0)) AS DOUBLE) AS debitos,
   CAST(COALESCE(SUM(valor), 0) AS DOUBLE) AS saldo_final,
@@ -564,15 +564,26 @@ def extract_metrics_display(adapter, p, as_of):
 FROM ({extract_metrics(adapter, p, as_of)}) m"""
 
 
+def _pct_br(expr: str) -> str:
+    return (f"CASE WHEN {expr} IS NULL OR isnan({expr}) THEN '0,00%' ELSE "
+            f"replace(printf('%.2f', {expr}), '.', ',') || '%' END")
+
+
+def concentration_display(adapter, p, as_of):
+    return base(adapter, p, A3_CTE) + f"""
+SELECT nmfundo, fonte, {_brl("total_volume")} AS total_volume,
+  {_pct_br("concentration_pct")} AS concentration_pct, concentration_level FROM a3"""
+
+
 def category_breakdown(adapter, p, as_of):
-    return base(adapter, p, enriched_cte()) + """
+    return base(adapter, p, enriched_cte(p.limit)) + """
 SELECT categoria, CAST(SUM(valor) AS DOUBLE) AS valor_sum, COUNT(valor) AS valor_count,
   CAST(ABS(SUM(valor)) AS DOUBLE) AS valor_abs
 FROM en GROUP BY categoria"""
 
 
 def custodian_comparison(adapter, p, as_of):
-    return base(adapter, p, enriched_cte()) + """
+    return base(adapter, p, enriched_cte(p.limit)) + """
 SELECT fonte, CAST(SUM(valor) AS DOUBLE) AS valor, CAST(ABS(SUM(valor)) AS DOUBLE) AS valor_abs,
   COUNT(DISTINCT nmfundo) AS n_funds
 FROM en WHERE fonte IS NOT NULL GROUP BY fonte"""
