@@ -41,7 +41,7 @@ ALERT_COLUMNS = ("type", "severity", "fund", "message", "value", "timestamp", "m
 
 
 def stamp(as_of: dt.date) -> Column:
-    return F.lit(dt.datetime(as_of.year, as_of.month, as_of.day)).cast(T.TimestampNTZType())
+    return F.lit(as_of).cast(T.TimestampNTZType())  # zone-free midnight
 
 
 def _meta(**cols: Column) -> Column:

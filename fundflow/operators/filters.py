@@ -24,7 +24,9 @@ FUND_LIST_LIMIT = 1000
 
 
 def _ts(d: dt.date) -> F.Column:
-    return F.lit(dt.datetime(d.year, d.month, d.day)).cast(T.TimestampNTZType())
+    # a DATE literal cast to timestamp_ntz is midnight with no time-zone step
+    # (a Python datetime literal would pass through the driver's local zone)
+    return F.lit(d).cast(T.TimestampNTZType())
 
 
 def period(ledger: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

@@ -55,7 +55,7 @@ QUALITY = ("data_quality_score",)
 
 
 def _ts(d: dt.date) -> Column:
-    return F.lit(dt.datetime(d.year, d.month, d.day)).cast(T.TimestampNTZType())
+    return F.lit(d).cast(T.TimestampNTZType())  # zone-free midnight
 
 
 def _grouped(ex: DataFrame, now: Column) -> DataFrame:
