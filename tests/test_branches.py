@@ -177,3 +177,35 @@ def test_registered_scenarios_cover_branches():
     for n in ("liquidity_status_45d", "concentration_metrics_alto", "kpis_one_fund",
               "kpis_future_events", "kpis_empty", "rule_alerts_45d"):
         assert n in names
+
+
+def test_w1_spreads_a_hot_fund(spark):
+    """One fund holding a third of the lines is not sorted in a single task."""
+    from pyspark.sql import Window
+    led = events_ledger(spark, SF_MID)
+    # derived from the events table: every third user books into one fund
+    hot = led.withColumn("nmfundo", F.when(F.col("id_carteira") % 3 == 0, F.lit("HOT"))
+                         .otherwise(F.col("nmfundo")))
+    p = FilterParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    x = lf(hot, p)
+    share = x.filter(F.col("nmfundo") == "HOT").count() / x.count()
+    assert 0.25 < share < 0.45
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ours = flows.balance_evolution(x)
+        # keep previous_balance referenced, or Catalyst prunes the window away
+        per_task = (ours.filter(F.col("nmfundo") == "HOT")
+                    .withColumn("pid", F.spark_partition_id())
+                    .groupBy("pid").agg(F.count("previous_balance").alias("n")).collect())
+        sizes = sorted(r.n for r in per_task)
+        assert len(sizes) >= 6 and sizes[-1] < 0.35 * sum(sizes)  # of 8 shuffle partitions
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    bal = F.coalesce("saldo", F.lit(0).cast("decimal(18,2)"))
+    plain = x.select("nmfundo", "fonte", F.to_date("dt_lancamento").alias("date"),
+                     bal.alias("balance"),
+                     F.lag(bal).over(Window.partitionBy("nmfundo")
+                                     .orderBy("dt_lancamento", "id_origem")).alias("previous_balance"))
+    ours = ours.select("nmfundo", "fonte", "date", "balance", "previous_balance")
+    assert plain.exceptAll(ours).count() == 0 and ours.exceptAll(plain).count() == 0
