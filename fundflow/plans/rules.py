@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -148,6 +149,29 @@ def bind_template(template: str, p: FilterParams) -> tuple[str, list]:
     return sql, args
 
 
+def adapt_template(sql: str, source: str, population_stddev: bool = True) -> str:
+    """Turn a MySQL-style pack query into this module's template form.
+
+    ``%s`` markers become ``?``, the statement view named ``source`` becomes
+    the ``{ledger}`` DataFrame, and -- MySQL's ``STDDEV`` being the
+    population deviation -- ``STDDEV(`` becomes ``stddev_pop(``.  Nothing
+    else is rewritten; the text must otherwise be valid Spark SQL (``DATE(x)``,
+    ``COALESCE``, ``BETWEEN`` ... are).
+    """
+    out = re.sub(re.escape(source), "{ledger}", sql, flags=re.IGNORECASE)
+    out = out.replace("%s", "?")
+    if population_stddev:
+        out = re.sub(r"\bSTDDEV\s*\(", "stddev_pop(", out, flags=re.IGNORECASE)
+    return out
+
+
+def adapt_pack(pack: dict, source: str) -> dict:
+    """A rule pack whose queries went through ``adapt_template``."""
+    out = dict(pack)
+    out["queries"] = {k: adapt_template(v, source) for k, v in (pack.get("queries") or {}).items()}
+    return out
+
+
 @dataclass
 class CustomAnalysis:
     frames: dict[str, DataFrame] = field(default_factory=dict)

@@ -224,3 +224,21 @@ def test_scale_conf():
     assert c["spark.sql.shuffle.partitions"] == "100000"
     assert scale_conf(10 * 2 ** 20)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(1 << 40)["spark.sql.shuffle.partitions"] == "4096"
+
+
+def test_adapt_mysql_style_pack(spark, micro):
+    pack = {"queries": {"per_fund": """
+        SELECT nmfundo, SUM(COALESCE(entrada, 0)) AS e, STDDEV(COALESCE(entrada, 0)) AS sd
+        FROM WAREHOUSE.statement_lines
+        WHERE DATE(dt_lancamento) BETWEEN %s AND %s
+        {fund_filter}
+        {custodian_filter}
+        GROUP BY nmfundo"""}}
+    adapted = rules.adapt_pack(pack, "WAREHOUSE.statement_lines")
+    q = adapted["queries"]["per_fund"]
+    assert "{ledger}" in q and "%s" not in q and "stddev_pop(" in q
+    p = FilterParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31), custodians=("btg",))
+    res = rules.run_custom_analysis(spark, micro, adapted["queries"], p)
+    assert not res.errors
+    got = {r.nmfundo: (float(r.e), r.sd) for r in res.frames["per_fund"].collect()}
+    assert got["Alfa"] == (100.0, 50.0) and got["Beta"] == (400.0, 100.0)
