@@ -83,17 +83,17 @@ def grand_total(lf: DataFrame) -> DataFrame:
 def concentration(lf: DataFrame) -> DataFrame:
     """A3 (+A4, J1, F9, C4): share of each (fund, custodian) in the total volume.
 
-    The total is a one-row global aggregate over the lines (two money
-    columns, combined map-side) joined to every group with a broadcast
-    nested-loop join (J1) -- a window ``sum() OVER ()`` would pull every
-    group into one partition instead.  Deriving the total from the grouped
-    result would not save the scan: column pruning makes the two branches'
-    aggregates differ, so their exchange is not reused.
+    The total (J1's one-row side) is a global aggregate over the lines (two
+    money columns, combined map-side) used as an uncorrelated scalar
+    subquery: Spark computes it once and inlines the value, so no join is
+    planned -- and no ``sum() OVER ()`` window pulls every group into one
+    partition.  Deriving the total from the grouped result would not save
+    the scan: column pruning makes the two branches' aggregates differ, so
+    their exchange is not reused.
     """
     v = fund_volumes(lf)
-    pct = ratio(F.col("total_volume"), F.col("grand_total")) * 100
-    return (v.crossJoin(F.broadcast(grand_total(lf)))
-            .filter(F.col("total_volume") > 0)
+    pct = ratio(F.col("total_volume"), grand_total(lf).scalar()) * 100
+    return (v.filter(F.col("total_volume") > 0)
             .select(*FUND_KEYS, "total_volume", "operation_count",
                     rnd(pct, 2).alias("concentration_pct"),
                     C.concentration_level(pct).alias("concentration_level")))

@@ -7,8 +7,8 @@ single conditional aggregation over that result gives the whole row:
 totals, data-quality counts and the daily flow volatility from the date
 rows (every line has a date), liquidity and concentration from the fund
 rows.  Only the top-3 funds (O4) need a second, narrow read (fund and
-money columns) feeding a distributed top-k; its one row is cross joined
-(broadcast nested loop over single rows).  Keeping one consumer per
+money columns) feeding a distributed top-k; its single value is attached
+as a scalar subquery.  Keeping one consumer per
 branch matters: Catalyst pushes a set filter into the Expand, so several
 filtered consumers of one grouping-set aggregate would each rescan.
 
@@ -107,10 +107,11 @@ def kpis(lf: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
         F.sum(on(fund, vol)).alias("vtotal"),
         F.max(on(fund, vol)).alias("vmax"),
         F.sum(on(fund, F.pow(dbl(vol), 2))).alias("vsq"))
-    # The three largest funds -- a distributed top-k, then one row
+    # The three largest funds -- a distributed top-k, then one value
+    # attached as a scalar subquery
     top3 = (g.filter(fund).select(vol.alias("v")).orderBy(F.col("v").desc()).limit(3)
             .agg(F.sum("v").alias("v3")))
-    return stats.crossJoin(top3).select(*_kpi_columns(p, now))
+    return stats.withColumn("v3", top3.scalar()).select(*_kpi_columns(p, now))
 
 
 def _kpi_columns(p: FilterParams, now: Column) -> list[Column]:

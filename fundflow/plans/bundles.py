@@ -83,12 +83,12 @@ def analyze_concentration(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresho
     per_fund = status.concentration_metrics(a3, t)
     alerts = L.concentration_alerts(per_fund, as_of)
     sev = F.col("severity")
-    fund_counts = per_fund.agg(
+    fund_counts = per_fund.select(F.struct(
         F.count(F.lit(1)).alias("n"),
         F.count_if(sev == C.CRITICAL).alias("crit"),
-        F.count_if(sev == C.WARNING).alias("warn"))
+        F.count_if(sev == C.WARNING).alias("warn")))
     ok = F.col("total_funds") > 0
-    counts = overall.crossJoin(fund_counts).select(
+    counts = overall.withColumn("_fc", fund_counts.scalar()).select("*", "_fc.*").select(
         ok.alias("success"),
         (F.col("n") + F.when(ok, 1).otherwise(0)).alias("metric_count"),
         F.col("crit").alias("critical_count"),
@@ -107,11 +107,11 @@ def analyze_balance_evolution(lf: DataFrame, as_of: dt.date,
     evo = evolution.balance_pct_change(lf)
     metrics = evolution.evolution_metrics(evo, t)
     alerts = L.evolution_alerts(metrics, as_of, t.evolution_variation)
-    has_rows = evo.agg((F.count(F.lit(1)) > 0).alias("success"))
+    has_rows = evo.select(F.count(F.lit(1)) > 0)
     warn = F.abs(F.col("total_variation")) > t.evolution_variation
     m = metrics.agg(F.count(F.lit(1)).alias("metric_count"),
                     F.count_if(warn).alias("alert_count"))
-    counts = has_rows.crossJoin(m).select(
+    counts = m.withColumn("success", has_rows.scalar()).select(
         "success", "metric_count", F.lit(0).cast("long").alias("critical_count"),
         F.col("alert_count").alias("warning_count"), "alert_count",
         F.lit(None).cast("double").alias("max_value"))

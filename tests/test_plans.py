@@ -50,8 +50,15 @@ def test_kpis_scan_ledger_twice_at_most(spark):
     assert p.count("Expand [") == 2
 
 
-def test_concentration_grand_total_is_broadcast_single_row(spark):
+def test_concentration_grand_total_is_a_scalar_subquery(spark):
     p = plan(QUERIES["concentration"](spark, SF_SMALL))
-    assert "BroadcastNestedLoopJoin" in p
+    assert "Subquery" in p
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
     # grouped branch + narrow grand-total branch
     assert p.count("orders.parquet") == 2
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cartesian_products(spark, name):
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
