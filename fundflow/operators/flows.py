@@ -91,8 +91,8 @@ def concentration(lf: DataFrame) -> DataFrame:
     the scan: column pruning makes the two branches' aggregates differ, so
     their exchange is not reused.
     """
-    v = fund_volumes(lf)
-    pct = ratio(F.col("total_volume"), grand_total(lf).scalar()) * 100
+    v = fund_volumes(lf).withColumn("_total", grand_total(lf).scalar())
+    pct = ratio(F.col("total_volume"), F.col("_total")) * 100
     return (v.filter(F.col("total_volume") > 0)
             .select(*FUND_KEYS, "total_volume", "operation_count",
                     rnd(pct, 2).alias("concentration_pct"),
