@@ -17,7 +17,6 @@ import datetime as dt
 import os
 import sys
 from collections.abc import Callable
-from dataclasses import dataclass
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 if _ROOT not in sys.path:
@@ -25,7 +24,7 @@ if _ROOT not in sys.path:
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
-import oracle as O  # noqa: E402
+import fundflow_oracle as O  # noqa: E402
 from fundflow.functions.money import to_output  # noqa: E402
 from fundflow.operators import (  # noqa: E402
     alerts as L, breakdowns, evolution, extract as X, filters, flows, kpis as K, status,
@@ -55,13 +54,22 @@ def since(adapter: str, start: dt.date, **kw) -> FilterParams:
     return FilterParams(start, AS_OF[adapter], **kw)
 
 
-@dataclass(frozen=True)
 class Scenario:
-    adapter: str
-    params: FilterParams
-    build: Callable  # (spark, ledger, lf, params, as_of) -> DataFrame
-    sql: Callable | None  # (adapter, params, as_of) -> str
-    as_of: dt.date | None = None
+    """A registered query: adapter, parameters, Spark builder and oracle SQL builder.
+
+    (A plain class: this file may be loaded without being registered in
+    ``sys.modules``, which dataclasses with string annotations require.)
+    """
+
+    __slots__ = ("adapter", "params", "build", "sql", "as_of")
+
+    def __init__(self, adapter: str, params: FilterParams, build: Callable,
+                 sql: Callable | None, as_of: dt.date | None = None):
+        self.adapter = adapter
+        self.params = params
+        self.build = build  # (spark, ledger, lf, params, as_of) -> DataFrame
+        self.sql = sql  # (adapter, params, as_of) -> str
+        self.as_of = as_of
 
 
 # ----------------------------------------------------------------------------- builders
