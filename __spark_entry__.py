@@ -29,7 +29,9 @@ from fundflow.functions.money import to_output  # noqa: E402
 from fundflow.operators import (  # noqa: E402
     alerts as L, breakdowns, evolution, extract as X, filters, flows, kpis as K, status,
 )
-from fundflow.params import EVOLUTION_HORIZONS, MAX_RECORDS_DISPLAY, FilterParams  # noqa: E402
+from fundflow.params import (  # noqa: E402
+    EVOLUTION_HORIZONS, MAX_RECORDS_DISPLAY, FilterParams, period_filter,
+)
 from fundflow.plans import bundles, rules  # noqa: E402
 from fundflow.sources import sinks  # noqa: E402
 from fundflow.sources.adapters import ADAPTERS  # noqa: E402
@@ -46,8 +48,8 @@ def full(adapter: str, **kw) -> FilterParams:
 
 
 def days_back(adapter: str, n: int, **kw) -> FilterParams:
-    end = AS_OF[adapter]
-    return FilterParams(end - dt.timedelta(days=n), end, **kw)
+    """the "last n days" preset ending at the adapter's as_of."""
+    return period_filter(AS_OF[adapter], n, **kw)
 
 
 def since(adapter: str, start: dt.date, **kw) -> FilterParams:

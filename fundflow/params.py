@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 # Fixed values that must equal the reference's (analytics defaults and presets).
 # analytics: liquidity_ratio_min 0.8, liquidity_ratio_max 1.5,
 #            concentration_threshold 30.0, default_period_days 45
+# hard-coded in the analyses: critical liquidity below 0.5; a fund's
+#            concentration is reported above 20 (%); an evolution alert fires
+#            above 20 (%) total variation
 # period presets (label -> days back from as_of; -1 means a custom range):
 #   "Hoje" 0, "Últimos 7 dias" 7, "Últimos 30 dias" 30, "Últimos 45 dias" 45,
 #   "Personalizado" -1
