@@ -32,7 +32,7 @@ from fundflow.operators import (  # noqa: E402
 from fundflow.params import (  # noqa: E402
     EVOLUTION_HORIZONS, MAX_RECORDS_DISPLAY, FilterParams, period_filter,
 )
-from fundflow.plans import bundles, rules  # noqa: E402
+from fundflow.plans import bundles, dashboard as D, rules  # noqa: E402
 from fundflow.sources import sinks  # noqa: E402
 from fundflow.sources.adapters import ADAPTERS  # noqa: E402
 from fundflow.session import configure, scratch_path  # noqa: E402
@@ -184,6 +184,14 @@ B = {
     "analysis_summary": lambda s, led, lf, p, a: bundles.analysis_summary(lf, a).drop(
         "message", "summary"),
     "sink_daily_metrics": lambda s, led, lf, p, a: _sink_daily(s, lf),
+    # the same analyses derived from the one-scan daily cube (plans.dashboard)
+    "dashboard_kpis": lambda s, led, lf, p, a: D.kpis(D.daily_cube(lf), p, a),
+    "dashboard_liquidity_metrics": lambda s, led, lf, p, a: to_output(
+        D.liquidity_metrics(D.daily_cube(lf))),
+    "dashboard_concentration": lambda s, led, lf, p, a: to_output(D.concentration(D.daily_cube(lf))),
+    "dashboard_evolution_metrics": lambda s, led, lf, p, a: evolution.evolution_metrics(
+        evolution.with_pct_change(D.daily_metrics(D.daily_cube(lf)))),
+    "dashboard_rule_stats": lambda s, led, lf, p, a: D.fund_daily_stats(D.daily_cube(lf)),
 }
 
 Q = {
@@ -236,6 +244,11 @@ Q = {
     "has_issues": O.has_issues,
     "analysis_summary": O.analysis_summary,
     "sink_daily_metrics": O.sink_daily_metrics,
+    "dashboard_kpis": O.kpis,
+    "dashboard_liquidity_metrics": O.liquidity_metrics,
+    "dashboard_concentration": O.concentration,
+    "dashboard_evolution_metrics": O.evolution_metrics,
+    "dashboard_rule_stats": O.rule_volatility_and_concentration,
 }
 
 
@@ -284,6 +297,10 @@ SCENARIOS["kpis_empty"] = _sc("kpis", params=FilterParams(dt.date(1990, 1, 1), d
 SCENARIOS["kpi_alerts_empty"] = _sc("kpi_alerts", params=FilterParams(dt.date(1990, 1, 1),
                                                                       dt.date(1990, 1, 31)))
 SCENARIOS["evolution_by_horizon_events"] = _sc("evolution_by_horizon", "events")
+for op in ("dashboard_kpis", "dashboard_liquidity_metrics", "dashboard_concentration",
+           "dashboard_evolution_metrics", "dashboard_rule_stats"):
+    SCENARIOS[f"{op}_events"] = _sc(op, "events")
+    SCENARIOS[f"{op}_45d"] = _sc(op, params=days_back("orders", 45))
 
 
 _LEDGERS: dict[tuple, tuple[SparkSession, DataFrame]] = {}

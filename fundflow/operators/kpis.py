@@ -77,7 +77,13 @@ def kpis(lf: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
     """The single KPI row over the (optionally limited) extract of ``lf``."""
     ex = extract(lf, p.limit)
     now = _ts(as_of)
-    g = _grouped(ex, now)
+    return kpis_from_sets(_grouped(ex, now), p, now)
+
+
+def kpis_from_sets(g: DataFrame, p: FilterParams, now: Column) -> DataFrame:
+    """The KPI row from a (date) / (fund) grouping-sets aggregate with columns
+    ``gid, nmfundo, n, e, s, b, bmin, nulls, neg, future`` -- built from lines
+    (``kpis``) or from the daily cube (``plans.dashboard``)."""
     # grouping_id bit is set for the column *not* grouped: day set -> 1, fund set -> 2
     day = F.col("gid") == 1
     fund = (F.col("gid") == 2) & F.col("nmfundo").isNotNull()

@@ -640,6 +640,12 @@ RULE_METRICS_CTE = """rm AS (
           JOIN a9 ON a6.nmfundo IS NOT DISTINCT FROM a9.nmfundo)"""
 
 
+def rule_volatility_and_concentration(adapter, p, as_of):
+    return base(adapter, p, FUND_DAILY_CTE, A8_CTE, A9_CTE) + """
+SELECT a8.nmfundo, volume_concentration, balance_volatility
+FROM a8 JOIN a9 ON a8.nmfundo IS NOT DISTINCT FROM a9.nmfundo"""
+
+
 def rule_metrics(adapter, p, as_of):
     return base(adapter, p, A6_CTE, FUND_DAILY_CTE, A8_CTE, A9_CTE, RULE_METRICS_CTE) + """
 SELECT nmfundo, liquidity_ratio, volume_concentration, balance_volatility FROM rm"""
