@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundflow.functions import classify as C
 from fundflow.functions.money import dbl, entrada, flow, gross_volume, mean, ratio, rnd, saida, saldo
-from fundflow.operators import evolution, flows, kpis as K, status
+from fundflow.operators import alerts as L, evolution, flows, kpis as K, status
 from fundflow.operators.filters import apply_filters
 from fundflow.params import FilterParams, Thresholds
 from fundflow.sources.sinks import materialise
@@ -132,17 +132,25 @@ def derive(cube: DataFrame, p: FilterParams, as_of: dt.date,
     a2 = daily_metrics(cube)
     a3 = concentration(cube)
     evo = evolution.with_pct_change(a2)
+    k = kpis(cube, p, as_of)
+    by_fund = status.liquidity_status_by_fund(status.liquidity_status(a1, t))
+    conc = status.concentration_metrics(a3, t)
+    evo_m = evolution.evolution_metrics(evo, t)
     frames = {
-        "kpis": kpis(cube, p, as_of),
+        "kpis": k,
         "liquidity_metrics": a1,
-        "liquidity_status_by_fund": status.liquidity_status_by_fund(status.liquidity_status(a1, t)),
+        "liquidity_status_by_fund": by_fund,
         "daily_metrics": a2,
         "concentration": a3,
-        "concentration_metrics": status.concentration_metrics(a3, t),
+        "concentration_metrics": conc,
         "concentration_overall": status.concentration_overall(a3, t),
         "balance_pct_change": evo,
-        "evolution_metrics": evolution.evolution_metrics(evo, t),
+        "evolution_metrics": evo_m,
         "fund_daily_stats": fund_daily_stats(cube),
+        "kpi_alerts": L.kpi_alerts(k),
+        "alerts": L.combine(L.liquidity_alerts(by_fund, as_of),
+                            L.concentration_alerts(conc, as_of),
+                            L.evolution_alerts(evo_m, as_of, t.evolution_variation)),
     }
     return Dashboard(cube, frames)
 

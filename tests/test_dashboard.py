@@ -7,14 +7,21 @@ import pytest
 import __spark_entry__ as E
 from conftest import MICRO_AS_OF, MICRO_PARAMS, SF_MID
 from fundflow.functions.money import to_output
-from fundflow.operators import evolution, filters, flows, kpis as K, status
+from fundflow.operators import alerts as L, evolution, filters, flows, kpis as K, status
 from fundflow.plans import dashboard as D, rules
 
 
 def direct(lf, p, as_of):
     a1, a3 = flows.liquidity_metrics(lf), flows.concentration(lf)
     evo = evolution.balance_pct_change(lf)
+    k = K.kpis(lf, p, as_of)
+    alerts = L.combine(
+        L.liquidity_alerts(status.liquidity_status_by_fund(status.liquidity_status(a1)), as_of),
+        L.concentration_alerts(status.concentration_metrics(a3), as_of),
+        L.evolution_alerts(evolution.evolution_metrics(evo), as_of))
     return {
+        "kpi_alerts": L.kpi_alerts(k),
+        "alerts": alerts.drop("metadata"),
         "kpis": K.kpis(lf, p, as_of), "liquidity_metrics": a1,
         "daily_metrics": flows.daily_metrics(lf), "concentration": a3,
         "balance_pct_change": evo, "evolution_metrics": evolution.evolution_metrics(evo),
@@ -26,6 +33,8 @@ def direct(lf, p, as_of):
 
 
 def same(a, b):
+    if "metadata" in a.columns:  # maps cannot be compared by exceptAll
+        a = a.drop("metadata")
     a, b = to_output(a), to_output(b)
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
