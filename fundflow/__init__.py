@@ -8,7 +8,8 @@ Sub-packages:
 * ``sources``   -- ledger contract, readers (parquet / table / JDBC), adapters, sinks
 * ``functions`` -- column expressions: money, classifications, formatting
 * ``operators`` -- filters, extract, flows, evolution, KPIs, breakdowns, alerts
-* ``plans``     -- rule packs, custom SQL analyses, analysis bundles
+* ``plans``     -- rule packs, custom SQL analyses, analysis bundles and the
+                   one-scan dashboard refresh (daily cube)
 * ``streaming`` -- incremental (Structured Streaming) refresh of the daily metrics
 """
 
