@@ -73,6 +73,14 @@ class Thresholds:
     evolution_variation: float = 20.0
     extras: dict = field(default_factory=dict)
 
+    @classmethod
+    def from_mapping(cls, cfg: dict | None) -> "Thresholds":
+        """From an ``analytics`` config section (unknown keys kept in ``extras``)."""
+        cfg = dict(cfg or {})
+        known = {k: float(cfg.pop(k)) for k in list(cfg)
+                 if k in cls.__dataclass_fields__ and k != "extras"}
+        return cls(**known, extras=cfg)
+
 
 def preset_range(as_of: dt.date, preset: str | int = DEFAULT_PERIOD_DAYS,
                  custom: tuple[dt.date, dt.date] | None = None) -> tuple[dt.date, dt.date]:

@@ -241,3 +241,27 @@ def test_adapt_mysql_style_pack(spark, micro):
     assert not res.errors
     got = {r.nmfundo: (float(r.e), r.sd) for r in res.frames["per_fund"].collect()}
     assert got["Alfa"] == (100.0, 50.0) and got["Beta"] == (400.0, 100.0)
+
+
+def test_thresholds_from_config():
+    from fundflow.params import Thresholds
+    t = Thresholds.from_mapping({"liquidity_ratio_min": 0.7, "concentration_threshold": "25",
+                                 "cache_ttl": 1800})
+    assert (t.liquidity_ratio_min, t.concentration_threshold, t.liquidity_ratio_max) == (0.7, 25.0, 1.5)
+    assert t.extras == {"cache_ttl": 1800}
+
+
+def test_refresh_job(spark, micro, tmp_path):
+    from fundflow.plans import refresh_job
+    store = scratch_path(spark, "job-ledger")
+    sinks.write_ledger(micro, store)
+    cfg = tmp_path / "app.yaml"
+    cfg.write_text("analytics:\n  liquidity_ratio_min: 0.8\n  concentration_threshold: 30.0\n")
+    out = scratch_path(spark, "job-out")
+    args = refresh_job.parse(["--ledger", store, "--out", out, "--start", "2024-01-01",
+                              "--end", "2024-01-31", "--config", str(cfg)])
+    written = refresh_job.run(spark, args)
+    assert {"kpis", "alerts", "liquidity_metrics", "concentration"} <= set(written)
+    k = spark.read.parquet(written["kpis"]).first()
+    assert (k.operation_count, k.total_volume) == (7, 940.0)
+    assert spark.read.parquet(written["alerts"]).count() == 6
