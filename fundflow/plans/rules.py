@@ -83,7 +83,8 @@ DEFAULT_THRESHOLDS = {
     "balance_volatility": {"warning": 100000, "critical": 500000},
 }
 
-# The pack's two queries, in Spark SQL (A6: per-fund liquidity, A7: daily flows).
+# Fixed values of the default pack, restated in Spark SQL: its two queries
+# (A6 per-fund liquidity, A7 daily flows) with the same output columns.
 FUND_LIQUIDITY_SQL = f"""
 SELECT nmfundo,
   CAST(SUM(COALESCE(entrada, 0)) AS DOUBLE) AS total_entries,

@@ -117,12 +117,15 @@ CATEGORY_SQL = """CASE
     ELSE 'Outros' END"""
 
 SUMMARY_CATEGORY_SQL = """CASE
-    WHEN lower(lancamento) LIKE '%taxa%' OR lower(lancamento) LIKE '%fee%' THEN 'Taxa'
-    WHEN lower(lancamento) LIKE '%aplic%' OR lower(lancamento) LIKE '%aporte%' THEN 'Aplicação'
-    WHEN lower(lancamento) LIKE '%resgate%' OR lower(lancamento) LIKE '%saque%' THEN 'Resgate'
-    WHEN lower(lancamento) LIKE '%rendimento%' OR lower(lancamento) LIKE '%juros%' THEN 'Rendimento'
-    WHEN lower(lancamento) LIKE '%compra%' THEN 'Compra'
-    WHEN lower(lancamento) LIKE '%venda%' THEN 'Venda'
+    WHEN contains(lower(lancamento), 'taxa') OR contains(lower(lancamento), 'fee') THEN 'Taxa'
+    WHEN contains(lower(lancamento), 'aplic') OR contains(lower(lancamento), 'aporte')
+      THEN 'Aplicação'
+    WHEN contains(lower(lancamento), 'resgate') OR contains(lower(lancamento), 'saque')
+      THEN 'Resgate'
+    WHEN contains(lower(lancamento), 'rendimento') OR contains(lower(lancamento), 'juros')
+      THEN 'Rendimento'
+    WHEN contains(lower(lancamento), 'compra') THEN 'Compra'
+    WHEN contains(lower(lancamento), 'venda') THEN 'Venda'
     ELSE 'Outros' END"""
 
 
