@@ -265,3 +265,14 @@ def test_refresh_job(spark, micro, tmp_path):
     k = spark.read.parquet(written["kpis"]).first()
     assert (k.operation_count, k.total_volume) == (7, 940.0)
     assert spark.read.parquet(written["alerts"]).count() == 6
+
+
+def test_display_orders(micro_lf):
+    from fundflow.operators import flows as FL
+    from fundflow.plans.presentation import ordered
+    a1 = [(r.nmfundo, r.fonte) for r in ordered("liquidity_metrics", FL.liquidity_metrics(micro_lf)).collect()]
+    assert a1 == [("Beta", "btg"), ("Alfa", "btg"), ("Alfa", "daycoval"), (None, "btg")]
+    a3 = [r.concentration_pct for r in ordered("concentration", FL.concentration(micro_lf)).collect()]
+    assert a3 == sorted(a3, reverse=True)
+    a5 = [r.categoria for r in ordered("operation_summary", FL.operation_summary(micro_lf)).collect()]
+    assert a5[0] == "Rendimento" and a5[-1] == "Outros"
