@@ -13,7 +13,8 @@ categories, the limited-extract KPIs) still read lines.
 
 The population standard deviation of A1 comes from exact decimal moments
 ``(n*sum(x^2) - sum(x)^2) / n^2``, so it does not depend on the order of
-partial aggregation either.
+partial aggregation either (with a double-precision fallback should a
+moment overflow DECIMAL(38)).
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def daily_cube(lf: DataFrame) -> DataFrame:
         F.sum(entrada()).alias("e"),
         F.sum(saida()).alias("s"),
         F.sum(f).alias("f"),
-        F.sum(f * f).alias("f2"),
+        F.try_sum(f * f).alias("f2"),  # NULL (not an error) if it ever overflows
         F.sum(gross_volume()).alias("gross"),
         F.max(F.abs(f)).alias("fabs"),
         F.sum(saldo()).alias("b"),
@@ -58,11 +59,17 @@ def liquidity_metrics(cube: DataFrame) -> DataFrame:
     g = cube.groupBy("nmfundo", "fonte").agg(
         F.sum("e").alias("total_entries"), F.sum("s").alias("total_exits"),
         F.sum("f").alias("net_flow"), F.sum("n").alias("operation_count"),
-        F.count(F.lit(1)).alias("active_days"), F.sum("f2").alias("_f2"),
+        F.count(F.lit(1)).alias("active_days"), F.try_sum("f2").alias("_f2"),
         F.max("fabs").alias("max_daily_flow"), F.min("bmin").alias("min_balance"),
         F.max("bmax").alias("max_balance"), F.sum("gross").alias("_volume"))
     n, sx, sxx = F.col("operation_count"), F.col("net_flow"), F.col("_f2")
-    var = dbl(n * sxx - sx * sx) / (dbl(n) * dbl(n))
+    # exact: (n*sum(x^2) - sum(x)^2) / n^2 in DECIMAL; if a term overflows
+    # DECIMAL(38) (billions of lines of very large flows) the try_ functions
+    # give NULL and the double form, accurate at such magnitudes, is used
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), sxx),
+                           F.try_multiply(sx, sx))
+    approx = dbl(sxx) / dbl(n) - F.pow(dbl(sx) / dbl(n), 2)
+    var = F.coalesce(dbl(exact) / (dbl(n) * dbl(n)), F.greatest(approx, F.lit(0.0)))
     return (g.filter(F.col("_volume") > 0)
             .select("nmfundo", "fonte", "total_entries", "total_exits", "net_flow",
                     "operation_count", "active_days", mean(sx, n).alias("avg_daily_flow"),
