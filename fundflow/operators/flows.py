@@ -154,6 +154,12 @@ def balance_evolution(lf: DataFrame, bucket: str = "hour") -> DataFrame:
     3. that carry row is unioned in front of the bucket's lines and one
        ``lag`` over (fund, bucket) ordered by (carry first, dt, id) fills
        every line.  The lines themselves are shuffled once.
+
+    ``bucket`` (a ``date_trunc`` unit) sets the largest sort one task does:
+    the lines of one fund in one bucket.  An hour keeps a fund with a third
+    of a 100 TB, ten-year ledger near 0.4 GB per task; denser ledgers can
+    use ``"minute"``, at the price of a carry table with one row per
+    fund-minute.  Any unit gives the same result.
     """
     ts = F.col("dt_lancamento")
     lines = lf.select("nmfundo", "fonte", "id_origem", ts,
