@@ -7,6 +7,10 @@ grouped into event-time days per (fund, custodian), and a watermark on
 ``dt_lancamento`` bounds the state -- a day's row is final once the
 watermark passes its end, and late lines older than that are dropped by
 Spark.  The result is the same per-day aggregate as ``flows.daily_metrics``.
+
+``start_dashboard_refresh`` runs the whole dashboard rerun on the same
+trigger: new lines are appended to the stored ledger and the one-scan
+refresh (``plans.dashboard``) rewrites the result tables.
 """
 
 from __future__ import annotations
@@ -64,3 +68,42 @@ def start_daily_refresh(spark: SparkSession, source: str, sink: str, checkpoint:
          .outputMode("append").partitionBy("date"))
     q = q.trigger(availableNow=True) if once else q.trigger(processingTime=f"{trigger_seconds} seconds")
     return q.start()
+
+
+def start_dashboard_refresh(spark: SparkSession, source: str, store: str, out: str,
+                            checkpoint: str, params_for, as_of_for=None,
+                            trigger_seconds: int = REFRESH_SECONDS, once: bool = False):
+    """The dashboard's periodic rerun as a stream: new ledger files arrive,
+    every micro-batch is appended to the stored ledger and the one-scan
+    dashboard refresh rewrites the result tables.
+
+    * Appends are idempotent: batch ``n`` is written (overwrite) to
+      ``store/batch=n``, so a batch replayed after a failure replaces its
+      own files instead of duplicating lines.
+    * ``params_for(batch_id) -> FilterParams`` gives the period and lists to
+      show (e.g. the last 45 days up to today); ``as_of_for(batch_id)``
+      the KPI clock (defaults to the period end).
+    * Result tables are overwritten each batch, so they always reflect the
+      whole stored ledger for the period.
+    """
+    import os
+
+    from fundflow.functions.money import to_output
+    from fundflow.plans import dashboard
+    from fundflow.sources.readers import read_ledger
+    from fundflow.sources.sinks import write_ledger, write_result
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        write_ledger(batch, os.path.join(store, f"batch={batch_id:08d}"))
+        p = params_for(batch_id)
+        ledger = read_ledger(spark, store, period=(p.start_date, p.end_date))
+        as_of = as_of_for(batch_id) if as_of_for else p.end_date
+        for name, df in dashboard.refresh(spark, ledger, p, as_of).frames.items():
+            if "metadata" in df.columns:
+                df = df.drop("metadata")
+            write_result(to_output(df), os.path.join(out, name))
+
+    q = (ledger_stream(spark, source).writeStream.foreachBatch(per_batch)
+         .option("checkpointLocation", checkpoint))
+    q = q.trigger(availableNow=True) if once else q.trigger(processingTime=f"{trigger_seconds} seconds")
+    return q.start()

@@ -276,3 +276,25 @@ def test_display_orders(micro_lf):
     assert a3 == sorted(a3, reverse=True)
     a5 = [r.categoria for r in ordered("operation_summary", FL.operation_summary(micro_lf)).collect()]
     assert a5[0] == "Rendimento" and a5[-1] == "Outros"
+
+
+def test_streaming_dashboard_refresh(spark, micro):
+    from fundflow.streaming import refresh
+    src = scratch_path(spark, "dash-src")
+    micro.filter("id_origem <= 4").write.parquet(src)
+    store, out, ck = (scratch_path(spark, n) for n in ("dash-store", "dash-out", "dash-ck"))
+
+    def params(_batch):
+        return MICRO_PARAMS
+
+    q = refresh.start_dashboard_refresh(spark, src, store, out, ck, params, once=True)
+    q.awaitTermination(300)
+    k = spark.read.parquet(os.path.join(out, "kpis")).first()
+    assert k.operation_count == 4
+    # a second file arrives; the next run appends it and refreshes the results
+    micro.filter("id_origem > 4").write.mode("append").parquet(src)
+    q = refresh.start_dashboard_refresh(spark, src, store, out, ck, params, once=True)
+    q.awaitTermination(300)
+    k = spark.read.parquet(os.path.join(out, "kpis")).first()
+    assert (k.operation_count, k.total_volume) == (7, 940.0)
+    assert readers.read_ledger(spark, store).count() == 8  # stored once each, incl. February
