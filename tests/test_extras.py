@@ -298,3 +298,12 @@ def test_streaming_dashboard_refresh(spark, micro):
     k = spark.read.parquet(os.path.join(out, "kpis")).first()
     assert (k.operation_count, k.total_volume) == (7, 940.0)
     assert readers.read_ledger(spark, store).count() == 8  # stored once each, incl. February
+
+
+def test_read_ledger_from_catalog_with_renames(spark, micro):
+    raw = micro.withColumnRenamed("nmfundo", "fund_name").withColumnRenamed("fonte", "custodian")
+    raw.createOrReplaceTempView("statement_lines_test")
+    led = readers.read_ledger_table(spark, "statement_lines_test",
+                                    rename={"fund_name": "nmfundo", "custodian": "fonte"})
+    assert led.columns == list(contract.LEDGER_COLUMNS)
+    assert led.filter("nmfundo = 'Alfa' AND fonte = 'btg'").count() == 2
