@@ -16,13 +16,35 @@ def extract_order() -> tuple[F.Column, ...]:
             F.col("id_origem").asc())
 
 
+def newest_cutoff(lf: DataFrame, limit: int) -> F.Column:
+    """Earliest posting date that can hold one of the newest ``limit`` lines
+    (NULL when the period has fewer lines), as a scalar subquery.
+
+    Per-day line counts are folded newest-first until they reach ``limit``.
+    The folded array has one entry per calendar day of the requested period
+    that has lines -- bounded by the period, not by the data volume.
+    """
+    per_day = lf.groupBy(F.to_date("dt_lancamento").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("date").alias("d"))
+    days = F.sort_array(F.collect_list(F.struct("d", "n")), asc=False)
+    folded = F.aggregate(days, start, lambda acc, x: F.when(acc["cum"] >= limit, acc).otherwise(
+        F.struct((acc["cum"] + x["n"]).alias("cum"), x["d"].alias("d"))))
+    return per_day.select(F.when(folded["cum"] >= limit, folded["d"])).scalar()
+
+
 def extract(lf: DataFrame, limit: int | None = None) -> DataFrame:
     """The ten ledger columns with NULL money read as 0.
 
-    With ``limit`` it keeps the newest ``limit`` rows (a bounded top-k,
-    planned as TakeOrderedAndProject); without it no global sort is done --
-    ordering is a presentation concern (see ``ordered``).
+    With ``limit`` it keeps the newest ``limit`` rows: lines before the
+    ``newest_cutoff`` date are dropped first, so the distributed top-k
+    (TakeOrderedAndProject) merges about ``limit`` lines plus one day's
+    instead of ``limit`` per scan task.  Without ``limit`` no global sort is
+    done -- ordering is a presentation concern (see ``ordered``).
     """
+    if limit:
+        cutoff = newest_cutoff(lf, int(limit))
+        lf = lf.filter(cutoff.isNull() | (F.to_date("dt_lancamento") >= cutoff))
     df = lf.select("id_origem", "fonte", "id_carteira", "nmfundo", "cnpj", "dt_lancamento",
                    entrada().alias("entrada"), saida().alias("saida"), saldo().alias("saldo"),
                    "lancamento")

@@ -307,3 +307,20 @@ def test_read_ledger_from_catalog_with_renames(spark, micro):
                                     rename={"fund_name": "nmfundo", "custodian": "fonte"})
     assert led.columns == list(contract.LEDGER_COLUMNS)
     assert led.filter("nmfundo = 'Alfa' AND fonte = 'btg'").count() == 2
+
+
+def test_newest_cutoff_prunes_before_top_k(spark, micro_lf):
+    from fundflow.operators import extract as X
+    got = [r.id_origem for r in X.extract(micro_lf, 3).collect()]
+    assert sorted(got) == [5, 6, 7]  # 01-05, 01-04, 01-03 are the three newest
+    assert sorted(r.id_origem for r in X.extract(micro_lf, 100).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    cut = micro_lf.select(X.newest_cutoff(micro_lf, 4)).first()[0]
+    assert cut == dt.date(2024, 1, 2)  # 01-05, 01-04, 01-03 hold 3 lines; 01-02 reaches 4
+    assert micro_lf.select(X.newest_cutoff(micro_lf, 100)).first()[0] is None
+    # on the test tables the top-k sees about `limit` lines, not the whole period
+    import __spark_entry__ as E
+    led = E.ledger_for(spark, "/root/testdata/sf0.01", "orders")
+    lf = filters.apply_filters(led, E.full("orders"))
+    c = X.newest_cutoff(lf, 100)
+    kept = lf.filter(c.isNull() | (F.to_date("dt_lancamento") >= c)).count()
+    assert 100 <= kept < 200 and lf.count() == 15000
