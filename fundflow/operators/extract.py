@@ -43,8 +43,9 @@ def extract(lf: DataFrame, limit: int | None = None) -> DataFrame:
     done -- ordering is a presentation concern (see ``ordered``).
     """
     if limit:
-        cutoff = newest_cutoff(lf, int(limit))
-        lf = lf.filter(cutoff.isNull() | (F.to_date("dt_lancamento") >= cutoff))
+        cut = F.col("_cutoff")  # bound once: each reference would plan its own subquery
+        lf = (lf.withColumn("_cutoff", newest_cutoff(lf, int(limit)))
+              .filter(cut.isNull() | (F.to_date("dt_lancamento") >= cut)).drop("_cutoff"))
     df = lf.select("id_origem", "fonte", "id_carteira", "nmfundo", "cnpj", "dt_lancamento",
                    entrada().alias("entrada"), saida().alias("saida"), saldo().alias("saldo"),
                    "lancamento")
