@@ -14,6 +14,7 @@ whole test tables; filters are the feature's own parameters.
 from __future__ import annotations
 
 import datetime as dt
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -341,8 +342,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return run("kpis", spark, SMOKE_DIR)
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data subpackage, where it and the pipeline are present."""
+    found, sql = {}, {}
+    if importlib.util.find_spec("fundflow.llm") is not None:
+        from fundflow.llm import queries as llm
+        found |= llm.QUERIES
+        sql |= llm.ORACLE_SQL
+        if importlib.util.find_spec("corpus_pipeline") is not None:
+            import corpus_pipeline
+            found["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL is not None:
+                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in SCENARIOS}
+    ledger = {name: (lambda spark, sf_dir, _n=name: run(_n, spark, sf_dir)) for name in SCENARIOS}
+    return ledger | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -351,4 +368,4 @@ def oracle_sql() -> dict[str, str]:
         sql = sql_for(name)
         if sql is not None:
             out[name] = sql
-    return out
+    return out | _training_data()[1]
