@@ -10,13 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fundflow.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, quality
+from fundflow.llm import (
+    bpe, decontaminate, exact_dedup, language_id, license_scan, quality, substring_dedup, suffix_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -47,9 +54,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_license_scan, op3_decontamination, op4_exact_dedup, op6_bpe, op7_quality, op8_language_id)
+        op1_substring_dedup, op2_license_scan, op3_decontamination, op4_exact_dedup, op6_bpe, op7_quality,
+        op8_language_id, op10_suffix_dedup)
 }
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -68,6 +81,41 @@ def _windows(table: str, words: str, key: str, size: int) -> str:
 
 
 ORACLE_SQL = {
+    "op1_substring_dedup": f"""
+with dw as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as pos
+            from (select doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') as ws from documents)),
+{_windows('win', 'dw', 'doc_id', 13)},
+lowest as (select text, min(doc_id) as low from win group by text),
+gone as (select distinct doc_id, unnest(range(pos, pos + 13)) as pos
+         from win join lowest using (text) where low < doc_id),
+words as (select dw.doc_id, dw.pos, w, gone.pos is not null as out
+          from dw left join gone on dw.doc_id = gone.doc_id and dw.pos = gone.pos),
+kept as (select doc_id, count(*) as n_words, count(*) filter (out) as n_removed,
+                string_agg(w, ' ' order by pos) filter (not out) as text from words group by doc_id)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+       sha256(coalesce(kept.text, '')) as kept_sha256
+from documents left join kept using (doc_id)""",
+    "op10_suffix_dedup": """
+with h as (select doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as x from documents),
+bytes as (select doc_id, unnest(x) as b, generate_subscripts(x, 1) - 1 as pos from h),
+s2 as (select *, b || lead(b) over o as t2 from bytes window o as (partition by doc_id order by pos)),
+s4 as (select *, t2 || lead(t2, 2) over o as t4 from s2 window o as (partition by doc_id order by pos)),
+s8 as (select *, t4 || lead(t4, 4) over o as t8 from s4 window o as (partition by doc_id order by pos)),
+s16 as (select doc_id, pos, t2, t8 || lead(t8, 8) over o as t16 from s8 window o as (partition by doc_id order by pos)),
+s50 as (select doc_id, pos, t16 || lead(t16, 16) over o || lead(t16, 32) over o || lead(t2, 48) over o as s
+        from s16 window o as (partition by doc_id order by pos)),
+win as (select * from s50 where s is not null),
+lowest as (select s, min(doc_id) as low from win group by s),
+gone as (select distinct doc_id, unnest(range(pos, pos + 50)) as pos
+         from win join lowest using (s) where low < doc_id),
+marked as (select bytes.doc_id, bytes.pos, b, gone.pos is not null as out
+           from bytes left join gone on bytes.doc_id = gone.doc_id and bytes.pos = gone.pos),
+runs as (select *, out and not coalesce(lag(out) over (partition by doc_id order by pos), false) as begins from marked),
+kept as (select doc_id, count(*) as n_bytes, count(*) filter (out) as n_removed, count(*) filter (begins) as n_spans,
+                string_agg(b, '' order by pos) filter (not out) as x from runs group by doc_id)
+select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed,
+       coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, ''))) as kept_sha256
+from documents left join kept using (doc_id)""",
     "op4_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as text,
        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
