@@ -342,6 +342,17 @@ def entry(spark: SparkSession) -> DataFrame:
     return run("kpis", spark, SMOKE_DIR)
 
 
+def _importable(query: Callable) -> Callable:
+    """The query, run so that Python workers find this repository's modules too."""
+    def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+        return query(spark, sf_dir)
+    return run_query
+
+
 def _training_data() -> tuple[dict, dict]:
     """Queries and SQL of the training-data subpackage, where it and the pipeline are present."""
     found, sql = {}, {}
@@ -354,7 +365,7 @@ def _training_data() -> tuple[dict, dict]:
             found["pipeline"] = corpus_pipeline.run
             if corpus_pipeline.ORACLE_SQL is not None:
                 sql["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found, sql
+    return {name: _importable(query) for name, query in found.items()}, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
