@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundflow.llm import (
-    bpe, decontaminate, exact_dedup, language_id, license_scan, quality, substring_dedup, suffix_dedup,
+    bpe, decontaminate, exact_dedup, language_id, license_scan, quality, simhash, substring_dedup,
+    suffix_dedup,
 )
 
 
@@ -54,6 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -62,7 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_license_scan, op3_decontamination, op4_exact_dedup, op6_bpe, op7_quality,
-        op8_language_id, op10_suffix_dedup)
+        op8_language_id, op9_simhash, op10_suffix_dedup)
 }
 
 SPACED = r"[^\x20\x09-\x0D]+"
