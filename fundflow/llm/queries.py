@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundflow.llm import (
-    bpe, decontaminate, exact_dedup, language_id, license_scan, quality, simhash, substring_dedup,
+    bpe, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, quality, simhash, substring_dedup,
     suffix_dedup,
 )
 
@@ -39,6 +39,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,8 +70,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op2_license_scan, op3_decontamination, op4_exact_dedup, op6_bpe, op7_quality,
-        op8_language_id, op9_simhash, op10_suffix_dedup)
+        op1_substring_dedup, op2_license_scan, op3_decontamination, op4_exact_dedup, op5_lm_scoring, op6_bpe,
+        op7_quality, op8_language_id, op9_simhash, op10_suffix_dedup)
 }
 
 SPACED = r"[^\x20\x09-\x0D]+"
