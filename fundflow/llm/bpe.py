@@ -166,8 +166,6 @@ class WordBpe:
     def learn(self, new: Iterable[str]) -> None:
         """Encode distinct words: propose, verify all adjacent pairs at once, repair."""
         new = list(new)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {}
         if not new:
             return
         proposals = [self.greedy(w) for w in new]
@@ -200,10 +198,10 @@ class WordBpe:
             split.append([np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.words(p)
                           for p in parts])
         distinct = {w for parts in split for p in parts if isinstance(p, list) for w in p}
-        held = self.known
-        self.learn(distinct - held.keys())
-        if self.known is not held:  # the memory started anew: learn what this batch had known
-            self.learn(distinct - self.known.keys())
+        new = distinct - self.known.keys()
+        if len(self.known) + len(new) > REMEMBER:
+            self.known, new = {}, distinct
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts])
                 for parts in split]
