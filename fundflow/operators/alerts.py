@@ -15,17 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fundflow.functions import classify as C
 from fundflow.functions.formatting import render_template
 
-# ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's (alert types and messages).
-# liquidity:     "Fundo {fund} com liquidez {status}: {value:.2f}"   (status lower-cased)
-# concentration: "Alta concentração no fundo {fund}: {value:.1f}%"
-# evolution:     "Grande variação no saldo do fundo {fund}: {value:.1f}%"
-# KPI alerts, in order:
-#   liquidity risk Alto     -> "🚨 **Risco de Liquidez Alto** - Saldos críticos detectados"
-#   concentration risk Alto -> "⚠️ **Alta Concentração** - Risco concentrado em poucos fundos"
-#   quality score < 70      -> "📋 **Qualidade de Dados Baixa** - Verificar inconsistências"
-#   health Baixa            -> "⚡ **Baixa Atividade Operacional** - Poucas operações no período"
-# ---------------------------------------------------------------------------
+# Fixed values that must equal the reference's (alert types, messages, the quality floor);
+# KPI alerts in order.
 LIQUIDITY_MSG = "Fundo {fund} com liquidez {status}: {value:.2f}"
 CONCENTRATION_MSG = "Alta concentração no fundo {fund}: {value:.1f}%"
 EVOLUTION_MSG = "Grande variação no saldo do fundo {fund}: {value:.1f}%"
@@ -81,10 +72,9 @@ def concentration_alerts(conc_metrics: DataFrame, as_of: dt.date) -> DataFrame:
                         operation_count=F.col("operation_count")))
 
 
-def evolution_alerts(evo_metrics: DataFrame, as_of: dt.date, threshold: float = 20.0) -> DataFrame:
-    """L3: funds whose total variation exceeds 20% in absolute value."""
-    hit = evo_metrics.filter(F.abs(F.col("total_variation")) > threshold) \
-        .withColumn("severity", F.lit(C.WARNING))
+def evolution_alerts(evo_metrics: DataFrame, as_of: dt.date) -> DataFrame:
+    """L3: funds whose total variation, unrounded, exceeds A21's threshold."""
+    hit = evo_metrics.filter(F.col("severity") == C.WARNING)
     return _alert(hit, "evolution", EVOLUTION_MSG, F.col("total_variation"), as_of,
                   _meta(volatility=F.col("volatility"), periods=F.col("periods")))
 

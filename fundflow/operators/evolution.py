@@ -71,7 +71,8 @@ def evolution_stats(evo: DataFrame) -> DataFrame:
     return evo.agg(
         F.countDistinct("date").alias("total_periods"),
         (F.countDistinct("nmfundo")
-         + F.max(F.col("nmfundo").isNull().cast("int"))).cast("long").alias("funds_analyzed"))
+         + F.coalesce(F.max(F.col("nmfundo").isNull().cast("int")), F.lit(0)))
+        .cast("long").alias("funds_analyzed"))
 
 
 def evolution_by_horizon(ledger: DataFrame, p: FilterParams, as_of: dt.date,

@@ -17,8 +17,8 @@ def extract_order() -> tuple[F.Column, ...]:
 
 
 def newest_cutoff(lf: DataFrame, limit: int) -> F.Column:
-    """Earliest posting date that can hold one of the newest ``limit`` lines
-    (NULL when the period has fewer lines), as a scalar subquery.
+    """Midnight of the earliest date that can hold one of the newest ``limit``
+    lines (of year 1 when the period has fewer lines), as a scalar subquery.
 
     Per-day line counts are folded newest-first until they reach ``limit``.
     The folded array has one entry per calendar day of the requested period
@@ -30,7 +30,8 @@ def newest_cutoff(lf: DataFrame, limit: int) -> F.Column:
     days = F.sort_array(F.collect_list(F.struct("d", "n")), asc=False)
     folded = F.aggregate(days, start, lambda acc, x: F.when(acc["cum"] >= limit, acc).otherwise(
         F.struct((acc["cum"] + x["n"]).alias("cum"), x["d"].alias("d"))))
-    return per_day.select(F.when(folded["cum"] >= limit, folded["d"])).scalar()
+    day = F.coalesce(F.when(folded["cum"] >= limit, folded["d"]), F.lit("0001-01-01").cast("date"))
+    return per_day.select(day.cast("timestamp_ntz")).scalar()
 
 
 def extract(lf: DataFrame, limit: int | None = None) -> DataFrame:
@@ -43,9 +44,8 @@ def extract(lf: DataFrame, limit: int | None = None) -> DataFrame:
     done -- ordering is a presentation concern (see ``ordered``).
     """
     if limit:
-        cut = F.col("_cutoff")  # bound once: each reference would plan its own subquery
-        lf = (lf.withColumn("_cutoff", newest_cutoff(lf, int(limit)))
-              .filter(cut.isNull() | (F.to_date("dt_lancamento") >= cut)).drop("_cutoff"))
+        # the raw column against one value: the scan gets it as a filter once the subquery has run
+        lf = lf.filter(F.col("dt_lancamento") >= newest_cutoff(lf, int(limit)))
     df = lf.select("id_origem", "fonte", "id_carteira", "nmfundo", "cnpj", "dt_lancamento",
                    entrada().alias("entrada"), saida().alias("saida"), saldo().alias("saldo"),
                    "lancamento")

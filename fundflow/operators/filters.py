@@ -4,9 +4,8 @@ The period filter is written as a half-open timestamp range
 (``dt >= start 00:00 AND dt < end+1 00:00``) -- the same rows as
 ``DATE(dt) BETWEEN start AND end`` -- so it is a plain column/literal
 comparison that reaches the parquet scan as ``PushedFilters`` and prunes
-date partitions.  Fund / custodian lists become ``IN`` (pushed too); very
-long lists become a left-semi join against a broadcast list whose size is
-the user's own list length.
+date partitions.  Fund / custodian lists become ``IN``, pushed too, whatever
+their length (Spark keeps a long list as a hash set).
 """
 
 from __future__ import annotations
@@ -17,11 +16,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fundflow.params import FilterParams
 
-# Lists longer than this are joined instead of inlined as IN (...).
-IN_LIST_LIMIT = 1000
-# Fixed value that must equal the reference's: the fund picker lists at most 1000 funds.
-FUND_LIST_LIMIT = 1000
-
 
 def _ts(d: dt.date) -> F.Column:
     # a DATE literal cast to timestamp_ntz is midnight with no time-zone step
@@ -36,12 +30,7 @@ def period(ledger: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
 
 
 def _member(ledger: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    if len(values) <= IN_LIST_LIMIT:
-        return ledger.filter(F.col(column).isin(*values))
-    spark = ledger.sparkSession
-    keys = spark.createDataFrame([(v,) for v in dict.fromkeys(values)], f"{column} string")
-    # size of `keys` is bounded by the caller's list, not by the data
-    return ledger.join(F.broadcast(keys), on=column, how="left_semi")
+    return ledger.filter(F.col(column).isin(*dict.fromkeys(values)))
 
 
 def funds(ledger: DataFrame, names: tuple[str, ...] | None) -> DataFrame:
@@ -65,9 +54,10 @@ def _distinct_names(ledger: DataFrame, column: str) -> DataFrame:
             .distinct())
 
 
-def available_funds(ledger: DataFrame, limit: int = FUND_LIST_LIMIT) -> DataFrame:
-    """distinct non-null, non-empty fund names, sorted, first ``limit``."""
-    return _distinct_names(ledger, "nmfundo").orderBy("nmfundo").limit(limit)
+def available_funds(ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """distinct non-null, non-empty fund names, sorted; a picker may show the first ``limit``."""
+    names = _distinct_names(ledger, "nmfundo").orderBy("nmfundo")
+    return names.limit(limit) if limit else names
 
 
 def available_custodians(ledger: DataFrame) -> DataFrame:

@@ -74,26 +74,33 @@ def fund_volumes(lf: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("operation_count"))
 
 
-def grand_total(lf: DataFrame) -> DataFrame:
-    """A4: one-row total volume over all lines (= the sum over all groups,
-    taken before the positive-volume filter)."""
-    return lf.agg(F.sum(gross_volume()).alias("grand_total"))
+def grand_total(volumes: DataFrame) -> F.Column:
+    """A4: total volume and line count over ``fund_volumes``, taken before the
+    positive-volume filter, as one scalar subquery.
+
+    Both columns are summed so that the subquery's grouped aggregate is the
+    outer query's own: Spark then runs it, and reads the ledger, once.
+    """
+    return volumes.agg(F.struct(F.sum("total_volume").alias("volume"),
+                                F.sum("operation_count").alias("lines")).alias("total")).scalar()
 
 
 def concentration(lf: DataFrame) -> DataFrame:
     """A3 (+A4, J1, F9, C4): share of each (fund, custodian) in the total volume.
 
-    The total (J1's one-row side) is a global aggregate over the lines (two
-    money columns, combined map-side) used as an uncorrelated scalar
-    subquery: Spark computes it once and inlines the value, so no join is
-    planned -- and no ``sum() OVER ()`` window pulls every group into one
-    partition.  Deriving the total from the grouped result would not save
-    the scan: column pruning makes the two branches' aggregates differ, so
-    their exchange is not reused.
+    The total (J1's one-row side) is summed over the grouped volumes as an
+    uncorrelated scalar subquery, so no join is planned, no ``sum() OVER ()``
+    window pulls every group into one partition, and the ledger is read once:
+    both branches share the grouped aggregate's exchange.
     """
-    v = fund_volumes(lf).withColumn("_total", grand_total(lf).scalar())
-    pct = ratio(F.col("total_volume"), F.col("_total")) * 100
-    return (v.filter(F.col("total_volume") > 0)
+    return shares(fund_volumes(lf))
+
+
+def shares(volumes: DataFrame) -> DataFrame:
+    """Second level of A3 over (fund, custodian) volumes and line counts."""
+    v = volumes.withColumn("_total", grand_total(volumes))
+    pct = ratio(F.col("total_volume"), F.col("_total.volume")) * 100
+    return (v.filter((F.col("total_volume") > 0) & (F.col("_total.lines") > 0))
             .select(*FUND_KEYS, "total_volume", "operation_count",
                     rnd(pct, 2).alias("concentration_pct"),
                     C.concentration_level(pct).alias("concentration_level")))
@@ -115,25 +122,31 @@ def operation_summary(lf: DataFrame) -> DataFrame:
 
 
 def fund_daily(lf: DataFrame) -> DataFrame:
-    """Per (fund, date): gross volume and net flow -- the input of A8 and A9."""
+    """Per (fund, date): flows, gross volume and net flow -- the input of A8, A9 and L5."""
     return lf.groupBy("nmfundo", _day().alias("date")).agg(
         F.sum(gross_volume()).alias("daily_volume"),
-        F.sum(flow()).alias("daily_balance_change"))
+        F.sum(flow()).alias("daily_balance_change"),
+        F.sum(entrada()).alias("daily_entries"),
+        F.sum(saida()).alias("daily_exits"),
+        F.count(F.lit(1)).alias("daily_operations"))
 
 
 def volume_concentration(lf: DataFrame) -> DataFrame:
     """Per fund MAX(daily volume) / AVG(daily volume)."""
-    d = fund_daily(lf)
-    return d.groupBy("nmfundo").agg(
-        F.try_divide(dbl(F.max("daily_volume")),
-                     dbl(F.sum("daily_volume")) / F.count(F.lit(1))).alias("volume_concentration"))
+    return fund_stats(fund_daily(lf)).select("nmfundo", "volume_concentration")
 
 
 def balance_volatility(lf: DataFrame) -> DataFrame:
     """Per fund population stddev of the daily balance change (daily net flow)."""
-    d = fund_daily(lf)
-    return d.groupBy("nmfundo").agg(
-        rnd(F.stddev_pop("daily_balance_change"), STD_DIGITS).alias("balance_volatility"))
+    return fund_stats(fund_daily(lf)).select("nmfundo", "balance_volatility")
+
+
+def fund_stats(daily: DataFrame, *more: F.Column) -> DataFrame:
+    """A8 and A9 (and further aggregates) per fund over (fund, date) rows."""
+    return daily.groupBy("nmfundo").agg(
+        F.try_divide(dbl(F.max("daily_volume")),
+                     dbl(F.sum("daily_volume")) / F.count(F.lit(1))).alias("volume_concentration"),
+        rnd(F.stddev_pop("daily_balance_change"), STD_DIGITS).alias("balance_volatility"), *more)
 
 
 def balance_evolution(lf: DataFrame, bucket: str = "hour") -> DataFrame:

@@ -1,16 +1,14 @@
 """The KPI block (A10-A15) as one single-row DataFrame.
 
-The extract is aggregated once with GROUPING SETS ((date), (fund)):
-every line is counted once per set, partial aggregation runs before the
-shuffle, and the shuffle carries one row per date plus one per fund.  A
-single conditional aggregation over that result gives the whole row:
-totals, data-quality counts and the daily flow volatility from the date
-rows (every line has a date), liquidity and concentration from the fund
-rows.  Only the top-3 funds (O4) need a second, narrow read (fund and
-money columns) feeding a distributed top-k; its single value is attached
-as a scalar subquery.  Keeping one consumer per
-branch matters: Catalyst pushes a set filter into the Expand, so several
-filtered consumers of one grouping-set aggregate would each rescan.
+The lines are aggregated once to (date, fund), combined before the
+shuffle; GROUPING SETS ((date), (fund)) then run over that small result, so
+no line is ever doubled.  A single conditional aggregation over the sets
+gives the whole row: totals, data-quality counts and the daily flow
+volatility from the date rows (every line has a date), liquidity and
+concentration from the fund rows.  The three largest funds (O4) are a
+distributed top-k over the same sets, attached as a scalar subquery; it asks
+for the same columns, so both branches share one exchange and the ledger is
+read once.
 
 The reference drops the NULL fund where it groups by fund in pandas
 (A11, A12) and keeps every line in row totals (A10, A13, A14).
@@ -60,10 +58,9 @@ def _ts(d: dt.date) -> Column:
 
 def _grouped(ex: DataFrame, now: Column) -> DataFrame:
     nulls = sum((F.col(c).isNull().cast("long") for c in NULLABLE), F.lit(0).cast("long"))
-    return (ex.withColumn("day", F.to_date("dt_lancamento"))
-            .groupingSets([["day"], ["nmfundo"]], "day", "nmfundo")
-            .agg(F.grouping_id().alias("gid"),
-                 F.count(F.lit(1)).alias("n"),
+    days = (ex.withColumn("date", F.to_date("dt_lancamento"))
+            .groupBy("date", "nmfundo")
+            .agg(F.count(F.lit(1)).alias("n"),
                  F.sum("entrada").alias("e"),
                  F.sum("saida").alias("s"),
                  F.sum("saldo").alias("b"),
@@ -71,13 +68,21 @@ def _grouped(ex: DataFrame, now: Column) -> DataFrame:
                  F.sum(nulls).alias("nulls"),
                  F.count_if(F.col("saldo") < 0).alias("neg"),
                  F.count_if(F.col("dt_lancamento") > now).alias("future")))
+    return date_and_fund_sets(days)
+
+
+def date_and_fund_sets(days: DataFrame) -> DataFrame:
+    """(date) and (fund) totals of rows that have both."""
+    return days.groupingSets([["date"], ["nmfundo"]], "date", "nmfundo").agg(
+        F.grouping_id().alias("gid"),
+        *(F.sum(c).alias(c) for c in ("n", "e", "s", "b", "nulls", "neg", "future")),
+        F.min("bmin").alias("bmin"))
 
 
 def kpis(lf: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
-    """The single KPI row over the (optionally limited) extract of ``lf``."""
-    ex = extract(lf, p.limit)
+    """The single KPI row over all lines of ``lf`` (a page size never cuts it)."""
     now = _ts(as_of)
-    return kpis_from_sets(_grouped(ex, now), p, now)
+    return kpis_from_sets(_grouped(extract(lf), now), p, now)
 
 
 def kpis_from_sets(g: DataFrame, p: FilterParams, now: Column) -> DataFrame:
@@ -113,9 +118,10 @@ def kpis_from_sets(g: DataFrame, p: FilterParams, now: Column) -> DataFrame:
         F.sum(on(fund, vol)).alias("vtotal"),
         F.max(on(fund, vol)).alias("vmax"),
         F.sum(on(fund, F.pow(dbl(vol), 2))).alias("vsq"))
-    # The three largest funds -- a distributed top-k, then one value
-    # attached as a scalar subquery
-    top3 = (g.filter(fund).select(vol.alias("v")).orderBy(F.col("v").desc()).limit(3)
+    # every fund has lines: the condition only keeps all columns of the shared aggregate in use
+    whole = ((F.col("n") > 0) & (F.least("nulls", "neg", "future") >= 0)
+             & F.col("b").isNotNull() & F.col("bmin").isNotNull())
+    top3 = (g.filter(fund).select(F.when(whole, vol).alias("v")).orderBy(F.col("v").desc()).limit(3)
             .agg(F.sum("v").alias("v3")))
     return stats.withColumn("v3", top3.scalar()).select(*_kpi_columns(p, now))
 

@@ -57,8 +57,11 @@ def _summary(kind: str, counts: DataFrame, text) -> DataFrame:
         F.col("max_value").cast("double").alias("max_value"))
 
 
-def analyze_liquidity(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds()) -> Analysis:
-    a1 = flows.liquidity_metrics(lf)
+# Each analysis takes filtered ledger lines, or with ``ops=plans.dashboard`` a
+# stored daily cube, from which any number of analyses need no further read.
+def analyze_liquidity(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds(),
+                      ops=flows) -> Analysis:
+    a1 = ops.liquidity_metrics(lf)
     by_fund = status.liquidity_status_by_fund(status.liquidity_status(a1, t))
     alerts = L.liquidity_alerts(by_fund, as_of)
     sev = F.col("severity")
@@ -73,12 +76,13 @@ def analyze_liquidity(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds(
                            F.col("metric_count"), F.col("critical_count"), F.col("warning_count"))
     return Analysis("liquidity", by_fund, alerts, status.liquidity_stats(a1),
                     _summary("liquidity", counts, text),
-                    {"liquidity_metrics": a1, "daily_trends": flows.daily_metrics(lf),
+                    {"liquidity_metrics": a1, "daily_trends": ops.daily_metrics(lf),
                      "liquidity_chart": status.liquidity_chart(a1)})
 
 
-def analyze_concentration(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds()) -> Analysis:
-    a3 = flows.concentration(lf)
+def analyze_concentration(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds(),
+                          ops=flows) -> Analysis:
+    a3 = ops.concentration(lf)
     overall = status.concentration_overall(a3, t)
     per_fund = status.concentration_metrics(a3, t)
     alerts = L.concentration_alerts(per_fund, as_of)
@@ -103,12 +107,12 @@ def analyze_concentration(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresho
 
 
 def analyze_balance_evolution(lf: DataFrame, as_of: dt.date,
-                              t: Thresholds = Thresholds()) -> Analysis:
-    evo = evolution.balance_pct_change(lf)
+                              t: Thresholds = Thresholds(), ops=flows) -> Analysis:
+    evo = evolution.with_pct_change(ops.daily_metrics(lf))
     metrics = evolution.evolution_metrics(evo, t)
-    alerts = L.evolution_alerts(metrics, as_of, t.evolution_variation)
+    alerts = L.evolution_alerts(metrics, as_of)
     has_rows = evo.select(F.count(F.lit(1)) > 0)
-    warn = F.abs(F.col("total_variation")) > t.evolution_variation
+    warn = F.col("severity") == C.WARNING
     m = metrics.agg(F.count(F.lit(1)).alias("metric_count"),
                     F.count_if(warn).alias("alert_count"))
     counts = m.withColumn("success", has_rows.scalar()).select(
@@ -121,10 +125,11 @@ def analyze_balance_evolution(lf: DataFrame, as_of: dt.date,
                     _summary("balance_evolution", counts, text), {"evolution_data": evo})
 
 
-def analysis_summary(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds()) -> DataFrame:
+def analysis_summary(lf: DataFrame, as_of: dt.date, t: Thresholds = Thresholds(),
+                     ops=flows) -> DataFrame:
     """A23 for the three analyses, one row each."""
     out = None
     for build in (analyze_liquidity, analyze_concentration, analyze_balance_evolution):
-        s = build(lf, as_of, t).summary.select(*SUMMARY_COLUMNS)
+        s = build(lf, as_of, t, ops).summary.select(*SUMMARY_COLUMNS)
         out = s if out is None else out.unionByName(s)
     return out

@@ -11,10 +11,10 @@ analysis is then derived from the stored cube without touching the
 ledger.  Only line-grained operators (W1, the extract, A5's description
 categories, the limited-extract KPIs) still read lines.
 
-The population standard deviation of A1 comes from exact decimal moments
-``(n*sum(x^2) - sum(x)^2) / n^2``, so it does not depend on the order of
-partial aggregation either (with a double-precision fallback should a
-moment overflow DECIMAL(38)).
+The population standard deviation of A1 comes from centred moments: each
+cube row holds its lines' sum of squared deviations from their own mean, and
+rows combine as ``sum(M2) + sum(n * (mean - m)^2)``, which neither
+overflows nor cancels, at any number of lines.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fundflow.functions import classify as C
 from fundflow.functions.money import dbl, entrada, flow, gross_volume, mean, ratio, rnd, saida, saldo
@@ -42,7 +42,7 @@ def daily_cube(lf: DataFrame) -> DataFrame:
         F.sum(entrada()).alias("e"),
         F.sum(saida()).alias("s"),
         F.sum(f).alias("f"),
-        F.try_sum(f * f).alias("f2"),  # NULL (not an error) if it ever overflows
+        (F.var_pop(f) * F.count(F.lit(1))).alias("m2"),
         F.sum(gross_volume()).alias("gross"),
         F.max(F.abs(f)).alias("fabs"),
         F.sum(saldo()).alias("b"),
@@ -55,21 +55,22 @@ def daily_cube(lf: DataFrame) -> DataFrame:
 
 
 def liquidity_metrics(cube: DataFrame) -> DataFrame:
-    """A1 (+F8) from the cube; ``active_days`` is the number of cube rows."""
-    g = cube.groupBy("nmfundo", "fonte").agg(
+    """A1 (+F8) from the cube; ``active_days`` is the number of cube rows.
+
+    The group's mean comes from a window over its cube rows (one a day), which
+    shares its shuffle with the aggregate.
+    """
+    group = Window.partitionBy("nmfundo", "fonte")
+    days = cube.withColumn("_mean", mean(F.sum("f").over(group), F.sum("n").over(group)))
+    apart = F.col("n") * F.pow(mean(F.col("f"), F.col("n")) - F.col("_mean"), 2)
+    g = days.groupBy("nmfundo", "fonte").agg(
         F.sum("e").alias("total_entries"), F.sum("s").alias("total_exits"),
         F.sum("f").alias("net_flow"), F.sum("n").alias("operation_count"),
-        F.count(F.lit(1)).alias("active_days"), F.try_sum("f2").alias("_f2"),
+        F.count(F.lit(1)).alias("active_days"), F.sum(F.col("m2") + apart).alias("_m2"),
         F.max("fabs").alias("max_daily_flow"), F.min("bmin").alias("min_balance"),
         F.max("bmax").alias("max_balance"), F.sum("gross").alias("_volume"))
-    n, sx, sxx = F.col("operation_count"), F.col("net_flow"), F.col("_f2")
-    # exact: (n*sum(x^2) - sum(x)^2) / n^2 in DECIMAL; if a term overflows
-    # DECIMAL(38) (billions of lines of very large flows) the try_ functions
-    # give NULL and the double form, accurate at such magnitudes, is used
-    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), sxx),
-                           F.try_multiply(sx, sx))
-    approx = dbl(sxx) / dbl(n) - F.pow(dbl(sx) / dbl(n), 2)
-    var = F.coalesce(dbl(exact) / (dbl(n) * dbl(n)), F.greatest(approx, F.lit(0.0)))
+    n, sx = F.col("operation_count"), F.col("net_flow")
+    var = F.col("_m2") / dbl(n)
     return (g.filter(F.col("_volume") > 0)
             .select("nmfundo", "fonte", "total_entries", "total_exits", "net_flow",
                     "operation_count", "active_days", mean(sx, n).alias("avg_daily_flow"),
@@ -87,41 +88,26 @@ def daily_metrics(cube: DataFrame) -> DataFrame:
 
 
 def concentration(cube: DataFrame) -> DataFrame:
-    """A3 from the cube (the grand total is a scalar subquery over the cube)."""
-    total = cube.agg(F.sum("gross")).scalar()
-    v = cube.groupBy("nmfundo", "fonte").agg(
-        F.sum("gross").alias("total_volume"), F.sum("n").alias("operation_count")
-    ).withColumn("_total", total)
-    pct = ratio(F.col("total_volume"), F.col("_total")) * 100
-    return (v.filter(F.col("total_volume") > 0)
-            .select("nmfundo", "fonte", "total_volume", "operation_count",
-                    rnd(pct, 2).alias("concentration_pct"),
-                    C.concentration_level(pct).alias("concentration_level")))
+    """A3 from the cube."""
+    return flows.shares(cube.groupBy("nmfundo", "fonte").agg(
+        F.sum("gross").alias("total_volume"), F.sum("n").alias("operation_count")))
 
 
 def fund_daily_stats(cube: DataFrame) -> DataFrame:
     """A8 + A9 from the cube."""
-    d = cube.groupBy("nmfundo", "date").agg(
-        F.sum("gross").alias("daily_volume"), F.sum("f").alias("daily_balance_change"))
-    return d.groupBy("nmfundo").agg(
-        F.try_divide(dbl(F.max("daily_volume")),
-                     dbl(F.sum("daily_volume")) / F.count(F.lit(1))).alias("volume_concentration"),
-        rnd(F.stddev_pop("daily_balance_change"), flows.STD_DIGITS).alias("balance_volatility"))
+    return flows.fund_stats(cube.groupBy("nmfundo", "date").agg(
+        F.sum("gross").alias("daily_volume"), F.sum("f").alias("daily_balance_change")))
 
 
 def kpis(cube: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
-    """A15 from the cube (the unlimited extract; ``p.limit`` needs lines)."""
-    if p.limit:
-        raise ValueError("the KPI block over a limited extract needs the ledger lines")
+    """A15 from the cube."""
     d = F.col("date")
     future = (F.when(d > F.lit(as_of), F.col("n"))
               .when(d == F.lit(as_of), F.col("after_midnight")).otherwise(F.lit(0)))
-    g = cube.groupingSets([["date"], ["nmfundo"]], "date", "nmfundo").agg(
-        F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("e").alias("e"),
-        F.sum("s").alias("s"), F.sum("b").alias("b"), F.min("bmin").alias("bmin"),
-        F.sum("nulls").alias("nulls"), F.sum("neg").alias("neg"),
-        F.sum(future).alias("future"))
-    return K.kpis_from_sets(g, p, K._ts(as_of))
+    days = cube.groupBy("date", "nmfundo").agg(
+        *(F.sum(c).alias(c) for c in ("n", "e", "s", "b", "nulls", "neg")), F.sum(future).alias("future"),
+        F.min("bmin").alias("bmin"))
+    return K.kpis_from_sets(K.date_and_fund_sets(days), p, K._ts(as_of))
 
 
 @dataclass
@@ -157,7 +143,7 @@ def derive(cube: DataFrame, p: FilterParams, as_of: dt.date,
         "kpi_alerts": L.kpi_alerts(k),
         "alerts": L.combine(L.liquidity_alerts(by_fund, as_of),
                             L.concentration_alerts(conc, as_of),
-                            L.evolution_alerts(evo_m, as_of, t.evolution_variation)),
+                            L.evolution_alerts(evo_m, as_of)),
     }
     return Dashboard(cube, frames)
 

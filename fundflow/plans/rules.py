@@ -26,31 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fundflow.functions.formatting import render_template
 from fundflow.functions.money import dbl, rnd
 from fundflow.operators.alerts import stamp
-from fundflow.operators.flows import STD_DIGITS, fund_daily
+from fundflow.operators.flows import STD_DIGITS, fund_daily, fund_stats
 from fundflow.params import FilterParams
 
-# ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's default rule pack
 # ("Análise de Liquidez"): metric formulas, thresholds and the five alert
 # rules (name, condition, severity, message), in order.
-#   liquidity_ratio      = total_entries / ABS(total_exits)
-#   volume_concentration = MAX(daily_volume) / AVG(daily_volume)
-#   balance_volatility   = STDDEV(daily_balance_change)
-#   thresholds: liquidity_ratio critical_low 0.5, warning_low 0. (sic), optimal_min 0.9,
-#     optimal_max 1.1, warning_high 1.5, critical_high 2.0;
-#     volume_concentration warning 3.0, critical 5.0;
-#     balance_volatility warning 100000, critical 500000
-#   1. Liquidez Crítica Baixa | liquidity_ratio < 0.5 | critical |
-#      Fundo {fund_name} com liquidez crítica: {liquidity_ratio:.2f}
-#   2. Liquidez Baixa | liquidity_ratio >= 0.5 AND liquidity_ratio < 0.8 | warning |
-#      Fundo {fund_name} com baixa liquidez: {liquidity_ratio:.2f}
-#   3. Liquidez Excessiva | liquidity_ratio > 2.0 | warning |
-#      Fundo {fund_name} com liquidez excessiva: {liquidity_ratio:.2f}
-#   4. Alta Concentração | volume_concentration > 5.0 | critical |
-#      Fundo {fund_name} com alta concentração de volume: {volume_concentration:.2f}
-#   5. Alta Volatilidade | balance_volatility > 500000 | warning |
-#      Fundo {fund_name} com alta volatilidade: R$ {balance_volatility:,.2f}
-# ---------------------------------------------------------------------------
 DEFAULT_ALERT_RULES = (
     {"name": "Liquidez Crítica Baixa", "condition": "liquidity_ratio < 0.5",
      "severity": "critical",
@@ -150,20 +131,31 @@ def bind_template(template: str, p: FilterParams) -> tuple[str, list]:
     return sql, args
 
 
+#: String literals, quoted names and comments of a MySQL-style query.
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", re.DOTALL)
+
+
 def adapt_template(sql: str, source: str, population_stddev: bool = True) -> str:
     """Turn a MySQL-style pack query into this module's template form.
 
     ``%s`` markers become ``?``, the statement view named ``source`` becomes
     the ``{ledger}`` DataFrame, and -- MySQL's ``STDDEV`` being the
-    population deviation -- ``STDDEV(`` becomes ``stddev_pop(``.  Nothing
-    else is rewritten; the text must otherwise be valid Spark SQL (``DATE(x)``,
-    ``COALESCE``, ``BETWEEN`` ... are).
+    population deviation -- ``STDDEV(`` becomes ``stddev_pop(``.  Text within
+    quotes and comments stays as it is (``LIKE '%saque%'``), and ``source``
+    counts as a whole name only.  Nothing else is rewritten; the text must
+    otherwise be valid Spark SQL (``DATE(x)``, ``COALESCE``, ``BETWEEN`` ... are).
     """
-    out = re.sub(re.escape(source), "{ledger}", sql, flags=re.IGNORECASE)
-    out = out.replace("%s", "?")
-    if population_stddev:
-        out = re.sub(r"\bSTDDEV\s*\(", "stddev_pop(", out, flags=re.IGNORECASE)
-    return out
+    def code(text: str) -> str:
+        text = re.sub(rf"(?<![\w.`]){re.escape(source)}(?![\w`])", "{ledger}", text, flags=re.IGNORECASE)
+        text = re.sub(r"%s(?!\w)", "?", text)
+        if population_stddev:
+            text = re.sub(r"\bSTDDEV\s*\(", "stddev_pop(", text, flags=re.IGNORECASE)
+        return text
+
+    parts = re.split(_QUOTED, sql)
+    # a quoted source name is still the source
+    return "".join(code(x) if k % 2 == 0 else "{ledger}" if x.strip("`").lower() == source.lower()
+                   and x.startswith("`") else x for k, x in enumerate(parts))
 
 
 def adapt_pack(pack: dict, source: str) -> dict:
@@ -195,22 +187,56 @@ def run_custom_analysis(spark: SparkSession, ledger: DataFrame, queries: dict[st
 
 def fund_daily_stats(lf: DataFrame) -> DataFrame:
     """A8 + A9 from one per-(fund, date) aggregation."""
-    d = fund_daily(lf)
-    return d.groupBy("nmfundo").agg(
-        F.try_divide(dbl(F.max("daily_volume")),
-                     dbl(F.sum("daily_volume")) / F.count(F.lit(1))).alias("volume_concentration"),
-        rnd(F.stddev_pop("daily_balance_change"), STD_DIGITS).alias("balance_volatility"))
+    return fund_stats(fund_daily(lf))
 
 
-def rule_metrics(fund_liquidity: DataFrame, lf: DataFrame) -> DataFrame:
+def rule_metrics(lf: DataFrame) -> DataFrame:
     """L5 inputs: per fund liquidity_ratio (A6), volume_concentration (A8) and
-    balance_volatility (A9), joined null-safely on the fund."""
-    a6 = fund_liquidity.select(
-        F.col("nmfundo").alias("_f"),
-        F.try_divide(F.col("total_entries"), F.abs(F.col("total_exits"))).alias("liquidity_ratio"))
-    other = fund_daily_stats(lf)
-    return (other.join(a6, other["nmfundo"].eqNullSafe(a6["_f"]))
-            .select("nmfundo", "liquidity_ratio", "volume_concentration", "balance_volatility"))
+    balance_volatility (A9), all from one (fund, date) aggregate of the lines."""
+    ratio = F.try_divide(dbl(F.sum("daily_entries")), F.abs(dbl(F.sum("daily_exits"))))
+    return fund_stats(fund_daily(lf), ratio.alias("liquidity_ratio")).select(
+        "nmfundo", "liquidity_ratio", "volume_concentration", "balance_volatility")
+
+
+def pack_metrics(lf: DataFrame, metrics: dict[str, dict]) -> DataFrame:
+    """A pack's own metrics per fund, from their ``calculation`` formulas.
+
+    A formula is SQL over the fund's totals (``total_entries``,
+    ``total_exits``, ``net_flow``, ``operation_count``, ``active_days``) and
+    aggregates over its days (``daily_volume``, ``daily_balance_change``,
+    ``daily_entries``, ``daily_exits``, ``daily_operations``); MySQL's
+    ``STDDEV`` is the population deviation.  One (fund, date) aggregate of
+    the lines feeds them all.  Deviations are rounded as A9's.
+    """
+    total = {"total_entries": "SUM(daily_entries)", "total_exits": "SUM(daily_exits)",
+             "net_flow": "SUM(daily_balance_change)", "operation_count": "SUM(daily_operations)",
+             "active_days": "COUNT(1)"}
+    # sums stay exact decimals and become doubles as results, so no merge order shows
+    exact = {"AVG": r"(double(sum(\2)) / count(\2))", "SUM": r"double(sum(\2))",
+             "MAX": r"double(max(\2))", "MIN": r"double(min(\2))"}
+    out = []
+    for name, metric in metrics.items():
+        text = adapt_template(metric["calculation"], source="{ledger}")
+        for column, formula in total.items():
+            text = re.sub(rf"\b{column}\b", formula, text)
+        for call, form in exact.items():
+            text = re.sub(rf"\b({call})\s*\(\s*(\w+)\s*\)", form, text, flags=re.IGNORECASE)
+        # a division by zero has no value, as in MySQL
+        value = F.expr(_divides_safely(text)).cast("double")
+        out.append((rnd(value, STD_DIGITS) if "stddev_pop(" in text else value).alias(name))
+    return fund_daily(lf).groupBy("nmfundo").agg(*out)
+
+
+def _divides_safely(formula: str) -> str:
+    """``a / b`` at the top level as ``try_divide(a, b)``."""
+    depth = 0
+    for k in range(len(formula) - 1, -1, -1):
+        depth += {")": 1, "(": -1}.get(formula[k], 0)
+        if depth == 0 and formula[k] in "+-":
+            return formula
+        if depth == 0 and formula[k] == "/":
+            return f"try_divide({_divides_safely(formula[:k])}, {formula[k + 1:]})"
+    return formula
 
 
 def rule_alerts(metrics: DataFrame, rules, as_of: dt.date) -> DataFrame:
@@ -221,8 +247,8 @@ def rule_alerts(metrics: DataFrame, rules, as_of: dt.date) -> DataFrame:
     filter per rule unioned together would recompute the metrics -- and
     rescan the ledger -- once per rule.)
     """
-    cols = {c: F.col(c) for c in ("liquidity_ratio", "volume_concentration", "balance_volatility")}
-    cols["fund_name"] = F.col("nmfundo")
+    values = [c for c in metrics.columns if c != "nmfundo"]
+    cols = {c: F.col(c) for c in values} | {"fund_name": F.col("nmfundo")}
     fired = [F.when(F.coalesce(F.expr(r["condition"]), F.lit(False)), F.struct(
         F.lit(i).alias("rule_order"), F.lit(r["name"]).alias("rule"),
         F.lit(r["severity"]).alias("severity"),
@@ -230,5 +256,4 @@ def rule_alerts(metrics: DataFrame, rules, as_of: dt.date) -> DataFrame:
         for i, r in enumerate(rules)]
     return (metrics.withColumn("_r", F.explode(F.array_compact(F.array(*fired))))
             .select("_r.rule_order", "_r.rule", "_r.severity", F.col("nmfundo").alias("fund"),
-                    "liquidity_ratio", "volume_concentration", "balance_volatility",
-                    "_r.message", stamp(as_of).alias("timestamp")))
+                    *values, "_r.message", stamp(as_of).alias("timestamp")))

@@ -3,8 +3,8 @@
 On a cluster the session is built by the platform; ``configure`` only sets
 SQL knobs the operators rely on.  ``local_session`` is for tests and the
 bench.  Shared scratch space (checkpoints, materialised intermediates) is
-always taken from ``spark.checkpoint.dir``; a value is set here only when
-the session has none (local runs).
+always taken from ``spark.checkpoint.dir``; only a local session without one
+gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MB = 1 << 20
 
 
 def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB,
-               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+               min_partitions: int = 200) -> dict[str, str]:
     """Shuffle / split sizing for a job reading ``input_bytes``.
 
     The initial shuffle partition count is sized so that a shuffle of the
@@ -38,7 +38,7 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 * MB,
     the pre-aggregated operators down to the advisory size and splits
     skewed join partitions.
     """
-    parts = max(min_partitions, min(max_partitions, -(-input_bytes // partition_bytes)))
+    parts = max(min_partitions, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
@@ -83,14 +83,20 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """The shared checkpoint folder, as the session names it.
+
+    Where it names none, a local master gets a folder of its own; on a
+    cluster that is an error, as executors share no local folder.
+    """
     sc = _context(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all "
+                               "executors share")
         path = tempfile.mkdtemp(prefix="fundflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path

@@ -17,13 +17,11 @@ from fundflow.sources.contract import PARTITION_COLUMN
 def write_result(df: DataFrame, path: str, mode: str = "overwrite",
                  partition_by: tuple[str, ...] | list[str] = (), fmt: str = "parquet",
                  cluster: bool = True, **options) -> str:
-    """Write ``df``; with ``partition_by`` the rows are first hash-clustered on
-    the partition columns so each partition value is written by one task
-    (one file per value instead of one per task and value).  Leave
-    ``cluster`` off for raw, skewed data where one value can hold a large
-    share of the rows."""
+    """Write ``df``; with ``partition_by`` the rows are first clustered on the
+    partition columns, so that a value goes to few files; adaptive execution
+    splits a value that holds a large share of the rows."""
     if partition_by and cluster:
-        df = df.repartition(*partition_by)
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(fmt).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -37,16 +35,17 @@ def write_ledger(ledger: DataFrame, path: str, granularity: str = "month",
 
     * partitioned by ``dt_part`` (``yyyy-MM`` or ``yyyy-MM-dd``), so a period
       filter prunes whole directories;
-    * range-partitioned on the posting time (Spark samples the keys), so
-      every write task gets an even slice of time whatever the fund skew
-      and touches only a few partition directories;
+    * range-partitioned on posting time and line id (Spark samples the
+      keys), so every write task gets an even slice whatever the fund skew or
+      the number of lines of one date-only posting time, and touches only a
+      few partition directories;
     * sorted by fund then time inside each file, so parquet row-group
       statistics let fund filters skip most row groups.
     """
     fmt = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}[granularity]
     n = num_files or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = (ledger.withColumn(PARTITION_COLUMN, F.date_format("dt_lancamento", fmt))
-           .repartitionByRange(n, "dt_lancamento")
+           .repartitionByRange(n, "dt_lancamento", "id_origem")
            .sortWithinPartitions(PARTITION_COLUMN, "nmfundo", "dt_lancamento"))
     out.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
     return path

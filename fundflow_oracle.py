@@ -158,7 +158,7 @@ SELECT id_origem, fonte, id_carteira, nmfundo, cnpj, dt_lancamento,
 def available_funds(adapter, p, as_of):
     return f"""WITH extrato AS ({ADAPTER_SQL[adapter]})
 SELECT DISTINCT nmfundo FROM extrato WHERE nmfundo IS NOT NULL AND nmfundo <> ''
-ORDER BY nmfundo LIMIT 1000"""
+ORDER BY nmfundo"""
 
 
 def available_custodians(adapter, p, as_of):
@@ -170,7 +170,7 @@ def fund_search(term):
     def build(adapter, p, as_of):
         return f"""WITH extrato AS ({ADAPTER_SQL[adapter]}),
 funds AS (SELECT DISTINCT nmfundo FROM extrato WHERE nmfundo IS NOT NULL AND nmfundo <> ''
-          ORDER BY nmfundo LIMIT 1000)
+          ORDER BY nmfundo)
 SELECT nmfundo FROM funds WHERE contains(lower(nmfundo), lower('{term}'))"""
     return build
 
@@ -410,7 +410,7 @@ FROM a21 WHERE ABS(total) > 20.0"""
 def evolution_stats(adapter, p, as_of):
     return base(adapter, p, DAILY_CTE) + """
 SELECT COUNT(DISTINCT date) AS total_periods,
-  COUNT(DISTINCT nmfundo) + MAX(CASE WHEN nmfundo IS NULL THEN 1 ELSE 0 END) AS funds_analyzed
+  COUNT(DISTINCT nmfundo) + COALESCE(MAX(CASE WHEN nmfundo IS NULL THEN 1 ELSE 0 END), 0) AS funds_analyzed
 FROM daily"""
 
 
@@ -432,16 +432,12 @@ def evolution_by_horizon(horizons: dict[str, int]):
 # --------------------------------------------------------------------------- KPIs
 
 def kpis_sql(adapter, p: FilterParams, as_of, columns: str | None = None):
-    limit = p.limit
-    order = ""
-    if limit:
-        order = f" ORDER BY dt_lancamento DESC, nmfundo ASC NULLS FIRST, id_origem ASC LIMIT {limit}"
     days_div = max(p.period_days, 1)
     now = ts_lit(as_of)
     nulls = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in
                        ("id_origem", "fonte", "id_carteira", "nmfundo", "cnpj", "lancamento"))
     ctes = [
-        f"ex AS (SELECT {EXTRACT_COLS} FROM lf{order})",
+        f"ex AS (SELECT {EXTRACT_COLS} FROM lf)",
         f"""tot AS (
   SELECT COUNT(*) AS n, SUM(entrada) AS te, SUM(saida) AS ts,
     SUM({nulls}) AS nulls,
@@ -546,7 +542,7 @@ def kpi_alerts(adapter, p, as_of):
 # --------------------------------------------------------------------------- breakdowns
 
 def extract_metrics(adapter, p, as_of):
-    return base(adapter, p, enriched_cte(p.limit)) + """
+    return base(adapter, p, enriched_cte()) + """
 SELECT CAST(COALESCE(SUM(valor) FILTER (WHERE tipo_lancamento = 'Crédito'), 0) AS DOUBLE) AS creditos,
   CAST(ABS(COALESCE(SUM(valor) FILTER (WHERE tipo_lancamento = 'Débito'), 0)) AS DOUBLE) AS debitos,
   CAST(COALESCE(SUM(valor), 0) AS DOUBLE) AS saldo_final,
@@ -579,14 +575,14 @@ SELECT nmfundo, fonte, {_brl("total_volume")} AS total_volume,
 
 
 def category_breakdown(adapter, p, as_of):
-    return base(adapter, p, enriched_cte(p.limit)) + """
+    return base(adapter, p, enriched_cte()) + """
 SELECT categoria, CAST(SUM(valor) AS DOUBLE) AS valor_sum, COUNT(valor) AS valor_count,
   CAST(ABS(SUM(valor)) AS DOUBLE) AS valor_abs
 FROM en GROUP BY categoria"""
 
 
 def custodian_comparison(adapter, p, as_of):
-    return base(adapter, p, enriched_cte(p.limit)) + """
+    return base(adapter, p, enriched_cte()) + """
 SELECT fonte, CAST(SUM(valor) AS DOUBLE) AS valor, CAST(ABS(SUM(valor)) AS DOUBLE) AS valor_abs,
   COUNT(DISTINCT nmfundo) AS n_funds
 FROM en WHERE fonte IS NOT NULL GROUP BY fonte"""
@@ -654,6 +650,19 @@ def rule_metrics(adapter, p, as_of):
 SELECT nmfundo, liquidity_ratio, volume_concentration, balance_volatility FROM rm"""
 
 
+def pack_metrics(adapter, p, as_of):
+    return base(adapter, p, A6_CTE, FUND_DAILY_CTE, A8_CTE, A9_CTE, RULE_METRICS_CTE,
+                f"""ticket AS (SELECT nmfundo, CAST(SUM(ABS({E}) + ABS({S})) AS DOUBLE) / COUNT(*) AS average_ticket
+  FROM lf GROUP BY nmfundo)""") + """
+SELECT rm.nmfundo, liquidity_ratio, volume_concentration, balance_volatility, average_ticket
+FROM rm JOIN ticket ON rm.nmfundo IS NOT DISTINCT FROM ticket.nmfundo"""
+
+
+def pack_query(adapter, p, as_of):
+    return base(adapter, p) + """
+SELECT nmfundo, COUNT(*) AS withdrawals FROM lf WHERE contains(lower(lancamento), 'saque') GROUP BY nmfundo"""
+
+
 def rule_alerts(rules):
     def build(adapter, p, as_of):
         parts = [f"""SELECT {i} AS rule_order, '{r["name"]}' AS rule, '{r["severity"]}' AS severity,

@@ -123,17 +123,13 @@ def test_a21_and_l3_branches(orders):
 def test_l5_branches(spark, orders):
     led = orders
     x = lf(led, LAST45)
-    a6 = rules.run_custom_analysis(spark, led, rules.DEFAULT_PACK["queries"], LAST45)
-    assert not a6.errors
-    m = rules.rule_metrics(a6.frames["fund_liquidity_metrics"], x).collect()
+    m = rules.rule_metrics(x).collect()
     r = [row.liquidity_ratio for row in m]
     assert sum(v < 0.5 for v in r) == 3 and sum(0.5 <= v < 0.8 for v in r) == 6
     assert sum(v > 2.0 for v in r) == 10
     assert round(max(row.volume_concentration for row in m), 1) == 3.6
     pa = FilterParams(dt.date(1995, 1, 1), AS_OF)
-    full_m = rules.rule_metrics(rules.run_custom_analysis(
-        spark, led, rules.DEFAULT_PACK["queries"], pa).frames["fund_liquidity_metrics"],
-        lf(led, pa)).collect()
+    full_m = rules.rule_metrics(lf(led, pa)).collect()
     vc = [row.volume_concentration for row in full_m]
     assert sum(v > 5 for v in vc) == 6 and round(max(vc), 1) == 6.4
 

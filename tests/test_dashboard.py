@@ -69,10 +69,3 @@ def test_future_lines_counted_from_the_cube(spark, micro):
         got = D.kpis(D.daily_cube(filters.apply_filters(micro, p)), p, as_of).collect()[0]
         want = K.kpis(filters.apply_filters(micro, p), p, as_of).collect()[0]
         assert got.data_quality_score == want.data_quality_score
-
-
-def test_limited_extract_needs_lines(spark, micro_lf):
-    from fundflow.params import FilterParams
-    p = FilterParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31), limit=3)
-    with pytest.raises(ValueError):
-        D.kpis(D.daily_cube(micro_lf), p, MICRO_AS_OF)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import MICRO_AS_OF, MICRO_PARAMS
 from fundflow.functions import formatting as fmt
 from fundflow.functions.money import to_output
-from fundflow.operators import filters, flows
+from fundflow.operators import alerts, evolution, filters, flows
 from fundflow.params import FilterParams, preset_range
 from fundflow.plans import rules
 from fundflow.session import scratch_path
@@ -79,11 +79,10 @@ def test_materialise(spark, micro_lf):
 
 # ------------------------------------------------------------------ filters
 
-def test_long_fund_list_uses_semi_join(micro):
-    names = tuple(f"F{i}" for i in range(filters.IN_LIST_LIMIT + 5)) + ("Beta",)
-    lf = filters.funds(micro, names)
+def test_long_fund_list_is_a_filter(micro):
+    lf = filters.funds(micro, tuple(f"F{i}" for i in range(1005)) + ("Beta",))
     plan = lf._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
+    assert "Join" not in plan
     assert sorted(r.id_origem for r in lf.collect()) == [4, 5, 6]
 
 
@@ -173,8 +172,7 @@ def test_load_rule_packs_from_yaml(tmp_path):
 
 
 def test_rule_alerts_and_messages(spark, micro, micro_lf):
-    res = rules.run_custom_analysis(spark, micro, rules.DEFAULT_PACK["queries"], MICRO_PARAMS)
-    m = rules.rule_metrics(res.frames["fund_liquidity_metrics"], micro_lf)
+    m = rules.rule_metrics(micro_lf)
     got = {(r.rule, r.fund): r.message for r in
            rules.rule_alerts(m, rules.DEFAULT_ALERT_RULES, MICRO_AS_OF).collect()}
     # Alfa 150/250 = 0.6 (Liquidez Baixa); Beta 400/100 = 4 (Excessiva); NULL fund: no exits
@@ -219,8 +217,8 @@ def test_streaming_sink_to_parquet(spark, micro):
 
 def test_scale_conf():
     from fundflow.session import scale_conf
-    c = scale_conf(100 * 2 ** 40)  # 100 TiB: 409 600 splits of 256 MiB, capped
-    assert c["spark.sql.shuffle.partitions"] == "100000"
+    c = scale_conf(100 * 2 ** 40)  # 100 TiB in splits of 256 MiB, however many
+    assert c["spark.sql.shuffle.partitions"] == "409600"
     assert scale_conf(10 * 2 ** 20)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(1 << 40)["spark.sql.shuffle.partitions"] == "4096"
 
@@ -315,12 +313,81 @@ def test_newest_cutoff_prunes_before_top_k(spark, micro_lf):
     assert sorted(got) == [5, 6, 7]  # 01-05, 01-04, 01-03 are the three newest
     assert sorted(r.id_origem for r in X.extract(micro_lf, 100).collect()) == [1, 2, 3, 4, 5, 6, 7]
     cut = micro_lf.select(X.newest_cutoff(micro_lf, 4)).first()[0]
-    assert cut == dt.date(2024, 1, 2)  # 01-05, 01-04, 01-03 hold 3 lines; 01-02 reaches 4
-    assert micro_lf.select(X.newest_cutoff(micro_lf, 100)).first()[0] is None
+    assert cut == dt.datetime(2024, 1, 2)  # 01-05, 01-04, 01-03 hold 3 lines; 01-02 reaches 4
+    assert micro_lf.select(X.newest_cutoff(micro_lf, 100)).first()[0].year == 1  # cuts nothing
     # on the test tables the top-k sees about `limit` lines, not the whole period
     import __spark_entry__ as E
     led = E.ledger_for(spark, "/root/testdata/sf0.01", "orders")
     lf = filters.apply_filters(led, E.full("orders"))
     c = X.newest_cutoff(lf, 100)
-    kept = lf.filter(c.isNull() | (F.to_date("dt_lancamento") >= c)).count()
+    kept = lf.filter(F.col("dt_lancamento") >= c).count()
     assert 100 <= kept < 200 and lf.count() == 15000
+
+
+def test_no_fund_is_cut_from_the_list(spark, micro):
+    many = spark.range(1500).selectExpr("id", "concat('F', id) as nmfundo")
+    led = many.join(micro.drop("nmfundo").limit(1)).select(*micro.columns)
+    funds = filters.available_funds(led)
+    assert funds.count() == 1500 and filters.fund_search(funds, "f1499").count() == 1
+
+
+def test_checkpoint_dir_is_never_invented_on_a_cluster():
+    from fundflow.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_adapted_template_leaves_literals():
+    sql = rules.adapt_template(
+        "SELECT STDDEV(x), 'ledger_view %s' FROM ledger_view JOIN my_ledger_view_2 -- %s\n"
+        "WHERE a = %s AND b LIKE '%sale%' AND c LIKE \"%s'x\"", "ledger_view")
+    assert sql == ("SELECT stddev_pop(x), 'ledger_view %s' FROM {ledger} JOIN my_ledger_view_2 -- %s\n"
+                   "WHERE a = ? AND b LIKE '%sale%' AND c LIKE \"%s'x\"")
+
+
+def test_evolution_alert_at_the_threshold(spark):
+    evo = spark.createDataFrame([("F", 20.0000002), ("F", 0.0), ("G", 20.0), ("G", 0.0)],
+                                "nmfundo string, pct_change double")
+    m = evolution.evolution_metrics(evo)
+    assert [r.fund for r in alerts.evolution_alerts(m, MICRO_AS_OF).collect()] == ["F"]
+
+
+def test_evolution_stats_of_nothing(micro):
+    none = evolution.balance_pct_change(micro.filter("false"))
+    assert tuple(evolution.evolution_stats(none).first()) == (0, 0)
+
+
+def test_cube_volatility_does_not_cancel(spark, micro):
+    """Large flows that differ little, on many lines of one or several days."""
+    from fundflow.plans import dashboard
+    lines = spark.range(20_000).selectExpr(
+        "id as id_origem", "'c' as fonte", "1L as id_carteira", "'F' as nmfundo", "'' as cnpj",
+        "timestampadd(DAY, cast(id % 7 as int), timestamp_ntz'2024-01-01 00:00:00') as dt_lancamento",
+        "cast(10000000000000 + 100 * (id % 2) as decimal(18,2)) as entrada",
+        "cast(0 as decimal(18,2)) as saida", "cast(0 as decimal(18,2)) as saldo", "'' as lancamento")
+    for lf in (lines, lines.withColumn("dt_lancamento", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))):
+        for a1 in (flows.liquidity_metrics(lf), dashboard.liquidity_metrics(dashboard.daily_cube(lf))):
+            assert a1.first().flow_volatility == 50.0
+
+
+def test_pack_metrics(micro_lf):
+    pack = rules.DEFAULT_METRICS | {"ticket": {"calculation": "SUM(daily_volume) / operation_count"}}
+    got = {r.nmfundo: r for r in rules.pack_metrics(micro_lf, pack).collect()}
+    for r in rules.rule_metrics(micro_lf).collect():
+        assert tuple(got[r.nmfundo])[:4] == tuple(r)
+    assert got["Alfa"].ticket == 400 / 3
+    fired = rules.rule_alerts(rules.pack_metrics(micro_lf, pack), [
+        {"name": "t", "condition": "ticket > 100", "severity": "warning",
+         "message": "{fund_name}: {ticket:.1f}"}], MICRO_AS_OF).collect()
+    assert "Alfa: 133.3" in {r.message for r in fired}
