@@ -54,19 +54,39 @@ def daily_cube(lf: DataFrame) -> DataFrame:
         F.count_if(F.col("dt_lancamento") > day.cast("timestamp_ntz")).alias("after_midnight"))
 
 
-def liquidity_metrics(cube: DataFrame) -> DataFrame:
-    """A1 (+F8) from the cube; ``active_days`` is the number of cube rows.
+def _about_group_mean(rows: DataFrame, *keys: str) -> DataFrame:
+    """``m2`` of each row taken about the mean of its group instead of its own.
 
-    The group's mean comes from a window over its cube rows (one a day), which
-    shares its shuffle with the aggregate.
+    The mean comes from a window over the group's cube rows (one a day, or one a
+    batch), which shares its shuffle with the aggregate that follows.
     """
-    group = Window.partitionBy("nmfundo", "fonte")
-    days = cube.withColumn("_mean", mean(F.sum("f").over(group), F.sum("n").over(group)))
+    group = Window.partitionBy(*keys)
+    rows = rows.withColumn("_mean", mean(F.sum("f").over(group), F.sum("n").over(group)))
     apart = F.col("n") * F.pow(mean(F.col("f"), F.col("n")) - F.col("_mean"), 2)
-    g = days.groupBy("nmfundo", "fonte").agg(
+    return rows.withColumn("m2", F.col("m2") + apart).drop("_mean")
+
+
+def merged(cubes: DataFrame) -> DataFrame:
+    """One cube from the cubes of disjoint sets of lines (batches), line order and overlap of days free."""
+    keys = ("date", "nmfundo", "fonte")
+    return _about_group_mean(cubes, *keys).groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in ("n", "e", "s", "f", "m2", "gross", "b", "nulls", "neg", "after_midnight")),
+        F.max("fabs").alias("fabs"), F.min("bmin").alias("bmin"), F.max("bmax").alias("bmax"))
+
+
+def filtered(cube: DataFrame, p: FilterParams) -> DataFrame:
+    """F1-F3 on a cube: its days and keys are the ledger's."""
+    out = cube.filter(F.col("date").between(F.lit(p.start_date), F.lit(p.end_date)))
+    out = out.filter(F.col("nmfundo").isin(*p.funds)) if p.funds else out
+    return out.filter(F.col("fonte").isin(*p.custodians)) if p.custodians else out
+
+
+def liquidity_metrics(cube: DataFrame) -> DataFrame:
+    """A1 (+F8) from the cube; ``active_days`` is the number of cube rows."""
+    g = _about_group_mean(cube, "nmfundo", "fonte").groupBy("nmfundo", "fonte").agg(
         F.sum("e").alias("total_entries"), F.sum("s").alias("total_exits"),
         F.sum("f").alias("net_flow"), F.sum("n").alias("operation_count"),
-        F.count(F.lit(1)).alias("active_days"), F.sum(F.col("m2") + apart).alias("_m2"),
+        F.count(F.lit(1)).alias("active_days"), F.sum("m2").alias("_m2"),
         F.max("fabs").alias("max_daily_flow"), F.min("bmin").alias("min_balance"),
         F.max("bmax").alias("max_balance"), F.sum("gross").alias("_volume"))
     n, sx = F.col("operation_count"), F.col("net_flow")

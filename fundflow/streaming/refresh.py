@@ -1,24 +1,28 @@
 """Incremental refresh of the daily metrics with Structured Streaming.
 
 The reference recomputes everything on each dashboard rerun (its
-"real-time" KPIs).  On Spark the same daily metrics (A2) can be kept
-current incrementally: new ledger files are read as a stream, lines are
-grouped into event-time days per (fund, custodian), and a watermark on
-``dt_lancamento`` bounds the state -- a day's row is final once the
-watermark passes its end, and late lines older than that are dropped by
-Spark.  The result is the same per-day aggregate as ``flows.daily_metrics``.
+"real-time" KPIs).  On Spark each micro-batch of new lines is reduced to its
+own daily cube (``plans.dashboard``), which is appended; cubes of disjoint
+lines merge, so a reader gets the same per-day aggregate as a batch run at
+any time: open days are there, and no line is too late to count.
 
 ``start_dashboard_refresh`` runs the whole dashboard rerun on the same
-trigger: new lines are appended to the stored ledger and the one-scan
-refresh (``plans.dashboard``) rewrites the result tables.
+trigger: new lines are appended to the stored ledger, their cube to the
+stored cubes, and the result tables are derived from the merged cubes.  No
+line is read twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import os
 
-from fundflow.functions.money import entrada, flow, mean, saida, saldo
+from pyspark.sql import DataFrame, SparkSession
+
+from fundflow.functions.money import to_output
+from fundflow.operators.flows import daily_metrics
+from fundflow.plans import dashboard
 from fundflow.sources.contract import LEDGER_SCHEMA, normalise
+from fundflow.sources.sinks import materialise, write_ledger, write_result
 
 # Fixed value that must equal the reference's declared refresh interval (seconds).
 REFRESH_SECONDS = 300
@@ -32,42 +36,45 @@ def ledger_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return normalise(reader.load(path))
 
 
-def daily_metrics_stream(lines: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """A2 over a stream of ledger lines (append mode: one row per closed day).
+def daily_metrics_stream(lines: DataFrame) -> DataFrame:
+    """A2 over a stream of ledger lines, for sinks that take complete or updated results.
 
-    Watermarks need a zone-aware timestamp: the zone-less posting time is
-    read as UTC (``configure`` pins the session zone to UTC), so the
-    one-day windows are exactly the calendar dates of ``dt_lancamento``.
+    Without a watermark no late line is dropped; the state is the result
+    itself, a row for each (date, fund, custodian).
     """
-    event = F.col("dt_lancamento").cast("timestamp")
-    agg = (lines.withColumn("_event", event).withWatermark("_event", lateness)
-           .groupBy(F.window("_event", "1 day").alias("w"), "nmfundo", "fonte").agg(
-               F.sum(entrada()).alias("daily_entries"),
-               F.sum(saida()).alias("daily_exits"),
-               F.sum(flow()).alias("daily_net_flow"),
-               F.count(F.lit(1)).alias("daily_operations"),
-               F.sum(saldo()).alias("_bal"),
-               F.max(saldo()).alias("max_balance"),
-               F.min(saldo()).alias("min_balance")))
-    return agg.select(
-        F.to_date(F.col("w.start")).alias("date"), "nmfundo", "fonte", "daily_entries",
-        "daily_exits", "daily_net_flow", "daily_operations",
-        mean(F.col("_bal"), F.col("daily_operations")).alias("avg_balance"),
-        "max_balance", "min_balance")
+    return daily_metrics(lines)
+
+
+def _append_cube(batch: DataFrame, folder: str, batch_id: int) -> None:
+    """Idempotent: a batch replayed after a failure replaces its own files."""
+    write_result(dashboard.daily_cube(batch), os.path.join(folder, f"batch={batch_id:08d}"))
+
+
+def read_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """The cube over all lines streamed so far."""
+    return dashboard.merged(spark.read.parquet(folder).drop("batch"))
+
+
+def read_daily_metrics(spark: SparkSession, sink: str) -> DataFrame:
+    """A2 over all lines that ``start_daily_refresh`` has taken in so far."""
+    return dashboard.daily_metrics(read_cube(spark, sink))
+
+
+def _started(stream: DataFrame, per_batch, checkpoint: str, trigger_seconds: int, once: bool):
+    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    q = q.trigger(availableNow=True) if once else q.trigger(processingTime=f"{trigger_seconds} seconds")
+    return q.start()
 
 
 def start_daily_refresh(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         trigger_seconds: int = REFRESH_SECONDS, once: bool = False):
-    """Run the stream into a parquet sink (exactly-once via the checkpoint).
+    """Append each batch's daily cube to ``sink``; ``read_daily_metrics`` reads it.
 
     ``checkpoint`` must be on shared storage (e.g. under spark.checkpoint.dir)
     so a restarted driver or lost executor resumes from it.
     """
-    q = (daily_metrics_stream(ledger_stream(spark, source)).writeStream
-         .format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append").partitionBy("date"))
-    q = q.trigger(availableNow=True) if once else q.trigger(processingTime=f"{trigger_seconds} seconds")
-    return q.start()
+    return _started(ledger_stream(spark, source), lambda batch, n: _append_cube(batch, sink, n),
+                    checkpoint, trigger_seconds, once)
 
 
 def start_dashboard_refresh(spark: SparkSession, source: str, store: str, out: str,
@@ -83,27 +90,20 @@ def start_dashboard_refresh(spark: SparkSession, source: str, store: str, out: s
     * ``params_for(batch_id) -> FilterParams`` gives the period and lists to
       show (e.g. the last 45 days up to today); ``as_of_for(batch_id)``
       the KPI clock (defaults to the period end).
-    * Result tables are overwritten each batch, so they always reflect the
-      whole stored ledger for the period.
+    * Result tables are overwritten each batch from the merged cubes of all
+      batches (``out/daily-cube``), so they reflect every line of the period.
     """
-    import os
-
-    from fundflow.functions.money import to_output
-    from fundflow.plans import dashboard
-    from fundflow.sources.readers import read_ledger
-    from fundflow.sources.sinks import write_ledger, write_result
+    cubes = os.path.join(out, "daily-cube")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         write_ledger(batch, os.path.join(store, f"batch={batch_id:08d}"))
+        _append_cube(batch, cubes, batch_id)
         p = params_for(batch_id)
-        ledger = read_ledger(spark, store, period=(p.start_date, p.end_date))
         as_of = as_of_for(batch_id) if as_of_for else p.end_date
-        for name, df in dashboard.refresh(spark, ledger, p, as_of).frames.items():
+        cube = materialise(spark, dashboard.filtered(read_cube(spark, cubes), p), "daily-cube")
+        for name, df in dashboard.derive(cube, p, as_of).frames.items():
             if "metadata" in df.columns:
                 df = df.drop("metadata")
             write_result(to_output(df), os.path.join(out, name))
 
-    q = (ledger_stream(spark, source).writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", checkpoint))
-    q = q.trigger(availableNow=True) if once else q.trigger(processingTime=f"{trigger_seconds} seconds")
-    return q.start()
+    return _started(ledger_stream(spark, source), per_batch, checkpoint, trigger_seconds, once)
