@@ -205,3 +205,27 @@ def test_w1_spreads_a_hot_fund(spark):
                                      .orderBy("dt_lancamento", "id_origem")).alias("previous_balance"))
     ours = ours.select("nmfundo", "fonte", "date", "balance", "previous_balance")
     assert plain.exceptAll(ours).count() == 0 and ours.exceptAll(plain).count() == 0
+
+
+def test_w1_spreads_one_posting_time(spark):
+    """One fund, one (date-only) posting time, repeated and null ids among them: many tasks, same lags."""
+    from pyspark.sql import Window
+    led = spark.range(10_000).selectExpr(
+        "case when id = 77 then null else id - 5000 end as id_origem", "'c' as fonte", "1L as id_carteira",
+        "'F' as nmfundo", "'' as cnpj", "timestamp_ntz'2024-01-01 00:00:00' as dt_lancamento",
+        "cast(1 as decimal(18,2)) as entrada", "cast(0 as decimal(18,2)) as saida",
+        "cast(id as decimal(18,2)) as saldo", "'' as lancamento")
+    ours = flows.balance_evolution(led, ids_per_slice=100)
+    plain = led.select("saldo", F.lag("saldo").over(
+        Window.partitionBy("nmfundo").orderBy("dt_lancamento", "id_origem")).alias("previous_balance"))
+    got = ours.select("balance", "previous_balance")
+    assert plain.exceptAll(got).count() == 0 and got.exceptAll(plain).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = (ours.filter("previous_balance >= 0").withColumn("pid", F.spark_partition_id())
+                 .groupBy("pid").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in tasks) < 3000
+    assert "SortAggregate" not in ours._jdf.queryExecution().executedPlan().toString()
