@@ -14,7 +14,7 @@ whole test tables; filters are the feature's own parameters.
 from __future__ import annotations
 
 import datetime as dt
-import importlib.util
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -371,18 +371,28 @@ def _importable(query: Callable) -> Callable:
     return run_query
 
 
+def _present(module: str):
+    """The module, or None where its file or folder is not there; its own errors are errors."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name and f"{module}.".startswith(f"{missing.name}."):
+            return None
+        raise
+
+
 def _training_data() -> tuple[dict, dict]:
-    """Queries and SQL of the training-data subpackage, where it and the pipeline are present."""
+    """Queries and SQL of the training-data subpackage and the pipeline, where they are present."""
     found, sql = {}, {}
-    if importlib.util.find_spec("fundflow.llm") is not None:
-        from fundflow.llm import queries as llm
+    llm = _present("fundflow.llm.queries")
+    if llm is not None:
         found |= llm.QUERIES
         sql |= llm.ORACLE_SQL
-        if importlib.util.find_spec("corpus_pipeline") is not None:
-            import corpus_pipeline
-            found["pipeline"] = corpus_pipeline.run
-            if corpus_pipeline.ORACLE_SQL is not None:
-                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    pipeline = _present("corpus_pipeline")
+    if llm is not None and pipeline is not None:
+        found["pipeline"] = pipeline.run
+        if pipeline.ORACLE_SQL is not None:
+            sql["pipeline"] = pipeline.ORACLE_SQL
     return {name: _importable(query) for name, query in found.items()}, sql
 
 
