@@ -34,7 +34,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shape = W.Shape(window, gram, W.word_units, W.word_grams)
     rows, total = W.dealt(docs, doc_id, text)
     buckets = max(1, -(-SPREAD * total // W.BUCKET_BYTES))
-    hot = docs.sparkSession.sparkContext.broadcast(W.hot_minimisers(docs, text, shape, buckets))
+    hot = docs.sparkSession.sparkContext.broadcast(W.hot_minimisers(docs, text, shape, buckets * W.PARTS))
 
     def cut(table: pa.Table):
         table, ids = W.ordered(table)
@@ -48,7 +48,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return W.bodies(chunk, [b for b, _ in asked], [x for _, x in asked])
 
     def answer(table: pa.Table) -> pa.Table:
-        return W.answers(table, shape, lambda data, off, doc: W.word_windows(data, off, doc, window))
+        return W.answers(table, lambda data, off: W.word_window_counts(data, off, window),
+                         lambda data, off, doc: W.word_windows(data, off, doc, window))
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:

@@ -39,17 +39,33 @@ SPREAD = 1
 
 
 # ---------------------------------------------------------------- difference cover
+def _order(key: np.ndarray, top: int) -> np.ndarray:
+    """Positions in order of ``key`` (0..top), equal keys by position."""
+    bits = len(key).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    packed = key << bits | np.arange(len(key))  # sorting numbers is far quicker than sorting positions
+    packed.sort()
+    return packed & (1 << bits) - 1
+
+
 def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks from 1 of rows of symbols, and the largest."""
-    name = columns[0]
-    for column in columns[1:]:
-        wide = name * (int(column.max(initial=0)) + 1) + column
-        order = np.argsort(wide)
-        step = np.zeros(len(wide), np.int64)
-        step[1:] = np.diff(wide[order]) != 0
-        name = np.empty(len(wide), np.int64)
+    room = 63 - len(columns[0]).bit_length()
+    tops = [int(c.max(initial=0)) for c in columns]
+    name, top = columns[0], tops[0]
+    for k in range(1, len(columns)):
+        name = name * (tops[k] + 1) + columns[k]
+        top = top * (tops[k] + 1) + tops[k]
+        if k + 1 < len(columns) and (top * (tops[k + 1] + 1) + tops[k + 1]).bit_length() <= room:
+            continue  # the next column still fits beside
+        order = _order(name, top)
+        step = np.zeros(len(name), np.int64)
+        step[1:] = np.diff(name[order]) != 0
+        name = np.empty(len(name), np.int64)
         name[order] = np.cumsum(step) + 1
-    return name, int(name.max(initial=0))
+        top = int(name.max(initial=0))
+    return name, top
 
 
 def suffix_order(symbols: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
@@ -61,44 +77,44 @@ def suffix_order(symbols: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     n = len(symbols)
     if n < 3:
         return np.array(sorted(range(n), key=lambda k: symbols[k:].tolist()), np.int64)
-    s = np.concatenate([symbols, np.zeros(4, np.int64)])
-    ones = np.arange(1, n + (n % 3 == 1), 3)  # a last empty triple keeps the two halves apart
-    twos = np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    name, distinct = _names(s[sample], s[sample + 1], s[sample + 2])
-    if distinct < len(sample) and 3 * span < depth:
+    # every third position is a slice: at[k] are the symbols k places right of 0, 3, 6, ...
+    n0, n2 = -(-n // 3), n // 3  # positions 0 and 2 modulo 3; 1 modulo 3 are n0 with a last
+    s = np.concatenate([symbols, np.zeros(8, np.int64)])  # empty triple that keeps both halves apart
+    at = [s[k:k + 3 * n0:3] for k in range(4)]
+    two = [s[k:k + 3 * n2:3] for k in range(2, 5)]
+    name, distinct = _names(*(np.concatenate(x) for x in zip(at[1:], two)))
+    if distinct < len(name) and 3 * span < depth:
         order = suffix_order(name, depth, 3 * span)
-        name = np.empty(len(sample), np.int64)
-        name[order] = np.arange(1, len(sample) + 1)
+        name[order] = np.arange(1, len(name) + 1)
     else:
-        order = np.argsort(name, kind="stable")
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample] = name
-    sampled = sample[order]
+        order = _order(name, distinct)
+    sampled = np.where(order < n0, 3 * order + 1, 3 * (order - n0) + 2)
     sampled = sampled[sampled < n]
-    base = len(sample) + 2
-    zeros = np.arange(0, n, 3)
-    key = s[zeros] * base + rank[zeros + 1]
-    zero_order = np.argsort(key, kind="stable")
-    zeros, key = zeros[zero_order], key[zero_order]
-    # how many sampled suffixes come before each of the others: by (symbol, rank) against the
-    # ones, by (symbol, symbol, rank) against the twos
-    at = ones[ones < n]
-    before = np.searchsorted(np.sort(s[at] * base + rank[at + 1]), key)
-    pair, _ = _names(np.concatenate([s[twos], s[zeros]]), np.concatenate([s[twos + 1], s[zeros + 1]]))
-    of_twos = np.sort(pair[:len(twos)] * base + rank[twos + 2])
-    before = before + np.searchsorted(of_twos, pair[len(twos):] * base + rank[zeros + 2])
-    place = np.maximum.accumulate(before) + np.arange(len(zeros))
+    base = len(name) + 2
+    ones, twos = name[:n0], np.concatenate([name[n0:], np.zeros(n0 + 1 - n2, np.int64)])
+    # the others by (symbol, rank that follows)
+    key = at[0] * base + ones
+    zero = _order(key, (int(at[0].max(initial=0)) + 1) * base)
+    key = key[zero]
+    # how many sampled suffixes come before each: by (symbol, rank) against the ones, by
+    # (symbol, symbol, rank) against the twos
+    real = n0 - (n % 3 == 1)
+    before = np.searchsorted(np.sort(at[1][:real] * base + twos[:real]), key)
+    pair, _ = _names(np.concatenate([two[0], at[0]]), np.concatenate([two[1], at[1]]))
+    after = np.concatenate([ones[1:], np.zeros(1, np.int64)])[:n2]
+    own = pair[n2:] * base + twos[:n0]
+    before = before + np.searchsorted(np.sort(pair[:n2] * base + after), own[zero])
+    place = np.maximum.accumulate(before) + np.arange(n0)
     out = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
     taken[place] = True
-    out[place] = zeros
+    out[place] = 3 * zero
     out[~taken] = sampled
     return out
 
 
-def repeated_strings(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int):
-    """(super-k-mer of each string, whether a smaller id has it), strings in order of place."""
+def smallest_ids(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The smallest id that has each string of ``length`` bytes, in order of place."""
     count = np.diff(off) - length + 1
     kmer = np.repeat(np.arange(len(count)), count)
     start = np.repeat(off[:-1], count) + W._ranges(count)
@@ -112,14 +128,14 @@ def repeated_strings(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length:
     string[start + kmer] = np.arange(len(start))
     order = string[order]
     order = order[order >= 0]
-    flag = np.zeros(len(start), bool)
+    out = np.empty(len(start), np.int64)
     if len(order):
         a, b = start[order[:-1]], start[order[1:]]
         tie = equal_spans(data, a, b, np.full(len(a), length))
         edge = np.concatenate([[0], np.flatnonzero(~tie) + 1])
         least = np.minimum.reduceat(doc[kmer[order]], edge)
-        flag[order] = np.repeat(least, np.diff(np.append(edge, len(order)))) < doc[kmer[order]]
-    return kmer, flag
+        out[order] = np.repeat(least, np.diff(np.append(edge, len(order))))
+    return out
 
 
 # ---------------------------------------------------------------- the exchange of minimisers
@@ -186,7 +202,7 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shape = W.Shape(length, min(gram, length), W.byte_units, W.byte_grams)
     rows, total = W.dealt(docs, doc_id, text, CHUNK_BYTES)
     buckets = max(1, -(-SPREAD * total // W.BUCKET_BYTES))
-    hot = docs.sparkSession.sparkContext.broadcast(W.hot_minimisers(docs, text, shape, buckets))
+    hot = docs.sparkSession.sparkContext.broadcast(W.hot_minimisers(docs, text, shape, buckets * W.PARTS))
 
     def cut(table: pa.Table):
         table, ids = W.ordered(table)
@@ -211,7 +227,8 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return W.bodies(chunk, [b for b, _ in asked], [x for _, x in asked])
 
     def answer(table: pa.Table) -> pa.Table:
-        out = W.answers(table, shape, lambda data, off, doc: repeated_strings(data, off, doc, length))
+        out = W.answers(table, lambda data, off: np.diff(off) - length + 1,
+                        lambda data, off, doc: smallest_ids(data, off, doc, length))
         # the buckets of the second exchange follow those of the first
         at = out.schema.get_field_index("bucket")
         return out.set_column(at, "bucket", pa.array(np.asarray(out.column(at)) + buckets, pa.int64()))

@@ -39,6 +39,8 @@ from fundflow.llm.text import (
 
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
+#: A bucket is worked off in so many parts, by minimiser too, to bound memory.
+PARTS = 16
 #: No bucket's minimiser may hold more than this share of all windows, at any size.
 SHARE = 1e-5
 NO_ID = np.iinfo(np.int64).max
@@ -281,6 +283,7 @@ class Question:
     """What a chunk asks one bucket: its distinct super-k-mers in order of first occurrence."""
 
     bucket: int
+    part: np.ndarray  # of each distinct super-k-mer
     kmers: Kmers  # all occurrences
     code: np.ndarray  # distinct number of each occurrence
     one: np.ndarray  # occurrence that is the first of each distinct
@@ -289,7 +292,9 @@ class Question:
 
 
 def questions(units: Units, kmers: Kmers, shape: Shape, buckets: int):
-    bucket = (mix(kmers.key * _C3 + _C2) % np.uint64(buckets)).astype(np.int64)
+    code = mix(kmers.key * _C3 + _C2)
+    bucket = (code % np.uint64(buckets)).astype(np.int64)
+    part = (code >> np.uint64(56)).astype(np.uint8) % PARTS
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(edge, np.append(edge[1:], len(order))):
@@ -301,31 +306,52 @@ def questions(units: Units, kmers: Kmers, shape: Shape, buckets: int):
         one = np.full(len(coded.dictionary), len(code), np.int64)
         np.minimum.at(one, code, np.arange(len(code)))
         data, off = gather(units.data, start[one], end[one])
-        yield Question(int(bucket[order[a]]), mine, code, one, data, off)
+        yield Question(int(bucket[order[a]]), part[order[a:b]][one], mine, code, one, data, off)
 
 
 def ask(question: Question, ids: np.ndarray) -> bytes:
     first = ids[question.kmers.row[question.one]]
-    return pack(first, np.diff(question.off).astype(np.uint32), question.data)
+    return pack(first, np.diff(question.off).astype(np.uint32), question.part, question.data)
 
 
-def answers(table: pa.Table, shape: Shape, repeated: Callable) -> pa.Table:
-    """One bucket: bits of the windows that a smaller id has too, for the chunks that have such."""
+def answers(table: pa.Table, window_counts: Callable, smallest: Callable) -> pa.Table:
+    """One bucket: bits of the windows that a smaller id has too, for the chunks that have such.
+
+    ``window_counts(data, off)`` gives the number of windows of each super-k-mer,
+    ``smallest(data, off, doc)`` the smallest id that has each window, in
+    order.  The latter sees a super-k-mer that several chunks sent once.
+    """
     chunks = np.asarray(table.column("chunk").combine_chunks())
     bucket = table.column("bucket")[0].as_py()
     order = np.argsort(chunks, kind="stable")
-    ids, sizes, datas, counts = [], [], [], []
+    ids, sizes, parts, datas, counts = [], [], [], [], []
     for k in order.tolist():
-        doc, size, data = unpack(table.column("body")[k].as_py())
+        doc, size, part, data = unpack(table.column("body")[k].as_py())
         ids.append(doc.astype(np.int64))
         sizes.append(size.astype(np.int64))
+        parts.append(part)
         datas.append(data)
         counts.append(len(doc))
-    off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    data, doc = np.concatenate(datas), np.concatenate(ids)
-    del datas, sizes, ids
-    kmer, flag = repeated(data, off, doc)  # of every window, by super-k-mer
-    chunk_of = np.repeat(chunks[order], counts)[kmer]
+    size = np.concatenate(sizes)
+    off = np.concatenate([[0], np.cumsum(size)])
+    data, doc, part = np.concatenate(datas), np.concatenate(ids), np.concatenate(parts)
+    del datas, sizes, ids, parts
+    windows = window_counts(data, off)
+    place = np.concatenate([[0], np.cumsum(windows)])
+    flag = np.zeros(int(place[-1]), bool)  # of every window, by super-k-mer
+    for k in range(PARTS):
+        mine = np.flatnonzero(part == k)
+        if len(mine):
+            coded = strings(*gather(data, off[mine], off[mine + 1]), pa.large_binary()).dictionary_encode()
+            code, n = np.asarray(coded.indices), len(coded.dictionary)
+            low, count = np.full(n, NO_ID), np.zeros(n, np.int64)
+            np.minimum.at(low, code, doc[mine])
+            count[code] = windows[mine]
+            least = smallest(*flat(coded.dictionary), low)
+            step, each = _ranges(windows[mine]), windows[mine]
+            first = np.repeat((np.cumsum(count) - count)[code], each) + step
+            flag[np.repeat(place[mine], each) + step] = least[first] < np.repeat(doc[mine], each)
+    chunk_of = np.repeat(np.repeat(chunks[order], counts), windows)
     edge = np.flatnonzero(np.diff(chunk_of, prepend=-1))
     out_chunk, out_body = [], []
     for a, b in zip(edge, np.append(edge[1:], len(chunk_of))):
@@ -335,8 +361,12 @@ def answers(table: pa.Table, shape: Shape, repeated: Callable) -> pa.Table:
     return bodies(np.array(out_chunk, np.int64), [bucket] * len(out_body), out_body)
 
 
-def word_windows(data: np.ndarray, off: np.ndarray, doc: np.ndarray, size: int):
-    """(super-k-mer of each window, whether a smaller id has the window) by sorting window hashes.
+def word_window_counts(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
+    return np.diff(words(data, off, SPACED)[2]) - size + 1
+
+
+def word_windows(data: np.ndarray, off: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """The smallest id that has each window, by sorting window hashes.
 
     Windows of one hash are compared byte by byte; a hash that two different
     windows share is settled by their bytes.
@@ -352,14 +382,14 @@ def word_windows(data: np.ndarray, off: np.ndarray, doc: np.ndarray, size: int):
         h += code[at + k]
     h = mix(h)
     a, b = starts[at], ends[at + size - 1]
-    return kmer, _smaller_elsewhere(data, a, b - a, np.argsort(h), doc[kmer], h)
+    return smallest_ids(data, a, b - a, np.argsort(h), doc[kmer], h)
 
 
-def _smaller_elsewhere(data, start, length, order, doc, h) -> np.ndarray:
-    """Whether a span equal to each one has a smaller id; ``order`` sorts the spans by hash ``h``."""
-    flag = np.zeros(len(order), bool)
+def smallest_ids(data, start, length, order, doc, h) -> np.ndarray:
+    """The smallest id of the spans equal to each one; ``order`` sorts the spans by hash ``h``."""
+    out = np.empty(len(order), np.int64)
     if not len(order):
-        return flag
+        return out
     tie = h[order[1:]] == h[order[:-1]]
     again = np.flatnonzero(tie) + 1
     x, y = order[again], order[again - 1]
@@ -373,16 +403,15 @@ def _smaller_elsewhere(data, start, length, order, doc, h) -> np.ndarray:
             text = [data[start[k]:start[k] + length[k]].tobytes() for k in spans]
             for t, k in zip(text, spans):
                 least[t] = min(least.get(t, NO_ID), int(doc[k]))
-            flag[spans] = [least[t] < doc[k] for t, k in zip(text, spans)]
+            out[spans] = [least[t] for t in text]
         order = order[~clash]
         if not len(order):
-            return flag
+            return out
         tie = h[order[1:]] == h[order[:-1]]
     group = np.concatenate([[0], np.cumsum(~tie)])
     edge = np.concatenate([[0], np.flatnonzero(~tie) + 1])
-    least = np.minimum.reduceat(doc[order], edge)
-    flag[order] = least[group] < doc[order]
-    return flag
+    out[order] = np.minimum.reduceat(doc[order], edge)[group]
+    return out
 
 
 def repeated_windows(units: Units, kmers: Kmers, shape: Shape, buckets: int, ids: np.ndarray,

@@ -114,8 +114,8 @@ def test_equal_hashes_are_settled_by_bytes():
     data = np.frombuffer(b"aaabbbaaaccc", np.uint8)
     start, length = np.array([0, 3, 6, 9]), np.full(4, 3)
     h = np.zeros(4, np.uint64)  # one hash for all
-    flag = W._smaller_elsewhere(data, start, length, np.argsort(h), np.array([1, 1, 2, 2]), h)
-    assert flag.tolist() == [False, False, True, False]
+    least = W.smallest_ids(data, start, length, np.argsort(h), np.array([1, 1, 2, 2]), h)
+    assert least.tolist() == [1, 1, 1, 2]
 
 
 def brute_exact(rows):
