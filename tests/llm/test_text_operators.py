@@ -70,7 +70,7 @@ def test_scan_empty(nothing):
     ("the general public licensed the premise of mitigation", []),
 ])
 def test_rules(text, labels):
-    found = license_scan.detect(text)
+    found = license_scan.detect(text.split())
     assert sorted({rule.label for _, _, rule in found}) == labels
     for k, (a, b, _) in enumerate(found):  # nothing lies within another detection
         assert not any(x <= a and b <= y for j, (x, y, _) in enumerate(found) if j != k)
@@ -85,7 +85,14 @@ def test_rules_are_many_ordered_and_gated():
              "ms pl", "ms rl", "upl", "ncsa license", "bsd license", "mit license", "isc license", "zlib license",
              "wtfpl", "unlicense", "0bsd", "cc0", "cc by", "cc by sa", "creative commons attribution"]
     for name in names:
-        assert license_scan.detect(f"x {name} y"), name
+        assert license_scan.detect(f"x {name} y".split()), name
+
+
+def test_rules_reach_no_further_than_their_stretch():
+    """A rule's longest match is within REACH words, so no detection is cut off."""
+    for rule in license_scan.rules():
+        words_ = re.sub(r"\(\?[:<!=]+|[()?\[\]]", " ", rule.pattern.pattern).replace("|", " ").split()
+        assert len(words_) <= license_scan.REACH, rule.pattern.pattern
 
 
 # ---------------------------------------------------------------- decontamination
