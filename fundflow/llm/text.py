@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time inside a task (a longer text is one piece).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 #: ``[^\x20\x09-\x0D]+``: everything but ASCII white space.
 SPACED = np.ones(256, dtype=bool)
