@@ -70,11 +70,11 @@ class WordBpe:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[self.ids[a], self.ids[b]] = rank
             self.merged.append(self.ids[a + b])
-        self.reach: dict[str, int] = {}  # longest token by its first two characters
-        for token in self.ids:
-            token = token.removesuffix(WORD_END)
-            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
-        self.longest = max(self.reach.values())
+        inner = {t: k for t, k in self.ids.items() if not t.endswith(WORD_END) or t == WORD_END}
+        self.ending = {t.removesuffix(WORD_END): k for t, k in self.ids.items() if t not in inner}
+        # every beginning of an inner token: the token's id, or None where it only leads to one
+        self.paths = {t[:k]: None for t in inner for k in range(1, len(t))} | inner
+        self.longest = max(map(len, self.ending))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
         # the same words where no character is one that the two modules class differently
@@ -83,6 +83,8 @@ class WordBpe:
         self.unplain = re.compile("[\x1c-\x1f\x85\xa0²³¹¼½¾]|[^\x00-\u024f]").search
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.bytes = byte_characters()
+        self.inner = [self.ids[c] for c in self.bytes]  # a byte's symbol within a word, and at its end
+        self.last = [self.ids[c + WORD_END] for c in self.bytes]
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.repaired = 0
@@ -98,21 +100,28 @@ class WordBpe:
 
     # ---- words to tokens
     def symbols(self, word: str) -> list[int]:
-        chars = [self.bytes[b] for b in word.encode()]
-        return [self.ids[c] for c in chars[:-1]] + [self.ids[chars[-1] + WORD_END]]
+        raw, inner = word.encode(), self.inner
+        out = [inner[b] for b in raw]
+        out[-1] = self.last[raw[-1]]
+        return out
 
     def merge(self, tokens: list[int]) -> list[int]:
         """Merge by rank, leftmost first: the defining result."""
         if len(tokens) > 32:
             return self.merge_long(tokens)
         tokens, rank, none = list(tokens), self.ranks.get, len(self.merged)
-        while len(tokens) > 1:
-            ranks = [rank(pair, none) for pair in zip(tokens, tokens[1:])]
+        ranks = [rank(pair, none) for pair in zip(tokens, tokens[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             k = ranks.index(best)
-            tokens[k:k + 2] = [self.merged[best]]
+            tokens[k] = self.merged[best]
+            del tokens[k + 1], ranks[k]
+            if k < len(ranks):  # only the pairs beside the merged one change
+                ranks[k] = rank((tokens[k], tokens[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank((tokens[k - 1], tokens[k]), none)
         return tokens
 
     def merge_long(self, tokens: list[int]) -> list[int]:
@@ -140,18 +149,24 @@ class WordBpe:
     def greedy(self, word: str) -> list[int]:
         text = word if word.isascii() and word.isprintable() else "".join(
             [self.bytes[b] for b in word.encode()])
-        out, at, n, ids = [], 0, len(text), self.ids.get
+        out, at, n, paths, ending, longest = [], 0, len(text), self.paths, self.ending, self.longest
         while at < n:
-            token = ids(text[at:] + WORD_END) if n - at <= self.longest else None
+            token = ending.get(text[at:]) if n - at <= longest else None
             if token is not None:
                 out.append(token)
                 break
-            for end in range(min(n - 1, at + self.reach.get(text[at:at + 2], 1)), at, -1):
-                token = ids(text[at:end])
-                if token is not None:
+            end = found = at + 1
+            token = paths[text[at]]
+            while end < n - 1:
+                end += 1
+                piece = text[at:end]
+                if piece not in paths:
                     break
+                longer = paths[piece]
+                if longer is not None:
+                    token, found = longer, end
             out.append(token)
-            at = end
+            at = found
         return out
 
     def compatible(self, a: int, b: int) -> bool:
