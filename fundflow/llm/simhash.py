@@ -1,7 +1,8 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A fingerprint has 64 bits; bit k is set if bit k is set in over half of the
-XXH64 hashes (seed 42) of the document's word shingles, repeats included.
+XXH64 hashes (seed 42) of the document's word shingles, A-Z lower-cased,
+repeats included.
 Fingerprints within ``radius`` bits are linked; components are the closure.
 
 Only distinct fingerprints are compared.  Their bits are cut into blocks:
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fundflow.llm.components import components
-from fundflow.llm.text import pieces
+from fundflow.llm.text import LOWER, pieces
 from fundflow.llm.windows import word_units
 from fundflow.session import scratch_path
 
@@ -55,7 +56,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     count = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
     edge = np.concatenate([[0], np.cumsum(count)])
     votes = np.zeros((len(count), BITS), np.int64)
-    buffer = memoryview(np.ascontiguousarray(units.data))
+    buffer = memoryview(LOWER[units.data])  # white space stays: the words' places too
     digest = xxhash.xxh64_intdigest
     block = 1 << 17
     for a in range(0, int(edge[-1]), block):

@@ -211,6 +211,18 @@ def test_simhash_empty(nothing):
     assert simhash.simhash_dedup(nothing).collect() == []
 
 
+def test_simhash_lower_cases_ascii(spark):
+    """Texts that differ in A-Z only have the fingerprint of the lower-cased text; other letters keep their case."""
+    low = "the quick brown fox jumps over the lazy dog à la carte é " + " ".join(f"w{k}" for k in range(20))
+    rows = [(1, low), (2, low.upper().replace("À", "à").replace("É", "é")), (3, low.title().replace("À", "à")),
+            (4, "Àbc DEF"), (5, "àbc def"), (6, "@[`{ AZ"), (7, "@[`{ az")]
+    lower = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.simhash_dedup(frame).collect()}
+    assert got == {i: f"{brute_print(lower(t)):016x}" for i, t in rows}
+    assert got[1] == got[2] and got[4] != got[5] and got[6] == got[7]
+
+
 def test_bit_sliced_distances():
     r = np.random.default_rng(0)
     values = []
