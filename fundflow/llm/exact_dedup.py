@@ -24,7 +24,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fundflow.session import scratch_path
+from fundflow.session import keyed_rows, scratch_path
 
 WHITE_SPACE = " \t\n\x0b\f\r"
 
@@ -33,15 +33,16 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_key: str | None = None) -> DataFrame:
     """(row_key, doc_id, digest, n_points) of every row, stored in the shared folder.
 
     ``row_key`` tells repeated rows apart; storing the rows fixes it for all
-    later steps, also if an executor is lost.
+    later steps, also if an executor is lost.  It is made here unless a
+    column of stored keys is named.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "digests")
-    (docs.select(F.monotonically_increasing_id().alias("row_key"),
+    (docs.select((F.col(row_key) if row_key else F.monotonically_increasing_id()).alias("row_key"),
                  F.col(doc_id).alias("doc_id"),
                  F.sha2(normalised(F.col(text)), 256).alias("digest"),
                  F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_points"))
@@ -121,10 +122,10 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``docs`` must give its rows in the same order each time it is read, as a
-    stored table does: row keys are assigned on both reads.
+    ``docs`` is read once: digests and kept rows both come from the stored rows.
     """
     index = index or DigestIndex.fresh(docs.sparkSession)
-    keys = dedup_batch(index, digests(docs, doc_id, text)).filter("kept").select("row_key")
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("row"))
+    keyed = keyed_rows(docs, "exact-dedup-rows")
+    keys = (dedup_batch(index, digests(keyed, f"row.{doc_id}", f"row.{text}", "row_key"))
+            .filter("kept").select("row_key"))
     return keyed.join(keys, "row_key", "left_semi").select("row.*")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fundflow.llm.components import components
 from fundflow.llm.text import LOWER, pieces
 from fundflow.llm.windows import word_units
-from fundflow.session import scratch_path
+from fundflow.session import keyed_rows, scratch_path
 
 SHINGLE = 4
 RADIUS = 4
@@ -271,12 +271,16 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # ---------------------------------------------------------------- the operator
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row for each document: row_key, doc_id, fp (signed long), component_id."""
+                    shingle: int = SHINGLE, radius: int = RADIUS, row_key: str | None = None) -> DataFrame:
+    """One row for each document: row_key, doc_id, fp (signed long), component_id.
+
+    ``row_key`` is made here unless a column of stored keys is named.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    (docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"),
-                 fingerprinted(text, shingle).alias("fp")).write.parquet(path))
+    (docs.select((F.col(row_key) if row_key else F.monotonically_increasing_id()).alias("row_key"),
+                 F.col(doc_id).cast("long").alias("doc_id"), fingerprinted(text, shingle).alias("fp"))
+     .write.parquet(path))
     rows = spark.read.parquet(path)
     classes_path = scratch_path(spark, "fingerprint-classes")
     rows.groupBy("fp").agg(F.min("doc_id").alias("low")).write.parquet(classes_path)
@@ -304,15 +308,15 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all its columns: the smallest doc_id, one of repeated rows.
 
-    ``docs`` must give its rows in the same order each time it is read, as a
-    stored table does.  A component without any id keeps its first row.
+    ``docs`` is read once: fingerprints and kept rows both come from the stored
+    rows.  A component without any id keeps its first row.
     """
-    rows = near_duplicates(docs, doc_id, text, shingle, radius)
+    keyed = keyed_rows(docs, "near-dedup-rows")
+    rows = near_duplicates(keyed, f"row.{doc_id}", f"row.{text}", shingle, radius, "row_key")
     # rows of a component without ids have no component_id: their fingerprint's root is not kept apart,
     # so those of one fingerprint stand for each other
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     keys = (rows.filter("doc_id <=> component_id")
             .groupBy("component_id", group.alias("alone")).agg(F.min("row_key").alias("row_key"))
             .select("row_key"))
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("row"))
     return keyed.join(keys, "row_key", "left_semi").select("row.*")

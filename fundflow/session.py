@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings every plan in this package assumes.
 SQL_CONF = {
@@ -106,3 +106,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder name under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
+    """(row_key, row): every row of ``docs`` as a struct with a unique key, written once and read from there.
+
+    A key assigned while reading holds for that read only: splits, and so the
+    numbers, can differ on the next.  The written key names the same row on
+    every read, also if an executor is lost or joins.
+    """
+    path = scratch_path(docs.sparkSession, name)
+    (docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("row"))
+     .write.parquet(path))
+    return docs.sparkSession.read.parquet(path)

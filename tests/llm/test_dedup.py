@@ -146,6 +146,25 @@ def test_exact_empty(nothing):
     assert exact_dedup.kept_rows(nothing).collect() == []
 
 
+@pytest.mark.parametrize("kept_rows", [exact_dedup.kept_rows, simhash.kept_rows])
+def test_kept_rows_hold_when_splits_change(spark, kept_rows):
+    """What stays is the same if the next read of docs is split differently."""
+    r = random.Random(6)
+    rows = [(k, " ".join(str(r.random()) for _ in range(12))) for k in range(400)]
+    rows += [(k + 400, t) for k, t in rows[::2]]
+    frame = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "2k")
+        kept = kept_rows(frame)
+        spark.conf.set(name, "64m")
+        got = sorted(x["doc_id"] for x in kept.select("*").collect())
+    finally:
+        spark.conf.set(name, before)
+    assert got == list(range(400))
+
+
 def test_index_takes_batches(spark):
     """A second batch finds what the first brought, and brings what is new."""
     index = exact_dedup.DigestIndex.fresh(spark)
