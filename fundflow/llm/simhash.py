@@ -272,8 +272,10 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS, row_key: str | None = None) -> DataFrame:
-    """One row for each document: row_key, doc_id, fp (signed long), component_id.
+    """One row for each document: row_key, doc_id, fp (signed long), component_id, root.
 
+    ``root`` is the smallest fingerprint of the component: it tells components
+    apart where ids repeat or are missing.
     ``row_key`` is made here unless a column of stored keys is named.
     """
     spark = docs.sparkSession
@@ -289,8 +291,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = (classes.join(found, classes["fp"] == found["node"], "left")
               .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("row_key", "doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("row_key", "doc_id", "fp", "component_id", "root")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -313,10 +315,6 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     keyed = keyed_rows(docs, "near-dedup-rows")
     rows = near_duplicates(keyed, f"row.{doc_id}", f"row.{text}", shingle, radius, "row_key")
-    # rows of a component without ids have no component_id: their fingerprint's root is not kept apart,
-    # so those of one fingerprint stand for each other
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keys = (rows.filter("doc_id <=> component_id")
-            .groupBy("component_id", group.alias("alone")).agg(F.min("row_key").alias("row_key"))
-            .select("row_key"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
+    keys = rows.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row_key").alias("row_key"))
     return keyed.join(keys, "row_key", "left_semi").select("row.*")

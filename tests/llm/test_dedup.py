@@ -230,6 +230,19 @@ def test_simhash_empty(nothing):
     assert simhash.simhash_dedup(nothing).collect() == []
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    """Components that share their smallest id both keep a row; near copies without ids keep one."""
+    r = random.Random(8)
+    text = lambda: " ".join(f"t{r.randrange(10 ** 6)}" for _ in range(400))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, three + " end"), (None, four), (5, four), (4, four)]
+    prints = [brute_print(t) for _, t in rows]
+    assert prints[3] != prints[4] and (prints[3] ^ prints[4]).bit_count() <= 4
+    frame = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    got = [(x["doc_id"], x["text"]) for x in simhash.kept_rows(frame).collect()]
+    assert sorted(got, key=repr) == sorted([(1, one), (1, two), (None, three), (4, four)], key=repr)
+
+
 def test_simhash_lower_cases_ascii(spark):
     """Texts that differ in A-Z only have the fingerprint of the lower-cased text; other letters keep their case."""
     low = "the quick brown fox jumps over the lazy dog à la carte é " + " ".join(f"w{k}" for k in range(20))
