@@ -1,7 +1,8 @@
 """Windows shared between documents: super-k-mers dealt by minimiser, answers sent back.
 
-Documents are dealt once into chunks of bounded size by a hash of id and
-text.  A chunk cuts its texts into super-k-mers (runs of consecutive windows
+Documents are dealt once into chunks of bounded size by a hash of their
+place in their file (or of a stored row key), so repeated rows spread like
+others.  A chunk cuts its texts into super-k-mers (runs of consecutive windows
 that share a minimiser, the smallest hash of a gram within the window) and
 sends every distinct one once, with the smallest doc_id that has it, to the
 bucket of its minimiser.  Equal windows have equal minimisers, so a bucket
@@ -31,11 +32,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from fundflow.llm.text import (
     SPACED, eights, equal_spans, flat, gather, joined, mix, pieces, sliding_min, span_hash, strings, words,
 )
+from fundflow.session import keyed_rows
 
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
@@ -77,13 +80,27 @@ def bodies(chunk: np.ndarray | int, bucket: list[int], body: list[bytes]) -> pa.
 
 
 # ---------------------------------------------------------------- chunks
+def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(place, doc_id, text): ``place`` is a hash that spreads all rows, repeated ones too, the same on every read.
+
+    Rows read from Parquet files are known by file and row number, which no
+    split changes; others are written once with a row key.
+    """
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
+    try:
+        return docs.select(F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place"), *columns)
+    except AnalysisException:  # not the rows of Parquet files
+        rows = keyed_rows(docs.select(*columns), "dealt-rows")
+        return rows.select(F.xxhash64("row_key").alias("place"), "row.doc_id", "row.text")
+
+
 def dealt(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) rows, and the bytes of all texts."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
     chunks = max(-(-int(total) // chunk_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text"), int(total)
+    rows = placed(docs, doc_id, text)
+    return rows.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "doc_id", "text"), int(total)
 
 
 def ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:

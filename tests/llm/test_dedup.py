@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from fundflow.llm import components, exact_dedup, simhash, substring_dedup, suffix_dedup, windows as W
-from corpus_cases import ROWS, docs, nothing, stored  # noqa: F401
+from corpus_cases import PASSAGE, ROWS, docs, nothing, stored  # noqa: F401
 
 BIG = float("inf")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +73,35 @@ def test_substrings(docs):
     assert got == brute_words(ROWS)
 
 
+@pytest.mark.parametrize("from_files", [True, False])
+def test_repeated_rows_spread_over_chunks(spark, from_files):
+    """However often a row repeats, each chunk has its part of them; a read split differently deals the same."""
+    frame = spark.createDataFrame([(k % 2 or None, "all the same") for k in range(2000)], "doc_id long, text string")
+    if from_files:
+        frame = stored(spark, frame.repartition(3))
+    rows, total = W.dealt(frame, "doc_id", "text")
+    assert total == 2000 * len("all the same")
+    size = lambda: {(r["chunk"], r["doc_id"]): r["count"] for r in rows.groupBy("chunk", "doc_id").count().collect()}
+    first = size()
+    assert max(first.values()) < 200 and sum(first.values()) == 2000
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1k")
+        assert size() == first
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_repeated_rows_keep_their_results(spark):
+    """Copies of a row in different chunks leave each other alone; the smallest id's rows stay whole."""
+    rows = [(7, f"a {PASSAGE}")] * 60 + [(None, PASSAGE)] * 60 + [(9, f"{PASSAGE} z")] * 3
+    frame = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = by_row(substring_dedup.dedup_substrings(frame), ("doc_id", "n_words", "n_removed", "kept_text"))
+    assert got == brute_words(rows)
+    assert bytes_of(suffix_dedup.dedup_bytes(frame)) == brute_bytes(rows)
+
+
 def test_substrings_empty(nothing):
     assert substring_dedup.dedup_substrings(nothing).collect() == []
 
