@@ -1,11 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts hashed n-grams in Spark tasks and sums them by (bin, label)
-in a shuffle; what reaches the driver is the count matrix, bins x labels,
-whose size is fixed by ``bins`` and ``max_labels`` whatever the corpus.  The
-log-probability matrix is broadcast (bins * labels * 4 bytes, 1 MB for the
-defaults and four labels) and every batch is scored in numpy: hashed
-n-grams are looked up and summed by document.
+Up to ``TRAIN_ROWS`` rows of each label train, all rows of a label below that;
+the priors count every row.  Training counts hashed n-grams in Spark tasks and
+sums them by (bin, label) in a shuffle; what reaches the driver is the count
+matrix, bins x labels, whose size is fixed by ``bins`` and ``max_labels``
+whatever the corpus.  The log-probability matrix is broadcast (bins * labels *
+4 bytes, 1 MB for the defaults and four labels) and every batch is scored in
+numpy: hashed n-grams are looked up and summed by document.
 
 Letters are lower-cased and ASCII characters that are no letters count as one
 space, so punctuation and digits carry no evidence.  N-grams of 1 to 3
@@ -14,7 +15,8 @@ characters of whole texts are used.
 Defined results: null texts and texts without a letter give ``und`` with
 score 0; with no usable training row every prediction is ``und``.  The score
 is the posterior of the predicted label.  Ties go to the label that sorts
-first.  Null labels never train.
+first.  Null labels never train; a label whose rows hold no n-gram is never
+predicted.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from fundflow.llm.text import flat, pieces
 UNDETERMINED = "und"
 #: A table of labels beyond this is an error, never a silent cut.
 MAX_LABELS = 1000
-#: Training rows: at most this many of those allowed, chosen by hash of id and text.
+#: Training rows: at most about this many of each label, chosen by hash of id and text.
 TRAIN_ROWS = 20_000
 
 _FOLD = np.full(128, 0x20, np.uint32)
@@ -117,29 +119,38 @@ class LanguageModel:
 def train(rows: DataFrame, spec: NgramSpec = NgramSpec(), max_rows: int | None = TRAIN_ROWS) -> LanguageModel:
     """Learn from (doc_id, text, lang) rows.
 
-    At most ``max_rows`` rows train, those whose hash of id and text is
-    smallest; None uses every row.
+    Of each label about ``max_rows`` rows train, those whose hash of id and
+    text is smallest, and all rows of a label that has no more; None uses
+    every row.  A label's n-grams are its own distribution, so the size of its
+    sample does not weigh: the priors do, and they count all rows.  A label
+    without training n-grams is left out.
     """
     usable = rows.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    priors = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy("lang").limit(MAX_LABELS + 1).collect()}
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    found = (usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(F.length("text") > 0, key)).alias("low"))
+             .orderBy("lang").limit(MAX_LABELS + 1).collect())
+    priors = {r["lang"]: r["n"] for r in found}
     if len(priors) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} distinct labels")
-    total = sum(priors.values())
-    if max_rows is not None and total > max_rows:
-        # hashes are uniform: a margin of five deviations keeps the exact top-n within the cut
-        share = min(1.0, (max_rows + 5 * max_rows ** 0.5) / total)
-        key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-        usable = (usable.withColumn("key", key).filter(F.col("key") < int(share * (1 << 40)))
-                  .drop("key"))
+    if max_rows is not None and max(priors.values(), default=0) > max_rows:
+        # hashes are uniform: a margin of five deviations keeps max_rows rows; where few texts are
+        # repeated often, at least the one of the smallest hash trains
+        wanted = max_rows + 5 * max_rows ** 0.5
+        cuts = [(r["lang"], 1 << 40 if r["n"] <= wanted else max(int(wanted / r["n"] * (1 << 40)), (r["low"] or 0) + 1))
+                for r in found]
+        cut = F.broadcast(rows.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+        usable = usable.join(cut, "lang").filter(key < F.col("cut")).select("doc_id", "text", "lang")
     labels = sorted(priors)
     counts = (usable.select("lang", "text").mapInArrow(_counts(spec, labels), "cell long, n long")
               .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
-    table = np.full((len(labels), spec.bins), spec.smoothing)
+    table = np.zeros((len(labels), spec.bins))
     table.ravel()[counts["cell"].to_numpy(np.int64)] += counts["n"].to_numpy(np.int64)
+    trained = table.any(axis=1)
+    labels = [x for x, some in zip(labels, trained) if some]
+    table = table[trained] + spec.smoothing
     log_prob = np.log(table / table.sum(axis=1, keepdims=True))
     prior = np.array([priors[x] for x in labels], np.float64)
-    return LanguageModel(labels, log_prob.astype(np.float32), np.log(prior / max(total, 1)), spec)
+    return LanguageModel(labels, log_prob.astype(np.float32), np.log(prior / max(prior.sum(), 1)), spec)
 
 
 def predictor(docs: DataFrame, model: LanguageModel):

@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as E
@@ -64,6 +65,21 @@ def test_language_training_bound(spark):
     assert model.labels == ["de", "en", "es", "fr"]
 
 
+def test_language_sample_keeps_rare_labels(spark):
+    """Above the bound every label has its own sample, a rare one all its rows; one without n-grams is not scored."""
+    rows = [(k, f"the house number {k} and the garden of the town", "en") for k in range(6000)]
+    rows += [(k, "talo on pieni ja puutarha vihreä", "fi") for k in (7001, 7002)]
+    rows += [(k, "", "none") for k in range(8000, 8003)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=100)
+    assert model.labels == ["en", "fi"]
+    assert all(len(np.unique(x)) > 1 for x in model.log_prob)  # none is flat
+    assert np.allclose(np.exp(model.log_prior), [6000 / 6002, 2 / 6002])
+    asked = spark.createDataFrame([(1, "pieni talo ja vihreä puutarha", None), (2, "the garden and the house", None)],
+                                  "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(asked, model).collect()}
+    assert got == {1: "fi", 2: "en"}
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_held_out(spark):
     table, labels = (spark.read.parquet(f"{SF_MID}/{n}.parquet") for n in ("documents", "labels"))
