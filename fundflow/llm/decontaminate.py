@@ -10,7 +10,8 @@ its verbatim occurrences.  A document's longest verbatim run comes with it.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text; a
 benchmark beyond that is worked off block by block, the state of every
-document stored between blocks.  Documents never move: no shuffle, whatever
+document stored between blocks.  Blocks are cut from the distinct items, so
+a repeated item fills no block.  Documents never move: no shuffle, whatever
 their sources or copies.
 
 Defined results: null texts have no words; an item without words matches
@@ -187,7 +188,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
           item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row struct of docs, m struct of SCHEMA): every row with its matches in the whole benchmark."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // block_bytes))
     state = docs.select(F.struct("*").alias("row"), F.lit(None).cast(f"struct<{_ddl()}>").alias("m"))

@@ -141,6 +141,17 @@ def test_decontamination_random(spark):
     assert by_row(found, ("doc_id", "n_words", "n_hit", "items", "contaminated")) == brute_hits(rows, items)
 
 
+def test_decontamination_repeated_items(spark, docs, monkeypatch):
+    """Copies of an item fill no block, and change nothing."""
+    items = ITEMS + [(99, PASSAGE)] * 300
+    sizes, prepare = [], decontaminate.prepare
+    monkeypatch.setattr(decontaminate, "prepare", lambda ids, *rest: sizes.append(len(ids)) or prepare(ids, *rest))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.report(docs, bench, block_bytes=4000)
+    assert by_row(found, ("doc_id", "n_words", "n_hit", "items", "contaminated")) == brute_hits(ROWS, items)
+    assert sum(sizes) == len(set(items))
+
+
 def test_decontamination_empty(spark, docs, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(nothing, none).collect() == []
