@@ -383,13 +383,12 @@ def _present(module: str):
 
 def _training_data() -> tuple[dict, dict]:
     """Queries and SQL of the training-data subpackage and the pipeline, where they are present."""
-    found, sql = {}, {}
     llm = _present("fundflow.llm.queries")
-    if llm is not None:
-        found |= llm.QUERIES
-        sql |= llm.ORACLE_SQL
+    if llm is None:  # the pipeline is made of its operators
+        return {}, {}
+    found, sql = dict(llm.QUERIES), dict(llm.ORACLE_SQL)
     pipeline = _present("corpus_pipeline")
-    if llm is not None and pipeline is not None:
+    if pipeline is not None:
         found["pipeline"] = pipeline.run
         if pipeline.ORACLE_SQL is not None:
             sql["pipeline"] = pipeline.ORACLE_SQL
