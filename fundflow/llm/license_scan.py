@@ -78,6 +78,11 @@ FAMILIES = (
     ("cc-by", r"(?:cc|creative commons) (?:by|attribution)", "cc commons", ("2.0", "2.5", "3.0", "4.0", "")),
 )
 
+#: Short names that ordinary prose uses too (people, leagues, helicopters): alone they name a license
+#: only before the word itself.
+PROSE = {"apache": "apache", "artistic": "artistic", "epl": "epl", "cpl": "cpl", "afl": "afl", "osl": "osl",
+         "bsl": "bsl", "ms-pl": "ms pl", "ms-rl": "ms rl"}
+
 #: Pattern around NAME, word it needs beside the name's, priority (higher wins), confidence.
 PHRASINGS = (
     (r"spdx licen[cs]e identifier NAME", "spdx", 5, 1.0),
@@ -135,10 +140,16 @@ def rules() -> tuple[Rule, ...]:
     for family, name, words_, versions in FAMILIES:
         keywords = _keywords(words_, versions)
         for version in versions:
-            named = f"(?:{name})" + (_version(version) if version else "")
+            tail = _version(version) if version else ""
+            named = f"(?:{name}){tail}"
+            alone = named
+            if family in PROSE:
+                short = PROSE[family]
+                alone = f"(?:(?:{name.removesuffix('|' + short)}){tail}|{short}{tail} licen[cs]e)"
             label = f"{family}-{version}" if version else family
             for around, beside, priority, confidence in PHRASINGS:
-                pattern = r"(?<![^ ])" + around.replace("NAME", named) + r"(?![^ ])"
+                around = around.replace("NAME", alone if around == "NAME" else named)
+                pattern = r"(?<![^ ])" + around + r"(?![^ ])"
                 out.append(Rule(label, re.compile(pattern), keywords, beside,
                                 2 * priority + bool(version), confidence))
     for label, pattern, words_, priority, confidence in NOTICES:
@@ -180,12 +191,34 @@ def detect(words_: list[str]) -> list[tuple[int, int, Rule]]:
             end = at[k] + REACH + 1
             k += 1
         found |= set(_search(words_[begin:end], begin, index))
-    ordered = sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
-    kept: list[tuple[int, int, Rule]] = []
-    for a, b, rule in ordered:
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
-    return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
+    return sorted(_uncovered(found), key=lambda d: (d[0], d[1], d[2].label))
+
+
+def _uncovered(found: set[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Detections within none of a higher priority, and none as high and longer (of equal ones the first label).
+
+    Containment carries over (what covers a covering one covers the covered),
+    so each is held against all, not only those that stay: one sweep by start,
+    longest first, with the furthest end so far of each priority.
+    """
+    out, ends = [], [-1] * (max((d[2].priority for d in found), default=0) + 1)
+    waiting: list[tuple[int, int, Rule]] = []
+
+    def settle():  # detections of one interval: the highest priority's first label, if nothing reached this far
+        if waiting:
+            a, b, rule = min(waiting, key=lambda d: (-d[2].priority, d[2].label, -d[2].confidence))
+            if max(ends[rule.priority:]) < b:
+                out.append((a, b, rule))
+            for x, y, r in waiting:
+                ends[r.priority] = max(ends[r.priority], y)
+            waiting.clear()
+
+    for d in sorted(found, key=lambda d: (d[0], -d[1])):
+        if waiting and waiting[0][:2] != d[:2]:
+            settle()
+        waiting.append(d)
+    settle()
+    return out
 
 
 def _search(stretch: list[str], begin: int, index: dict[str, list[Rule]]):
