@@ -6,9 +6,9 @@ left get two-dimensional tables the same way.  A document is scored by
 adding the table cells its bins select, for a whole batch at once.
 
 Features are computed from the text alone.  Training uses at most
-``TRAIN_ROWS`` labelled rows (those whose hash comes first), so what is
-joined by broadcast and what reaches the driver is bounded whatever the
-corpus: 16 bytes and ``len(FEATURES)`` doubles a row.
+``TRAIN_ROWS`` labelled documents (those whose hash comes first; labels without
+a document never count), so what is joined by broadcast and what reaches the
+driver is bounded whatever the corpus: 16 bytes and ``len(FEATURES)`` doubles a row.
 
 Defined results: null and empty texts have all-zero features and get the
 score those features select; unlabelled rows and null labels never train;
@@ -230,6 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, spec: BoostSpec = BoostSpec(),
     """Learn from at most ``max_rows`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) cover."""
     known = (labels.filter("doc_id is not null and label is not null")
              .groupBy("doc_id").agg(F.min("label").alias("label")))
+    # labels of other tables' documents take no place of the sample; ids alone are shuffled, one of each
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (docs.join(F.broadcast(chosen), "doc_id")  # at most max_rows rows of two numbers
             .select("label", F.xxhash64("doc_id", "text").alias("rank"),

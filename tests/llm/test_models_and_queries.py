@@ -100,6 +100,52 @@ def test_quality_edges(spark, docs, nothing):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_foreign_labels(spark):
+    """Labels of ids that no document has take no training row's place."""
+    table, labels = (spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    foreign = spark.range(10 ** 9, 10 ** 9 + 50_000).selectExpr("id as doc_id", "1 as quality")
+    score = lambda known: [tuple(r) for r in quality.score_quality(table, known).orderBy("doc_id").collect()]
+    own = labels.select("doc_id", labels["quality"].cast("int").alias("quality"))
+    assert score(own) == score(own.unionByName(foreign))
+
+
+def brute_tree(g, h, leaves, ridge):
+    """Values by bin: the best of all splits of all leaves, one after the other."""
+    value = lambda a, b: sum(g[a:b]) / (sum(h[a:b]) + ridge)
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + ridge)
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        gain, leaf, cut = max(((worth(a, k) + worth(k, b) - worth(a, b), (a, b), k)
+                               for a, b in parts for k in range(a + 1, b)), default=(0, None, None))
+        if gain <= 1e-12:
+            break
+        parts.remove(leaf)
+        parts += [(leaf[0], cut), (cut, leaf[1])]
+    out = [0.0] * len(g)
+    for a, b in parts:
+        out[a:b] = [value(a, b)] * (b - a)
+    return out
+
+
+def test_quality_steps_and_cells():
+    """Boosted trees against exhaustive splits; scores against cells looked up one by one."""
+    r = np.random.default_rng(4)
+    spec = quality.BoostSpec(bins=8, pair_bins=4, rounds=5, pair_rounds=3, pairs=2)
+    for _ in range(100):
+        g, h = r.normal(size=8), r.random(8)
+        assert np.allclose(quality._tree(g, h, spec), brute_tree(g.tolist(), h.tolist(), spec.leaves, spec.ridge))
+    x = r.normal(size=(200, 4))
+    model = quality.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), spec)
+    want = []
+    for row in x:
+        bin_of = lambda cuts, k: sum(c <= row[k] for c in cuts[k])
+        z = model.intercept + sum(t[bin_of(model.cuts, k)] for k, t in enumerate(model.tables))
+        z += sum(t[bin_of(model.pair_cuts, a), bin_of(model.pair_cuts, b)]
+                 for (a, b), t in zip(model.pairs, model.pair_tables))
+        want.append(1 / (1 + math.exp(-z)))
+    assert np.allclose(model.score(x), want) and len(model.pairs) == 2
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, docs, tmp_path):
     """Columns stay, each decision takes effect, the last stage has a row for each that is left."""
