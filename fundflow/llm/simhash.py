@@ -36,7 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fundflow.llm.components import components
 from fundflow.llm.text import LOWER, pieces
 from fundflow.llm.windows import word_units
-from fundflow.session import keyed_rows, scratch_path
+from fundflow.llm.rows import keyed_rows
+from fundflow.session import scratch_path
 
 SHINGLE = 4
 RADIUS = 4

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from fundflow.llm.text import (
     SPACED, eights, equal_spans, flat, gather, joined, mix, pieces, sliding_min, span_hash, strings, words,
 )
-from fundflow.session import keyed_rows
+from fundflow.llm.rows import keyed_rows
 
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
