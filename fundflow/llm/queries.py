@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundflow.llm import (
-    bpe, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, quality, simhash, substring_dedup,
-    suffix_dedup,
+    bpe, decontaminate, exact_dedup, fill_in_middle, language_id, license_scan, lm_scoring, piecewise, quality,
+    resample, simhash, substring_dedup, suffix_dedup,
 )
 
 
@@ -68,10 +68,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
+
+
+def op12_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.transform(_table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_license_scan, op3_decontamination, op4_exact_dedup, op5_lm_scoring, op6_bpe,
-        op7_quality, op8_language_id, op9_simhash, op10_suffix_dedup)
+        op7_quality, op8_language_id, op9_simhash, op10_suffix_dedup, op11_importance_resampling,
+        op12_piecewise_fingerprints, op13_fill_in_middle)
 }
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -161,4 +178,44 @@ select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coa
        sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) as contaminated
 from documents left join n using (doc_id) left join hit using (doc_id) left join its using (doc_id)""",
+    "op11_importance_resampling": f"""
+with dw as (select doc_id, regexp_extract_all({_lower('text')}, '{ALNUM}') as ws from documents),
+tw as (select regexp_extract_all({_lower('text')}, '{ALNUM}') as ws from benchmark),
+words as (select distinct w from (select unnest(ws) as w from dw union all select unnest(ws) from tw)),
+bits as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+           lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))) as t),
+coded as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(w)), '..'),
+            lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 10000 as b
+          from words, bits),
+dwords as (select doc_id, b from (select doc_id, unnest(ws) as w from dw) join coded using (w)),
+corpus as (select b, count(*) as s from dwords group by b),
+target as (select b, count(*) as t from (select unnest(ws) as w from tw) join coded using (w) group by b),
+gain as (select b, floor(1000 * ln((coalesce(t, 0)::double + 1) * ((select coalesce(sum(s), 0) from corpus)::double + 10000)
+           / ((s::double + 1) * ((select coalesce(sum(t), 0) from target)::double + 10000))))::bigint as g
+         from corpus left join target using (b)),
+weighed as (select doc_id, sum(g)::bigint as weight from dwords join gain using (b) group by doc_id),
+scored as (select doc_id, len(ws)::bigint as n_features, coalesce(weight, 0) as weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double)
+               / 4294967296::double)))::bigint as score
+           from dw left join weighed using (doc_id)),
+placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as r from scored)
+select doc_id, n_features, weight, score,
+  case when n_features >= 20 and r <= (select count(*) * 10 // 100 from scored where n_features >= 20) then r end as rank
+from placed""",
+    "op13_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+             sha256('1:' || doc_id) as h from documents),
+n as (select *, len(u)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+        ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as x, greatest(h1 % (n + 1), h2 % (n + 1)) as y,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90
+          then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from n),
+p as (select *, array_to_string(u[1:x], '') as pre, array_to_string(u[x + 1:y], '') as mid,
+        array_to_string(u[y + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars,
+  case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256
+from p""",
 }

@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_registered():
     numbers = {re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES}
-    assert numbers == {str(k) for k in range(1, 11)}
+    assert numbers == {str(k) for k in range(1, 14)}
     assert set(Q.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
