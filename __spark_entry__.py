@@ -28,19 +28,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 import fundflow_oracle as O  # noqa: E402
 from fundflow.functions.money import to_output  # noqa: E402
 from fundflow.operators import (  # noqa: E402
-    alerts as L, breakdowns, evolution, extract as X, filters, flows, kpis as K, status,
+    alerts as L, breakdowns, evolution, extract as X, filters, flows, kpis as K, lag, status,
 )
 from fundflow.params import (  # noqa: E402
     EVOLUTION_HORIZONS, MAX_RECORDS_DISPLAY, FilterParams, period_filter,
 )
+from fundflow.functions.formatting import date_label  # noqa: E402
 from fundflow.plans import bundles, dashboard as D, rules  # noqa: E402
-from fundflow.sources import sinks  # noqa: E402
+from fundflow.plans.presentation import page  # noqa: E402
+from fundflow.sources import contract, sinks  # noqa: E402
 from fundflow.sources.adapters import ADAPTERS  # noqa: E402
 from fundflow.session import configure, scratch_path  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-START = {"orders": dt.date(1995, 1, 1), "events": dt.date(2024, 1, 1)}
-AS_OF = {"orders": dt.date(2001, 8, 1), "events": dt.date(2024, 1, 31)}
+START = {"orders": dt.date(1995, 1, 1), "events": dt.date(2024, 1, 1), "export": dt.date(2024, 1, 1)}
+AS_OF = {"orders": dt.date(2001, 8, 1), "events": dt.date(2024, 1, 31), "export": dt.date(2024, 1, 31)}
+PAGE_ROWS = 50
 ALERT_OUT = ("type", "severity", "fund", "value", "timestamp")
 
 
@@ -123,6 +126,34 @@ def _pack(spark, ledger, p, name, queries=rules.DEFAULT_PACK["queries"]):
     return res.frames[name]
 
 
+#: Formulas that nest, divide by what can be zero, and add to such a quotient.
+FORMULAS = {
+    "spread": {"calculation": "(MAX(daily_volume) - MIN(daily_volume)) / AVG(daily_volume)"},
+    "exit_swing": {"calculation": "MAX(daily_exits) / MIN(daily_exits) + 1"},
+    "no_value": {"calculation": "total_entries / (active_days - active_days) + 1"},
+    "day_ratio": {"calculation": "AVG(daily_entries / daily_exits)"},
+    "net_share": {"calculation": "ABS(net_flow) / (total_entries + total_exits) * 100"},
+    "busy": {"calculation": "COALESCE(operation_count / NULLIF(active_days, 0), 0)"},
+}
+
+#: A pack of which one query cannot be analysed and one fails while it runs.
+MIXED_QUERIES = {
+    "by_custodian": """SELECT fonte, COUNT(*) AS n, CAST(SUM(COALESCE(entrada, 0)) AS DOUBLE) AS entries FROM {ledger}
+WHERE to_date(dt_lancamento) BETWEEN ? AND ? {fund_filter} {custodian_filter} GROUP BY fonte""",
+    "bad_cast": """SELECT nmfundo, SUM(CAST(lancamento AS INT)) AS x FROM {ledger}
+WHERE to_date(dt_lancamento) BETWEEN ? AND ? GROUP BY nmfundo""",
+    "no_column": "SELECT no_such_column FROM {ledger} WHERE to_date(dt_lancamento) BETWEEN ? AND ?",
+    "by_day": """SELECT to_date(dt_lancamento) AS date, COUNT(*) AS n FROM {ledger}
+WHERE to_date(dt_lancamento) BETWEEN ? AND ? GROUP BY to_date(dt_lancamento)""",
+}
+
+
+def _rescued(ledger):
+    """How many raw values of each column the contract could not keep, and two of them."""
+    return (contract.rescued_values(ledger).groupBy("column")
+            .agg(F.count("*").alias("n"), F.min("raw").alias("first_raw"), F.max("raw").alias("last_raw")))
+
+
 def _sink_daily(spark, lf):
     """The daily metrics written as a month-partitioned parquet table and read back."""
     path = scratch_path(spark, "daily-metrics")
@@ -157,7 +188,9 @@ B = {
     "concentration_alerts": lambda s, led, lf, p, a: L.concentration_alerts(
         _conc_metrics(lf), a).select(*ALERT_OUT),
     "operation_summary": lambda s, led, lf, p, a: to_output(flows.operation_summary(lf)),
-    "balance_evolution": lambda s, led, lf, p, a: to_output(flows.balance_evolution(lf)),
+    "balance_evolution": lambda s, led, lf, p, a: to_output(lag.balance_evolution(lf)).drop(
+        "dt_lancamento", "id_origem"),
+    "balance_evolution_lines": lambda s, led, lf, p, a: to_output(lag.balance_evolution(lf)),
     "balance_pct_change": lambda s, led, lf, p, a: to_output(evolution.balance_pct_change(lf)),
     "evolution_metrics": lambda s, led, lf, p, a: _evo_metrics(lf),
     "evolution_alerts": lambda s, led, lf, p, a: L.evolution_alerts(_evo_metrics(lf), a).select(*ALERT_OUT),
@@ -197,6 +230,27 @@ B = {
     "has_issues": lambda s, led, lf, p, a: L.has_issues(_all_alerts(s, lf, p, a)),
     "analysis_summary": lambda s, led, lf, p, a: bundles.analysis_summary(
         _cube(s, lf), a, ops=D).drop("message", "summary"),
+    "pack_formulas": lambda s, led, lf, p, a: rules.pack_metrics(lf, FORMULAS),
+    "custom_analysis_status": lambda s, led, lf, p, a: rules.execute_custom_analysis(
+        s, led, MIXED_QUERIES, p).status.select("name", "status", "n_rows", "condition"),
+    "custom_analysis_result": lambda s, led, lf, p, a: rules.execute_custom_analysis(
+        s, led, MIXED_QUERIES, p).frames["by_custodian"],
+    "date_labels": lambda s, led, lf, p, a: lf.groupBy(
+        date_label(F.to_date("dt_lancamento")).alias("label")).agg(F.count("*").alias("n_lines")),
+    "page_extract": lambda s, led, lf, p, a: to_output(page("extract", X.extract(lf), PAGE_ROWS, 2)),
+    "page_liquidity_metrics": lambda s, led, lf, p, a: to_output(page("liquidity_metrics", _a1(lf), PAGE_ROWS)),
+    "page_daily_metrics": lambda s, led, lf, p, a: to_output(page("daily_metrics", flows.daily_metrics(lf), PAGE_ROWS)),
+    "page_daily_trends": lambda s, led, lf, p, a: to_output(page("daily_trends", flows.daily_metrics(lf), PAGE_ROWS)),
+    "page_concentration": lambda s, led, lf, p, a: to_output(
+        page("concentration", flows.concentration(lf), PAGE_ROWS, 2)),
+    "page_operation_summary": lambda s, led, lf, p, a: to_output(
+        page("operation_summary", flows.operation_summary(lf), 2)),
+    "page_balance_evolution": lambda s, led, lf, p, a: to_output(
+        page("balance_evolution", lag.balance_evolution(lf), PAGE_ROWS, 3)),
+    "page_balance_pct_change": lambda s, led, lf, p, a: to_output(
+        page("balance_pct_change", evolution.balance_pct_change(lf), PAGE_ROWS)),
+    "rescued_values": lambda s, led, lf, p, a: _rescued(led),
+    "rescued_daily_metrics": lambda s, led, lf, p, a: to_output(flows.daily_metrics(lf)),
     "sink_daily_metrics": lambda s, led, lf, p, a: _sink_daily(s, lf),
     # the same analyses derived from the one-scan daily cube (plans.dashboard)
     "dashboard_kpis": lambda s, led, lf, p, a: D.kpis(D.daily_cube(lf), p, a),
@@ -229,6 +283,7 @@ Q = {
     "concentration_alerts": O.concentration_alerts,
     "operation_summary": O.operation_summary,
     "balance_evolution": O.balance_evolution,
+    "balance_evolution_lines": O.balance_evolution_lines,
     "balance_pct_change": O.balance_pct_change,
     "evolution_metrics": O.evolution_metrics,
     "evolution_alerts": O.evolution_alerts,
@@ -259,6 +314,26 @@ Q = {
     "warning_alerts": O.warning_alerts,
     "has_issues": O.has_issues,
     "analysis_summary": O.analysis_summary,
+    "pack_formulas": O.pack_formulas,
+    "custom_analysis_status": O.custom_analysis_status,
+    "custom_analysis_result": O.custom_analysis_result,
+    "date_labels": O.date_labels,
+    "page_extract": O.page(O.extract, "dt_lancamento DESC, nmfundo ASC NULLS FIRST, id_origem", PAGE_ROWS, 2),
+    "page_liquidity_metrics": O.page(
+        O.liquidity_metrics, "total_entries + total_exits DESC, nmfundo ASC NULLS FIRST, fonte ASC NULLS FIRST", PAGE_ROWS),
+    "page_daily_metrics": O.page(
+        O.daily_metrics, "date DESC, nmfundo ASC NULLS FIRST, fonte ASC NULLS FIRST", PAGE_ROWS),
+    "page_daily_trends": O.page(
+        O.daily_metrics, "date, nmfundo ASC NULLS FIRST, fonte ASC NULLS FIRST", PAGE_ROWS),
+    "page_concentration": O.page(
+        O.concentration, "concentration_pct DESC, nmfundo ASC NULLS FIRST, fonte ASC NULLS FIRST", PAGE_ROWS, 2),
+    "page_operation_summary": O.page(O.operation_summary, "abs(net_amount) DESC, categoria", 2),
+    "page_balance_evolution": O.page(
+        O.balance_evolution_lines, "dt_lancamento, nmfundo ASC NULLS FIRST, id_origem", PAGE_ROWS, 3),
+    "page_balance_pct_change": O.page(
+        O.balance_pct_change, "nmfundo ASC NULLS FIRST, date, fonte ASC NULLS FIRST", PAGE_ROWS),
+    "rescued_values": O.rescued_values,
+    "rescued_daily_metrics": O.daily_metrics,
     "sink_daily_metrics": O.sink_daily_metrics,
     "dashboard_kpis": O.kpis,
     "dashboard_liquidity_metrics": O.liquidity_metrics,
@@ -283,8 +358,11 @@ for op in ("extract_enriched", "available_funds", "liquidity_metrics", "liquidit
            "daily_metrics", "concentration", "operation_summary", "balance_evolution",
            "balance_pct_change", "evolution_metrics", "evolution_stats", "kpis", "kpi_alerts",
            "category_breakdown", "custodian_comparison", "extract_metrics", "rule_metrics",
-           "alerts", "analysis_summary"):
+           "alerts", "analysis_summary", "balance_evolution_lines", "pack_formulas", "date_labels",
+           "custom_analysis_status", "page_balance_evolution"):
     SCENARIOS[f"{op}_events"] = _sc(op, "events")
+for op in ("rescued_values", "rescued_daily_metrics"):
+    SCENARIOS[op] = _sc(op, "export")
 for op in ("liquidity_status", "liquidity_status_by_fund", "liquidity_alerts", "evolution_metrics",
            "evolution_alerts", "kpis", "kpi_alerts", "rule_metrics", "rule_alerts", "alerts",
            "critical_alerts", "warning_alerts", "analysis_summary"):

@@ -1,4 +1,4 @@
-"""Flow aggregations (A1-A5, A8, A9) and the per-line balance lag.
+"""Flow aggregations.
 
 All aggregations are hash aggregations with map-side partial aggregation,
 so a fund holding a large share of the rows is combined inside each input
@@ -8,7 +8,7 @@ moves.  Money sums stay DECIMAL (exact); the output edge casts to double.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fundflow.functions import classify as C
 from fundflow.functions.money import (
@@ -147,60 +147,3 @@ def fund_stats(daily: DataFrame, *more: F.Column) -> DataFrame:
         F.try_divide(dbl(F.max("daily_volume")),
                      dbl(F.sum("daily_volume")) / F.count(F.lit(1))).alias("volume_concentration"),
         rnd(F.stddev_pop("daily_balance_change"), STD_DIGITS).alias("balance_volatility"), *more)
-
-
-def balance_evolution(lf: DataFrame, bucket: str = "hour", ids_per_slice: int = 65_536) -> DataFrame:
-    """Every line with the fund's previous line balance.
-
-    ``previous_balance = LAG(saldo) OVER (PARTITION BY nmfundo ORDER BY
-    dt_lancamento, id_origem)`` -- the partition spans custodians.
-
-    A window partitioned by fund alone would sort a fund's whole history
-    in one task.  Instead the window runs per (fund, stretch), and the
-    first line of each stretch takes the balance carried in from the fund's
-    previous non-empty stretch:
-
-    1. per (fund, stretch) the last balance -- a map-side combined
-       aggregation (one row per fund-stretch);
-    2. ``lag`` of that over the fund's stretches -- a window over one row per
-       stretch (a fund with ten years of hourly stretches is ~88k rows);
-    3. that carry row is unioned in front of the stretch's lines and one
-       ``lag`` over (fund, stretch) ordered by (carry first, dt, id) fills
-       every line.  The lines themselves are shuffled once.
-
-    A stretch is a time bucket (a ``date_trunc`` unit); the lines posted at
-    its very beginning, where date-only postings and batch runs gather, are
-    further cut by line id, ``ids_per_slice`` ids each.  Any settings give
-    the same result.  They set the largest sort one task does: an hour keeps
-    a fund with a third of a 100 TB, ten-year ledger near 0.4 GB per task;
-    denser ledgers can use ``"minute"``, at the price of a carry table with
-    one row per fund-minute.
-    """
-    ts = F.col("dt_lancamento")
-    stretch = ("_bucket", "_after", "_slice")
-    lines = lf.select("nmfundo", "fonte", "id_origem", ts,
-                      F.date_trunc(bucket, ts).cast("timestamp_ntz").alias("_bucket"),
-                      flow().alias("daily_change"), saldo().alias("balance"),
-                      F.lit(1).alias("_kind"))
-    lines = lines.withColumn("_after", ts > F.col("_bucket")).withColumn(
-        "_slice", F.when(~F.col("_after"), F.floor(F.col("id_origem") / ids_per_slice)).otherwise(F.lit(0)))
-    # (time, id) within a stretch as one number: a fixed-width key keeps the aggregate a hash aggregate
-    key = F.expr("cast(timestampdiff(MICROSECOND, _bucket, dt_lancamento) as decimal(18,0))"
-                 " * 18446744073709551616BD"
-                 " + coalesce(cast(id_origem as decimal(20,0)) + 9223372036854775809BD, 0BD)")
-    last = lines.groupBy("nmfundo", *stretch).agg(F.max_by("balance", key).alias("_last"))
-    carry = last.select(
-        "nmfundo", *stretch,
-        F.lag("_last").over(Window.partitionBy("nmfundo").orderBy(*stretch)).alias("balance"))
-    carry_rows = carry.select(
-        "nmfundo", F.lit(None).cast("string").alias("fonte"),
-        F.lit(None).cast("long").alias("id_origem"),
-        F.lit(None).cast("timestamp_ntz").alias("dt_lancamento"), *stretch,
-        F.lit(None).cast(lines.schema["daily_change"].dataType).alias("daily_change"),
-        "balance", F.lit(0).alias("_kind"))
-    w = Window.partitionBy("nmfundo", *stretch).orderBy("_kind", "dt_lancamento", "id_origem")
-    return (lines.unionByName(carry_rows)
-            .withColumn("previous_balance", F.lag("balance").over(w))
-            .filter(F.col("_kind") == 1)
-            .select(F.to_date(ts).alias("date"), "nmfundo", "fonte", "daily_change", "balance",
-                    "previous_balance"))

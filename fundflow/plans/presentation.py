@@ -19,7 +19,7 @@ def _orders() -> dict[str, tuple[Column, ...]]:
     #   daily metrics: date descending, then fund (re-sorted date, fund ascending for charts)
     #   concentration: share descending
     #   operation summary: |net amount| descending
-    #   balance evolution: posting date, then fund; evolution data: fund, then date
+    #   balance evolution: posting time, then fund; evolution data: fund, then date
     fund, fonte = F.col("nmfundo").asc_nulls_first(), F.col("fonte").asc_nulls_first()
     return {
         "extract": (F.col("dt_lancamento").desc(), fund, F.col("id_origem")),
@@ -28,7 +28,7 @@ def _orders() -> dict[str, tuple[Column, ...]]:
         "daily_trends": (F.col("date").asc(), fund, fonte),
         "concentration": (F.col("concentration_pct").desc(), fund, fonte),
         "operation_summary": (F.abs(F.col("net_amount")).desc(), F.col("categoria")),
-        "balance_evolution": (F.col("date"), fund, fonte),
+        "balance_evolution": (F.col("dt_lancamento"), fund, F.col("id_origem")),
         "balance_pct_change": (fund, F.col("date"), fonte),
     }
 
@@ -36,3 +36,12 @@ def _orders() -> dict[str, tuple[Column, ...]]:
 def ordered(name: str, df: DataFrame) -> DataFrame:
     """``df`` sorted in the display order of result ``name``."""
     return df.orderBy(*_orders()[name])
+
+
+def page(name: str, df: DataFrame, size: int, number: int = 1) -> DataFrame:
+    """The rows of one page of a result in its display order (O2, O5), pages counted from 1.
+
+    A page needs a top-k of ``number * size`` rows, never a sort of the whole result.
+    """
+    top = ordered(name, df).limit(number * size)
+    return top.offset((number - 1) * size) if number > 1 else top

@@ -19,15 +19,20 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from fundflow.functions.formatting import render_template
 from fundflow.functions.money import dbl, rnd
 from fundflow.operators.alerts import stamp
 from fundflow.operators.flows import STD_DIGITS, fund_daily, fund_stats
 from fundflow.params import FilterParams
+from fundflow.plans.formulas import metric
+from fundflow.session import scratch_path
 
 # Fixed values that must equal the reference's default rule pack
 # ("Análise de Liquidez"): metric formulas, thresholds and the five alert
@@ -168,23 +173,80 @@ def adapt_pack(pack: dict, source: str) -> dict:
 @dataclass
 class CustomAnalysis:
     frames: dict[str, DataFrame] = field(default_factory=dict)
-    errors: dict[str, str] = field(default_factory=dict)
+    failures: dict[str, Exception] = field(default_factory=dict)
+
+    @property
+    def errors(self) -> dict[str, str]:
+        return {name: f"{type(exc).__name__}: {exc}" for name, exc in self.failures.items()}
 
 
 def run_custom_analysis(spark: SparkSession, ledger: DataFrame, queries: dict[str, str],
                         p: FilterParams) -> CustomAnalysis:
-    """Run each named template over the ledger; a failing query is
-    recorded in ``errors`` and does not stop the others."""
+    """X1, lazily: bind each named template over the ledger; one that Spark cannot
+    analyse is recorded in ``errors`` and does not stop the others.  A query can
+    still fail when its frame is run: ``execute_custom_analysis`` runs them."""
     out = CustomAnalysis()
     for name, template in queries.items():
         try:
             sql, args = bind_template(template, p)
             out.frames[name] = spark.sql(sql, args=args, ledger=ledger)
         except Exception as exc:  # analysis / parse errors are per query
-            out.errors[name] = f"{type(exc).__name__}: {exc}"
+            out.failures[name] = exc
     return out
 
 
+#: Queries of a pack that run side by side.
+AT_ONCE = 4
+STATUS = "name string, status string, n_rows long, condition string, error string, path string"
+
+
+@dataclass
+class ExecutedAnalysis:
+    """Written results: a frame for each query that ran, and a status row for every query."""
+
+    frames: dict[str, DataFrame]
+    status: DataFrame
+
+    @property
+    def errors(self) -> dict[str, str]:
+        return {r["name"]: r["error"] for r in self.status.filter("status = 'failed'").collect()}
+
+
+def execute_custom_analysis(spark: SparkSession, ledger: DataFrame, queries: dict[str, str], p: FilterParams,
+                            folder: str | None = None, at_once: int = AT_ONCE) -> ExecutedAnalysis:
+    """X1, isolated at run time: each query is run and written on its own.
+
+    A query that fails while it runs (a bad cast, an overflow) leaves its
+    error in its status row and nothing else; the results of the others are
+    written to ``folder/<name>`` (a fresh shared folder by default).  The
+    queries are independent jobs and run ``at_once`` at a time.  Status rows
+    hold name, status (``ok`` or ``failed``), n_rows, the error's condition and
+    text, and the path.
+    """
+    bound = run_custom_analysis(spark, ledger, queries, p)
+    root = folder or scratch_path(spark, "custom-analysis")
+
+    def failed(name: str, exc: Exception) -> tuple:
+        condition = exc.getCondition() if isinstance(exc, PySparkException) else None
+        return name, "failed", None, condition or type(exc).__name__, str(exc), None
+
+    def write(k: int, name: str) -> tuple:
+        path = os.path.join(root, f"{k:03d}-{re.sub('[^A-Za-z0-9_.-]', '_', name)}")
+        try:
+            counted = Observation()
+            bound.frames[name].observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+            return name, "ok", counted.get["n"], None, None, path
+        except Exception as exc:  # whatever stops one query stops no other
+            return failed(name, exc)
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(write), range(len(bound.frames)), bound.frames))
+    rows = {row[0]: row for row in done} | {name: failed(name, exc) for name, exc in bound.failures.items()}
+    frames = {name: spark.read.schema(bound.frames[name].schema).parquet(row[5])
+              for name, row in rows.items() if row[1] == "ok"}
+    return ExecutedAnalysis(frames, spark.createDataFrame([rows[name] for name in queries], STATUS))
+
+
 def fund_daily_stats(lf: DataFrame) -> DataFrame:
     """A8 + A9 from one per-(fund, date) aggregation."""
     return fund_stats(fund_daily(lf))
@@ -199,46 +261,19 @@ def rule_metrics(lf: DataFrame) -> DataFrame:
 
 
 def pack_metrics(lf: DataFrame, metrics: dict[str, dict]) -> DataFrame:
-    """A pack's own metrics per fund, from their ``calculation`` formulas.
-
-    A formula is SQL over the fund's totals (``total_entries``,
-    ``total_exits``, ``net_flow``, ``operation_count``, ``active_days``) and
-    aggregates over its days (``daily_volume``, ``daily_balance_change``,
-    ``daily_entries``, ``daily_exits``, ``daily_operations``); MySQL's
-    ``STDDEV`` is the population deviation.  One (fund, date) aggregate of
-    the lines feeds them all.  Deviations are rounded as A9's.
+    """A pack's own metrics per fund, from their ``calculation`` formulas (``plans.formulas``).
+
+    One (fund, date) aggregate of the lines feeds them all.  A division by zero
+    has no value, as in MySQL.  Deviations are rounded as A9's.
     """
-    total = {"total_entries": "SUM(daily_entries)", "total_exits": "SUM(daily_exits)",
-             "net_flow": "SUM(daily_balance_change)", "operation_count": "SUM(daily_operations)",
-             "active_days": "COUNT(1)"}
-    # sums stay exact decimals and become doubles as results, so no merge order shows
-    exact = {"AVG": r"(double(sum(\2)) / count(\2))", "SUM": r"double(sum(\2))",
-             "MAX": r"double(max(\2))", "MIN": r"double(min(\2))"}
     out = []
-    for name, metric in metrics.items():
-        text = adapt_template(metric["calculation"], source="{ledger}")
-        for column, formula in total.items():
-            text = re.sub(rf"\b{column}\b", formula, text)
-        for call, form in exact.items():
-            text = re.sub(rf"\b({call})\s*\(\s*(\w+)\s*\)", form, text, flags=re.IGNORECASE)
-        # a division by zero has no value, as in MySQL
-        value = F.expr(_divides_safely(text)).cast("double")
-        out.append((rnd(value, STD_DIGITS) if "stddev_pop(" in text else value).alias(name))
+    for name, entry in metrics.items():
+        value, unstable = metric(entry["calculation"])
+        value = dbl(value)
+        out.append((rnd(value, STD_DIGITS) if unstable else value).alias(name))
     return fund_daily(lf).groupBy("nmfundo").agg(*out)
 
 
-def _divides_safely(formula: str) -> str:
-    """``a / b`` at the top level as ``try_divide(a, b)``."""
-    depth = 0
-    for k in range(len(formula) - 1, -1, -1):
-        depth += {")": 1, "(": -1}.get(formula[k], 0)
-        if depth == 0 and formula[k] in "+-":
-            return formula
-        if depth == 0 and formula[k] == "/":
-            return f"try_divide({_divides_safely(formula[:k])}, {formula[k + 1:]})"
-    return formula
-
-
 def rule_alerts(metrics: DataFrame, rules, as_of: dt.date) -> DataFrame:
     """One alert row per (rule, fund) whose SQL condition holds.
 

@@ -80,4 +80,26 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-ADAPTERS = {"orders": orders_ledger, "events": events_ledger}
+def export_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter B as a careless text export: every column is text, some ids, times and amounts do not parse,
+    some amounts overflow or have a third decimal.  Read with the rescue column."""
+    e = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    key, kind, value = F.col("event_id"), F.col("event_type"), F.col("value").cast(MONEY).cast("string")
+    amount = (F.when(key % 97 == 0, F.lit("n/a")).when(key % 101 == 0, F.lit("1e18"))
+              .when(key % 103 == 0, F.concat(value, F.lit("9"))).otherwise(value))
+    return normalise(e.select(
+        F.when(key % 211 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("id_origem"),
+        F.concat(F.lit("C"), (key % 5).cast("string")).alias("fonte"),
+        F.col("user_id").cast("string").alias("id_carteira"),
+        F.concat(F.lit("FUNDO_"), (F.col("user_id") % 10).cast("string")).alias("nmfundo"),
+        F.lit(None).cast("string").alias("cnpj"),
+        F.when(key % 199 == 0, F.lit("sometime")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .alias("dt_lancamento"),
+        F.when(kind.isin("purchase", "signup"), amount).alias("entrada"),
+        F.when(kind.isin("click", "view"), amount).alias("saida"),
+        value.alias("saldo"),
+        kind.alias("lancamento"),
+    ), rescue=True)
+
+
+ADAPTERS = {"orders": orders_ledger, "events": events_ledger, "export": export_ledger}

@@ -46,6 +46,18 @@ SELECT event_id AS id_origem, concat('C', CAST(event_id % 5 AS VARCHAR)) AS font
             WHEN 'signup' THEN 'Aporte inicial' WHEN 'click' THEN 'Tarifa bancária'
             WHEN 'view' THEN 'Resgate / saque' END AS lancamento
 FROM events""",
+    "export": """
+SELECT TRY_CAST(raw_id AS BIGINT) AS id_origem, fonte, nmfundo, lancamento,
+       TRY_CAST(raw_dt AS TIMESTAMP) AS dt_lancamento, TRY_CAST(raw_entrada AS DECIMAL(18,2)) AS entrada,
+       TRY_CAST(raw_saida AS DECIMAL(18,2)) AS saida, saldo, raw_id, raw_dt, raw_entrada, raw_saida
+FROM (SELECT CASE WHEN event_id % 211 = 0 THEN concat('x', event_id) ELSE CAST(event_id AS VARCHAR) END AS raw_id,
+        concat('C', event_id % 5) AS fonte, concat('FUNDO_', user_id % 10) AS nmfundo, event_type AS lancamento,
+        CASE WHEN event_id % 199 = 0 THEN 'sometime' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS raw_dt,
+        CASE WHEN event_type IN ('purchase', 'signup') THEN amount END AS raw_entrada,
+        CASE WHEN event_type IN ('click', 'view') THEN amount END AS raw_saida, CAST(value AS DECIMAL(18,2)) AS saldo
+      FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'n/a' WHEN event_id % 101 = 0 THEN '1e18'
+              WHEN event_id % 103 = 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '9'
+              ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS amount FROM events) e) x""",
 }
 
 E = "COALESCE(entrada, 0)"
@@ -347,6 +359,32 @@ SELECT {DAY} AS date, nmfundo, fonte,
 FROM lf"""
 
 
+def balance_evolution_lines(adapter, p, as_of):
+    return balance_evolution(adapter, p, as_of).replace("\nFROM lf", ", dt_lancamento, id_origem\nFROM lf")
+
+
+def page(build, order, size, number=1):
+    """One page of a result in its display order."""
+    return lambda adapter, p, as_of: (f"SELECT * FROM ({build(adapter, p, as_of)}) ORDER BY {order} "
+                                      f"LIMIT {size} OFFSET {(number - 1) * size}")
+
+
+def date_labels(adapter, p, as_of):
+    return base(adapter, p) + """
+SELECT strftime(dt_lancamento, '%d/%m/%Y') AS label, COUNT(*) AS n_lines FROM lf GROUP BY 1"""
+
+
+def rescued_values(adapter, p, as_of):
+    def money(column):
+        cents, whole = f"TRY_CAST(raw_{column} AS DECIMAL(18,2))", f"TRY_CAST(raw_{column} AS DECIMAL(38,10))"
+        return (f"SELECT '{column}' AS \"column\", raw_{column} AS raw FROM extrato "
+                f"WHERE raw_{column} IS NOT NULL AND ({cents} IS NULL OR {cents} <> {whole})")
+    parts = ["SELECT 'id_origem' AS \"column\", raw_id AS raw FROM extrato WHERE id_origem IS NULL",
+             "SELECT 'dt_lancamento', raw_dt FROM extrato WHERE dt_lancamento IS NULL", money("entrada"), money("saida")]
+    return f"""WITH extrato AS ({ADAPTER_SQL[adapter]}), raws AS ({' UNION ALL '.join(parts)})
+SELECT "column", COUNT(*) AS n, MIN(raw) AS first_raw, MAX(raw) AS last_raw FROM raws GROUP BY 1"""
+
+
 # --------------------------------------------------------------------------- evolution
 
 def _evo_ctes(horizon_keys: str = "") -> list[str]:
@@ -658,6 +696,33 @@ SELECT rm.nmfundo, liquidity_ratio, volume_concentration, balance_volatility, av
 FROM rm JOIN ticket ON rm.nmfundo IS NOT DISTINCT FROM ticket.nmfundo"""
 
 
+def pack_formulas(adapter, p, as_of):
+    return base(adapter, p, FUND_DAILY_CTE, f"""d AS (
+  SELECT nmfundo, CAST(dt_lancamento AS DATE) AS date, SUM(ABS({E}) + ABS({S})) AS v, SUM({E}) AS e, SUM({S}) AS s,
+    COUNT(*) AS n FROM lf GROUP BY 1, 2),
+t AS (SELECT nmfundo, CAST(SUM(e) AS DOUBLE) AS te, CAST(SUM(s) AS DOUBLE) AS ts, CAST(SUM(e - s) AS DOUBLE) AS net,
+    SUM(n) AS ops, COUNT(*) AS days, CAST(MAX(v) AS DOUBLE) AS vmax, CAST(MIN(v) AS DOUBLE) AS vmin,
+    CAST(SUM(v) AS DOUBLE) / COUNT(*) AS vavg, CAST(MAX(s) AS DOUBLE) AS smax, CAST(MIN(s) AS DOUBLE) AS smin,
+    AVG(CASE WHEN s <> 0 THEN CAST(e AS DOUBLE) / CAST(s AS DOUBLE) END) AS ratio
+  FROM d GROUP BY nmfundo)""") + """
+SELECT nmfundo, CASE WHEN vavg <> 0 THEN (vmax - vmin) / vavg END AS spread,
+  CASE WHEN smin <> 0 THEN smax / smin + 1 END AS exit_swing, CAST(NULL AS DOUBLE) AS no_value, round(ratio * 10000) / 10000 AS day_ratio,
+  CASE WHEN te + ts <> 0 THEN abs(net) / (te + ts) * 100 END AS net_share, CAST(ops AS DOUBLE) / days AS busy FROM t"""
+
+
+def custom_analysis_status(adapter, p, as_of):
+    return base(adapter, p) + f"""
+SELECT 'by_custodian' AS name, 'ok' AS status, COUNT(DISTINCT COALESCE(fonte, '\x00')) AS n_rows,
+  CAST(NULL AS VARCHAR) AS condition FROM lf
+UNION ALL SELECT 'by_day', 'ok', COUNT(DISTINCT {DAY}), NULL FROM lf
+UNION ALL SELECT 'bad_cast', 'failed', NULL, 'CAST_INVALID_INPUT'
+UNION ALL SELECT 'no_column', 'failed', NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'"""
+
+
+def custom_analysis_result(adapter, p, as_of):
+    return base(adapter, p) + f"SELECT fonte, COUNT(*) AS n, CAST(SUM({E}) AS DOUBLE) AS entries FROM lf GROUP BY fonte"
+
+
 def pack_query(adapter, p, as_of):
     return base(adapter, p) + """
 SELECT nmfundo, COUNT(*) AS withdrawals FROM lf WHERE contains(lower(lancamento), 'saque') GROUP BY nmfundo"""

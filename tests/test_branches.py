@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_MID
 from fundflow.functions.money import to_output
-from fundflow.operators import evolution, filters, flows, kpis as K, status
+from fundflow.operators import evolution, filters, flows, kpis as K, lag, status
 from fundflow.params import FilterParams
 from fundflow.plans import rules
 from fundflow.sources.adapters import events_ledger, orders_ledger
@@ -156,7 +156,7 @@ def test_invariants(orders):
 
 
 def test_w1_matches_plain_window(orders):
-    """The bucketed W1 equals the single-window definition."""
+    """W1 by ranges equals the single-window definition."""
     from pyspark.sql import Window
     x = lf(orders, FilterParams(dt.date(1995, 1, 1), AS_OF))
     bal = F.coalesce("saldo", F.lit(0).cast("decimal(18,2)"))
@@ -164,7 +164,7 @@ def test_w1_matches_plain_window(orders):
                      bal.alias("balance"),
                      F.lag(bal).over(Window.partitionBy("nmfundo")
                                      .orderBy("dt_lancamento", "id_origem")).alias("previous_balance"))
-    ours = flows.balance_evolution(x).select("nmfundo", "fonte", "date", "balance", "previous_balance")
+    ours = lag.balance_evolution(x).select("nmfundo", "fonte", "date", "balance", "previous_balance")
     assert plain.exceptAll(ours).count() == 0 and ours.exceptAll(plain).count() == 0
 
 
@@ -189,13 +189,13 @@ def test_w1_spreads_a_hot_fund(spark):
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ours = flows.balance_evolution(x)
-        # keep previous_balance referenced, or Catalyst prunes the window away
-        per_task = (ours.filter(F.col("nmfundo") == "HOT")
-                    .withColumn("pid", F.spark_partition_id())
-                    .groupBy("pid").agg(F.count("previous_balance").alias("n")).collect())
+        ours = lag.balance_evolution(x)
+        # ranges hold as many lines each, whosever they are
+        per_task = (ours.withColumn("pid", F.spark_partition_id()).groupBy("pid").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("nmfundo") == "HOT").alias("hot")).collect())
         sizes = sorted(r.n for r in per_task)
         assert len(sizes) >= 6 and sizes[-1] < 0.35 * sum(sizes)  # of 8 shuffle partitions
+        assert sum(r.hot > 0 for r in per_task) >= 3
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     bal = F.coalesce("saldo", F.lit(0).cast("decimal(18,2)"))
@@ -215,7 +215,7 @@ def test_w1_spreads_one_posting_time(spark):
         "'F' as nmfundo", "'' as cnpj", "timestamp_ntz'2024-01-01 00:00:00' as dt_lancamento",
         "cast(1 as decimal(18,2)) as entrada", "cast(0 as decimal(18,2)) as saida",
         "cast(id as decimal(18,2)) as saldo", "'' as lancamento")
-    ours = flows.balance_evolution(led, ids_per_slice=100)
+    ours = lag.balance_evolution(led)
     plain = led.select("saldo", F.lag("saldo").over(
         Window.partitionBy("nmfundo").orderBy("dt_lancamento", "id_origem")).alias("previous_balance"))
     got = ours.select("balance", "previous_balance")
@@ -229,3 +229,47 @@ def test_w1_spreads_one_posting_time(spark):
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert max(r["count"] for r in tasks) < 3000
     assert "SortAggregate" not in ours._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_lag(led):
+    from pyspark.sql import Window
+    order = Window.partitionBy("nmfundo").orderBy("dt_lancamento", "id_origem")
+    return led.select("nmfundo", "dt_lancamento", "id_origem", F.col("saldo").alias("balance"),
+                      F.lag("saldo").over(order).alias("previous_balance"))
+
+
+@pytest.mark.parametrize("step", [1, 1 << 30])
+def test_w1_spreads_sparse_ids(spark, step):
+    """One midnight holds all lines of a fund, their ids dense or far apart: even ranges, the plain window's lags."""
+    led = spark.range(20_000).selectExpr(
+        f"id * {step} as id_origem", "'c' as fonte", "1L as id_carteira",
+        "case when id % 3 = 0 then null when id < 15000 then 'F' else 'G' end as nmfundo", "'' as cnpj",
+        "timestamp_ntz'2024-01-01 00:00:00' as dt_lancamento", "cast(1 as decimal(18,2)) as entrada",
+        "cast(0 as decimal(18,2)) as saida", "cast(id as decimal(18,2)) as saldo", "'' as lancamento")
+    ours = lag.balance_evolution(led, 16).select(plain_lag(led).columns)
+    assert plain_lag(led).exceptAll(ours).count() == 0 and ours.exceptAll(plain_lag(led)).count() == 0
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4k")  # a task for each file the scan wrote
+        sizes = [r["count"] for r in ours.select("*").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+
+
+def test_w1_is_stable_once_stored(spark, orders):
+    """The same frame gives the same rows when it is read again, split differently."""
+    ours = lag.balance_evolution(lf(orders, FilterParams(dt.date(1995, 1, 1), AS_OF)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    first = sorted(map(str, ours.collect()))
+    try:
+        spark.conf.set(name, "16k")
+        assert sorted(map(str, ours.select("*").collect())) == first
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_w1_of_nothing(spark, orders):
+    assert lag.balance_evolution(orders.filter("false")).collect() == []

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import MICRO_AS_OF, MICRO_PARAMS
 from fundflow.functions.money import to_output
-from fundflow.operators import alerts as L, breakdowns, evolution, extract as X, flows, kpis as K
+from fundflow.operators import alerts as L, breakdowns, evolution, lag, extract as X, flows, kpis as K
 from fundflow.operators import status
 from fundflow.plans import bundles
 
@@ -56,7 +56,7 @@ def test_a3_concentration(micro_lf):
 
 
 def test_w1_previous_balance(micro_lf):
-    got = sorted(rows(to_output(flows.balance_evolution(micro_lf, bucket="day")),
+    got = sorted(rows(to_output(lag.balance_evolution(micro_lf)),
                       "nmfundo", "fonte", "date", "balance", "previous_balance"),
                  key=lambda r: (str(r[0]), r[2], r[1]))
     prev = {(r[0], r[1], str(r[2])): r[4] for r in got}
@@ -69,11 +69,11 @@ def test_w1_previous_balance(micro_lf):
     assert prev[(None, "btg", "2024-01-04")] is None
 
 
-@pytest.mark.parametrize("bucket", ["minute", "hour", "day", "month"])
-def test_w1_same_answer_for_any_bucket(micro_lf, bucket):
-    ref = sorted(rows(flows.balance_evolution(micro_lf, bucket="year"),
+@pytest.mark.parametrize("partitions", [2, 3, 8, 40])
+def test_w1_same_answer_for_any_number_of_ranges(micro_lf, partitions):
+    ref = sorted(rows(lag.balance_evolution(micro_lf, 1),
                       "date", "fonte", "balance", "previous_balance"), key=str)
-    got = sorted(rows(flows.balance_evolution(micro_lf, bucket=bucket),
+    got = sorted(rows(lag.balance_evolution(micro_lf, partitions),
                       "date", "fonte", "balance", "previous_balance"), key=str)
     assert got == ref
 
