@@ -36,7 +36,8 @@ from fundflow.params import (  # noqa: E402
 from fundflow.functions.formatting import date_label  # noqa: E402
 from fundflow.plans import bundles, dashboard as D, rules  # noqa: E402
 from fundflow.plans.presentation import page  # noqa: E402
-from fundflow.sources import contract, sinks  # noqa: E402
+from fundflow.sources import contract, readers, sinks  # noqa: E402
+from fundflow.sources.publish import publish, published  # noqa: E402
 from fundflow.sources.adapters import ADAPTERS  # noqa: E402
 from fundflow.session import configure, scratch_path  # noqa: E402
 
@@ -95,13 +96,13 @@ def _evo_metrics(lf):
     return evolution.evolution_metrics(evolution.balance_pct_change(lf))
 
 
-def _cube(spark, lf):
-    """The stored daily cube: what composites derive from after one read of the ledger."""
-    return sinks.materialise(spark, D.daily_cube(lf), "daily-cube")
+def _cube(lf):
+    """The daily cube as one exchange that all branches of a composite read."""
+    return D.shared(D.daily_cube(lf))
 
 
-def _all_alerts(spark, lf, p, as_of):
-    return D.derive(_cube(spark, lf), p, as_of)["alerts"]
+def _all_alerts(lf, as_of):
+    return D.alerts(_cube(lf), as_of)
 
 
 def _kpis(lf, p, as_of):
@@ -165,6 +166,38 @@ def _sink_daily(spark, lf):
         "daily_operations", "avg_balance", "max_balance", "min_balance"))
 
 
+_STORES: dict[tuple, tuple[SparkSession, str]] = {}
+
+
+def _stored(spark, ledger):
+    """The ledger written for fast reading, by month; once per session and ledger."""
+    hit = _STORES.get((id(spark), id(ledger)))
+    if hit is None or hit[0] is not spark:
+        hit = (spark, sinks.write_ledger(ledger, scratch_path(spark, "stored-ledger")), ledger)
+        _STORES[(id(spark), id(ledger))] = hit
+    return hit[1]
+
+
+def _stored_part(spark, ledger, p):
+    """A fund's and period's part of the stored ledger."""
+    part = readers.read_ledger(spark, _stored(spark, ledger), period=(p.start_date, p.end_date))
+    return filters.apply_filters(part, p)
+
+
+def _stored_newest(spark, ledger, p):
+    newest = readers.read_newest(spark, _stored(spark, ledger), p)
+    return X.extract(filters.apply_filters(newest, p), p.limit)
+
+
+def _published_daily(spark, lf):
+    """Two refreshes published one after the other; the reader gets the last whole set."""
+    root = scratch_path(spark, "published")
+    for frame in (lf.limit(0), lf):
+        publish(spark, {"daily_metrics": flows.daily_metrics(frame),
+                        "concentration": flows.concentration(frame)}, root)
+    return published(spark, root).read("daily_metrics")
+
+
 B = {
     "extract": lambda s, led, lf, p, a: to_output(X.extract(lf)),
     "extract_limited": lambda s, led, lf, p, a: to_output(X.extract(lf, p.limit)),
@@ -224,12 +257,12 @@ B = {
     "pack_metrics": lambda s, led, lf, p, a: rules.pack_metrics(lf, PACK["metrics"]),
     "pack_query": lambda s, led, lf, p, a: _pack(s, led, p, "withdrawals",
                                                  rules.adapt_pack(PACK, "ledger_view")["queries"]),
-    "alerts": lambda s, led, lf, p, a: _all_alerts(s, lf, p, a).select(*ALERT_OUT),
-    "critical_alerts": lambda s, led, lf, p, a: L.critical_only(_all_alerts(s, lf, p, a)).select(*ALERT_OUT),
-    "warning_alerts": lambda s, led, lf, p, a: L.warning_only(_all_alerts(s, lf, p, a)).select(*ALERT_OUT),
-    "has_issues": lambda s, led, lf, p, a: L.has_issues(_all_alerts(s, lf, p, a)),
+    "alerts": lambda s, led, lf, p, a: _all_alerts(lf, a).select(*ALERT_OUT),
+    "critical_alerts": lambda s, led, lf, p, a: L.critical_only(_all_alerts(lf, a)).select(*ALERT_OUT),
+    "warning_alerts": lambda s, led, lf, p, a: L.warning_only(_all_alerts(lf, a)).select(*ALERT_OUT),
+    "has_issues": lambda s, led, lf, p, a: L.has_issues(_all_alerts(lf, a)),
     "analysis_summary": lambda s, led, lf, p, a: bundles.analysis_summary(
-        _cube(s, lf), a, ops=D).drop("message", "summary"),
+        _cube(lf), a, ops=D).drop("message", "summary"),
     "pack_formulas": lambda s, led, lf, p, a: rules.pack_metrics(lf, FORMULAS),
     "custom_analysis_status": lambda s, led, lf, p, a: rules.execute_custom_analysis(
         s, led, MIXED_QUERIES, p).status.select("name", "status", "n_rows", "condition"),
@@ -249,6 +282,14 @@ B = {
         page("balance_evolution", lag.balance_evolution(lf), PAGE_ROWS, 3)),
     "page_balance_pct_change": lambda s, led, lf, p, a: to_output(
         page("balance_pct_change", evolution.balance_pct_change(lf), PAGE_ROWS)),
+    "stored_funds": lambda s, led, lf, p, a: filters.available_funds(readers.read_summary(s, _stored(s, led))),
+    "stored_custodians": lambda s, led, lf, p, a: filters.available_custodians(
+        readers.read_summary(s, _stored(s, led))),
+    "stored_fund_search": lambda s, led, lf, p, a: filters.fund_search(
+        filters.available_funds(readers.read_summary(s, _stored(s, led))), "ion_1"),
+    "stored_liquidity_metrics": lambda s, led, lf, p, a: to_output(_a1(_stored_part(s, led, p))),
+    "stored_extract_limited": lambda s, led, lf, p, a: to_output(_stored_newest(s, led, p)),
+    "published_daily_metrics": lambda s, led, lf, p, a: to_output(_published_daily(s, lf)),
     "rescued_values": lambda s, led, lf, p, a: _rescued(led),
     "rescued_daily_metrics": lambda s, led, lf, p, a: to_output(flows.daily_metrics(lf)),
     "sink_daily_metrics": lambda s, led, lf, p, a: _sink_daily(s, lf),
@@ -332,6 +373,12 @@ Q = {
         O.balance_evolution_lines, "dt_lancamento, nmfundo ASC NULLS FIRST, id_origem", PAGE_ROWS, 3),
     "page_balance_pct_change": O.page(
         O.balance_pct_change, "nmfundo ASC NULLS FIRST, date, fonte ASC NULLS FIRST", PAGE_ROWS),
+    "stored_funds": O.available_funds,
+    "stored_custodians": O.available_custodians,
+    "stored_fund_search": O.fund_search("ion_1"),
+    "stored_liquidity_metrics": O.liquidity_metrics,
+    "stored_extract_limited": lambda ad, p, a: O.extract(ad, p, a, limit=p.limit),
+    "published_daily_metrics": O.daily_metrics,
     "rescued_values": O.rescued_values,
     "rescued_daily_metrics": O.daily_metrics,
     "sink_daily_metrics": O.sink_daily_metrics,
@@ -361,6 +408,12 @@ for op in ("extract_enriched", "available_funds", "liquidity_metrics", "liquidit
            "alerts", "analysis_summary", "balance_evolution_lines", "pack_formulas", "date_labels",
            "custom_analysis_status", "page_balance_evolution"):
     SCENARIOS[f"{op}_events"] = _sc(op, "events")
+SCENARIOS["stored_extract_limited"] = _sc("stored_extract_limited", params=full("orders", limit=MAX_RECORDS_DISPLAY))
+SCENARIOS["stored_extract_limited_events"] = _sc("stored_extract_limited", "events", params=full("events", limit=500))
+SCENARIOS["stored_liquidity_metrics"] = _sc("stored_liquidity_metrics", params=days_back(
+    "orders", 400, funds=("NATION_1", "NATION_7"), custodians=("BUILDING", "MACHINERY")))
+for op in ("stored_funds", "stored_custodians"):
+    SCENARIOS[f"{op}_events"] = _sc(op, "events")
 for op in ("rescued_values", "rescued_daily_metrics"):
     SCENARIOS[op] = _sc(op, "export")
 for op in ("liquidity_status", "liquidity_status_by_fund", "liquidity_alerts", "evolution_metrics",

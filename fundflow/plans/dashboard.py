@@ -25,11 +25,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fundflow.functions import classify as C
-from fundflow.functions.money import dbl, entrada, flow, gross_volume, mean, ratio, rnd, saida, saldo
+from fundflow.functions.money import dbl, entrada, flow, gross_volume, mean, ratio, rnd, saida, saldo, to_output
 from fundflow.operators import alerts as L, evolution, flows, kpis as K, status
 from fundflow.operators.filters import apply_filters
 from fundflow.params import FilterParams, Thresholds
-from fundflow.sources.sinks import materialise
+from fundflow.session import scratch_path
+from fundflow.sources.publish import discard
+from fundflow.sources.sinks import write_result
 
 
 def daily_cube(lf: DataFrame) -> DataFrame:
@@ -54,6 +56,21 @@ def daily_cube(lf: DataFrame) -> DataFrame:
         F.count_if(F.col("dt_lancamento") > day.cast("timestamp_ntz")).alias("after_midnight"))
 
 
+def shared(cube: DataFrame) -> DataFrame:
+    """The cube for one query whose branches all start from it.
+
+    The condition holds for every row and names every column, so each branch asks
+    for the same aggregate: Spark plans one exchange, reads the ledger once and
+    reuses it, with nothing written in between.
+    """
+    counts = F.least(*(F.col(c) for c in ("nulls", "neg", "after_midnight"))) >= 0
+    sums = [F.col(c).isNotNull() for c in ("e", "s", "f", "m2", "gross", "fabs", "b", "bmin", "bmax")]
+    whole = (F.col("n") > 0) & counts
+    for present in sums:
+        whole &= present
+    return cube.filter(whole)
+
+
 def _about_group_mean(rows: DataFrame, *keys: str) -> DataFrame:
     """``m2`` of each row taken about the mean of its group instead of its own.
 
@@ -134,10 +151,29 @@ def kpis(cube: DataFrame, p: FilterParams, as_of: dt.date) -> DataFrame:
 class Dashboard:
     cube: DataFrame
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    path: str | None = None  # of a cube stored for this dashboard alone
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
+    def results(self) -> dict[str, DataFrame]:
+        """The frames as sinks take them: money as double, no map columns."""
+        return {name: to_output(df.drop("metadata")) for name, df in self.frames.items()}
+
+    def release(self, spark: SparkSession) -> None:
+        """Remove the stored cube; no frame can be read afterwards."""
+        if self.path:
+            discard(spark, self.path)
+
+
+def alerts(cube: DataFrame, as_of: dt.date, t: Thresholds = Thresholds()) -> DataFrame:
+    """L1-L3 combined."""
+    by_fund = status.liquidity_status_by_fund(status.liquidity_status(liquidity_metrics(cube), t))
+    evo = evolution.with_pct_change(daily_metrics(cube))
+    return L.combine(L.liquidity_alerts(by_fund, as_of),
+                     L.concentration_alerts(status.concentration_metrics(concentration(cube), t), as_of),
+                     L.evolution_alerts(evolution.evolution_metrics(evo, t), as_of))
+
 
 def derive(cube: DataFrame, p: FilterParams, as_of: dt.date,
            t: Thresholds = Thresholds()) -> Dashboard:
@@ -161,9 +197,7 @@ def derive(cube: DataFrame, p: FilterParams, as_of: dt.date,
         "evolution_metrics": evo_m,
         "fund_daily_stats": fund_daily_stats(cube),
         "kpi_alerts": L.kpi_alerts(k),
-        "alerts": L.combine(L.liquidity_alerts(by_fund, as_of),
-                            L.concentration_alerts(conc, as_of),
-                            L.evolution_alerts(evo_m, as_of)),
+        "alerts": alerts(cube, as_of, t),
     }
     return Dashboard(cube, frames)
 
@@ -172,5 +206,7 @@ def refresh(spark: SparkSession, ledger: DataFrame, p: FilterParams, as_of: dt.d
             t: Thresholds = Thresholds()) -> Dashboard:
     """Scan the filtered ledger once, store the daily cube under the shared
     checkpoint folder and derive every daily-grained analysis from it."""
-    cube = materialise(spark, daily_cube(apply_filters(ledger, p)), "daily-cube")
-    return derive(cube, p, as_of, t)
+    path = write_result(daily_cube(apply_filters(ledger, p)), scratch_path(spark, "daily-cube"))
+    dash = derive(spark.read.parquet(path), p, as_of, t)
+    dash.path = path
+    return dash

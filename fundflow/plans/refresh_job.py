@@ -7,25 +7,24 @@
 (or ``python -m fundflow.plans.refresh_job ...`` against a local session).
 Reads the ledger with partition pruning, builds the daily cube once (stored
 under ``spark.checkpoint.dir``), derives every daily-grained analysis and
-writes each as a parquet folder under ``--out`` (S4).  Only the one-row KPI
-summary comes back to the driver, to be printed at the end.
+publishes them as one version under ``--out`` (S4, ``sources.publish``): readers
+see the set of the last finished refresh.  The stored cube is removed then.
+Only the one-row KPI summary comes back to the driver, to be printed at the end.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
-import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from fundflow.functions.money import to_output
 from fundflow.params import FilterParams, Thresholds
 from fundflow.plans import dashboard
 from fundflow.session import configure
+from fundflow.sources.publish import publish
 from fundflow.sources.readers import read_ledger
-from fundflow.sources.sinks import write_result
 
 
 def _list(text: str | None) -> tuple[str, ...] | None:
@@ -55,12 +54,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     p = FilterParams(args.start, args.end, _list(args.funds), _list(args.custodians))
     ledger = read_ledger(spark, args.ledger, period=(p.start_date, p.end_date))
     dash = dashboard.refresh(spark, ledger, p, args.as_of or p.end_date, thresholds)
-    written = {}
-    for name, df in dash.frames.items():
-        if "metadata" in df.columns:
-            df = df.drop("metadata")  # map column: keep the sink format-neutral
-        written[name] = write_result(to_output(df), os.path.join(args.out, name))
-    return written
+    done = publish(spark, dash.results(), args.out)
+    dash.release(spark)
+    return {name: done.path(name) for name in dash.frames}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,14 +2,17 @@
 
 The reference recomputes everything on each dashboard rerun (its
 "real-time" KPIs).  On Spark each micro-batch of new lines is reduced to its
-own daily cube (``plans.dashboard``), which is appended; cubes of disjoint
-lines merge, so a reader gets the same per-day aggregate as a batch run at
-any time: open days are there, and no line is too late to count.
+own daily cube (``plans.dashboard``) and merged into the cube so far; cubes of
+disjoint lines merge, so a reader gets the same per-day aggregate as a batch
+run at any time: open days are there, and no line is too late to count.  The
+merged cube is published as the batch's version (``sources.publish``): history is
+one folder however many batches there were, and a replayed batch merges with
+the version before its own again.
 
 ``start_dashboard_refresh`` runs the whole dashboard rerun on the same
-trigger: new lines are appended to the stored ledger, their cube to the
-stored cubes, and the result tables are derived from the merged cubes.  No
-line is read twice.
+trigger: new lines are appended to the stored ledger, their cube is merged, and
+the result tables are derived from it and published as one version.  No line
+is read twice.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundflow.functions.money import to_output
 from fundflow.operators.flows import daily_metrics
 from fundflow.plans import dashboard
 from fundflow.sources.contract import LEDGER_SCHEMA, normalise
-from fundflow.sources.sinks import materialise, write_ledger, write_result
+from fundflow.sources.publish import publish, published
+from fundflow.sources.sinks import write_ledger
 
 # Fixed value that must equal the reference's declared refresh interval (seconds).
 REFRESH_SECONDS = 300
@@ -45,14 +48,18 @@ def daily_metrics_stream(lines: DataFrame) -> DataFrame:
     return daily_metrics(lines)
 
 
-def _append_cube(batch: DataFrame, folder: str, batch_id: int) -> None:
-    """Idempotent: a batch replayed after a failure replaces its own files."""
-    write_result(dashboard.daily_cube(batch), os.path.join(folder, f"batch={batch_id:08d}"))
+def _merge_cube(batch: DataFrame, folder: str, batch_id: int) -> None:
+    """Idempotent: a batch replayed after a failure starts from the version before its own."""
+    spark = batch.sparkSession
+    cube, before = dashboard.daily_cube(batch), published(spark, folder, below=batch_id)
+    if before is not None:
+        cube = dashboard.merged(before.read("cube").unionByName(cube))
+    publish(spark, {"cube": cube}, folder, version=batch_id)
 
 
 def read_cube(spark: SparkSession, folder: str) -> DataFrame:
     """The cube over all lines streamed so far."""
-    return dashboard.merged(spark.read.parquet(folder).drop("batch"))
+    return published(spark, folder).read("cube")
 
 
 def read_daily_metrics(spark: SparkSession, sink: str) -> DataFrame:
@@ -68,12 +75,12 @@ def _started(stream: DataFrame, per_batch, checkpoint: str, trigger_seconds: int
 
 def start_daily_refresh(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         trigger_seconds: int = REFRESH_SECONDS, once: bool = False):
-    """Append each batch's daily cube to ``sink``; ``read_daily_metrics`` reads it.
+    """Merge each batch's daily cube into the one published in ``sink``; ``read_daily_metrics`` reads it.
 
     ``checkpoint`` must be on shared storage (e.g. under spark.checkpoint.dir)
     so a restarted driver or lost executor resumes from it.
     """
-    return _started(ledger_stream(spark, source), lambda batch, n: _append_cube(batch, sink, n),
+    return _started(ledger_stream(spark, source), lambda batch, n: _merge_cube(batch, sink, n),
                     checkpoint, trigger_seconds, once)
 
 
@@ -90,20 +97,18 @@ def start_dashboard_refresh(spark: SparkSession, source: str, store: str, out: s
     * ``params_for(batch_id) -> FilterParams`` gives the period and lists to
       show (e.g. the last 45 days up to today); ``as_of_for(batch_id)``
       the KPI clock (defaults to the period end).
-    * Result tables are overwritten each batch from the merged cubes of all
-      batches (``out/daily-cube``), so they reflect every line of the period.
+    * Result tables are published each batch from the merged cube of all
+      batches (``out/daily-cube``), so they reflect every line of the period;
+      ``sources.publish.published(spark, out)`` reads one whole set of them.
     """
     cubes = os.path.join(out, "daily-cube")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         write_ledger(batch, os.path.join(store, f"batch={batch_id:08d}"))
-        _append_cube(batch, cubes, batch_id)
+        _merge_cube(batch, cubes, batch_id)
         p = params_for(batch_id)
         as_of = as_of_for(batch_id) if as_of_for else p.end_date
-        cube = materialise(spark, dashboard.filtered(read_cube(spark, cubes), p), "daily-cube")
-        for name, df in dashboard.derive(cube, p, as_of).frames.items():
-            if "metadata" in df.columns:
-                df = df.drop("metadata")
-            write_result(to_output(df), os.path.join(out, name))
+        dash = dashboard.derive(dashboard.filtered(read_cube(spark, cubes), p), p, as_of)
+        publish(spark, dash.results(), out, version=batch_id)
 
     return _started(ledger_stream(spark, source), per_batch, checkpoint, trigger_seconds, once)

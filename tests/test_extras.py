@@ -304,13 +304,14 @@ def test_streaming_dashboard_refresh(spark, micro):
 
     q = refresh.start_dashboard_refresh(spark, src, store, out, ck, params, once=True)
     q.awaitTermination(300)
-    k = spark.read.parquet(os.path.join(out, "kpis")).first()
+    from fundflow.sources.publish import published
+    k = published(spark, out).read("kpis").first()
     assert k.operation_count == 4
     # a second file arrives; the next run appends it and refreshes the results
     micro.filter("id_origem > 4").write.mode("append").parquet(src)
     q = refresh.start_dashboard_refresh(spark, src, store, out, ck, params, once=True)
     q.awaitTermination(300)
-    k = spark.read.parquet(os.path.join(out, "kpis")).first()
+    k = published(spark, out).read("kpis").first()
     assert (k.operation_count, k.total_volume) == (7, 940.0)
     assert readers.read_ledger(spark, store).count() == 8  # stored once each, incl. February
 
