@@ -56,18 +56,20 @@ def daily_cube(lf: DataFrame) -> DataFrame:
         F.count_if(F.col("dt_lancamento") > day.cast("timestamp_ntz")).alias("after_midnight"))
 
 
-def shared(cube: DataFrame) -> DataFrame:
-    """The cube for one query whose branches all start from it.
+#: What alerts (but for their metadata) and summaries need of a cube.
+ALERT_STATS = ("n", "e", "s", "f", "gross")
 
-    The condition holds for every row and names every column, so each branch asks
-    for the same aggregate: Spark plans one exchange, reads the ledger once and
-    reuses it, with nothing written in between.
+
+def shared(cube: DataFrame, columns: tuple[str, ...] = ALERT_STATS) -> DataFrame:
+    """The cube for one query whose branches all start from it and need no more than ``columns``.
+
+    The condition holds for every row and names all these columns, so each branch
+    asks for the same aggregate: Spark plans one exchange, reads the ledger once
+    and reuses it, with nothing written in between.
     """
-    counts = F.least(*(F.col(c) for c in ("nulls", "neg", "after_midnight"))) >= 0
-    sums = [F.col(c).isNotNull() for c in ("e", "s", "f", "m2", "gross", "fabs", "b", "bmin", "bmax")]
-    whole = (F.col("n") > 0) & counts
-    for present in sums:
-        whole &= present
+    whole = F.col("n") > 0
+    for c in columns:
+        whole &= F.col(c).isNotNull()
     return cube.filter(whole)
 
 
