@@ -8,9 +8,10 @@ near a keyword of its own.  Detections are word intervals; one that lies
 within a detection of a higher priority, or of the same priority and longer,
 is suppressed.  The base phrases are reported apart and never suppressed.
 
-The rules come from two hand-written tables, licenses (name pattern, keyword,
-versions) and phrasings (pattern around a name, priority, confidence): each
-phrasing of each license version is a rule, 500 and more in all.
+The rules are signatures from the license texts themselves (``license_texts``:
+grants, headers, conditions, warranty clauses), notices, and names: each phrasing
+around the name of each license version.  A signature's keyword is its longest
+word that stands in every match.
 
 Defined results: null counts as empty; a text without detections has null
 first_word and last_word, empty labels and score 0.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fundflow.llm.license_texts import KINDS
 from fundflow.llm.text import ALNUM, LOWER, flat, pieces, span_hash, words
 
 # The contract's phrases and labels.
@@ -133,6 +135,15 @@ def _keywords(words: str, versions: tuple[str, ...] = ()) -> frozenset[str]:
     return frozenset(out)
 
 
+def _always(pattern: str) -> frozenset[str]:
+    """For each alternative of a pattern the longest word outside its groups."""
+    out = set()
+    for part in re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)[?*]?|\[[^]]*\](?:\{[^}]*\}|[?*+])?", "", pattern).split("|"):
+        plain = [w for w in part.split() if w.isalnum()]
+        out.add(max(plain, key=len))
+    return frozenset(out)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
@@ -155,6 +166,10 @@ def rules() -> tuple[Rule, ...]:
     for label, pattern, words_, priority, confidence in NOTICES:
         out.append(Rule(label, re.compile(r"(?<![^ ])" + pattern + r"(?![^ ])"), _keywords(words_), "",
                         2 * priority, confidence))
+    for signatures, priority, confidence in KINDS:
+        for label, pattern in signatures:
+            out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), _always(pattern), "",
+                            2 * priority, confidence))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 

@@ -92,6 +92,44 @@ def test_rules_are_many_ordered_and_gated():
         assert license_scan.detect(f"x {name} y".split()), name
 
 
+def example(pattern):
+    """A text that a signature matches: optional parts left out, the first of alternatives, each class its first letter."""
+    while (m := re.search(r"\((?:\?:)?([^()]*)\)(\?)?", pattern)):
+        pattern = pattern[:m.start()] + ("" if m[2] else m[1].split("|")[0]) + pattern[m.end():]
+    pattern = re.sub(r"\[[^]]*\](?:\{[^}]*\})?", "a ", pattern.split("|")[0])
+    return " ".join(re.sub(r"\w?\?", "", pattern).split())
+
+
+def test_signatures_are_found_by_their_own_text():
+    """Each alone and within other words, through its keyword, as its label."""
+    from fundflow.llm.license_texts import KINDS
+    total = 0
+    for signatures, _, _ in KINDS:
+        for label, pattern in signatures:
+            total += 1
+            text = example(pattern)
+            assert re.fullmatch(pattern, text), (pattern, text)
+            words_ = f"so it says {text} and no more".split()
+            assert any(d[2].label == label or d[2].priority >= 8 for d in license_scan.detect(words_)), (label, text)
+            rule = next(r for r in license_scan.rules() if pattern in r.pattern.pattern)
+            assert rule.keywords & set(text.split())
+    assert total >= 180
+
+
+@pytest.mark.parametrize("text", [
+    "the author had permission to use the library and was granted a copy of the document free of charge",
+    "a general public with a license to complain about the original work of the artistic director",
+    "the software foundation of the house was provided as is by the contributors who met in boston",
+    "redistribution of income in any form is not without restriction in the open government of the state",
+    "apache helicopters and the mozilla mascot stood under the eclipse near the boost factory",
+    "you may use the material in class and the origin of this story must be told",
+    "his warranty covers fitness for running and the merchant of venice",
+    "public domain knowledge is what the people dedicated to the village have",
+])
+def test_ordinary_prose_yields_nothing(text):
+    assert license_scan.detect(text.split()) == []
+
+
 def brute_uncovered(found):
     ordered = sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label, -d[2].confidence))
     kept = []
