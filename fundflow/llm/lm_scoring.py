@@ -1,20 +1,26 @@
-"""LM scoring with a weighted backoff automaton.
-
-Training counts words and pairs of words over the whole training part.  The
-smoothed model is p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU) with the
-add-one unigram p(w) = (c(w) + 1) / (N + V + 1), which sums to one over the
-vocabulary and one unknown word.  As an automaton: a state for each word
-seen as a history, an arc for each pair seen, and a failure arc of weight
-MU / (c(h) + MU) to the root, whose arcs carry the unigram.  A text is scored in one
-traversal from the start state to the end token.
+"""LM scoring with a weighted backoff automaton of order three.
+
+Training counts words, pairs and triples of words over the whole training part.
+The smoothed model is p(w | u, v) = (c(u, v, w) + MU p(w | v)) / (c(u, v) + MU) with
+p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU) and the add-one unigram
+p(w) = (c(w) + 1) / (N + V + 1); each sums to one over the vocabulary and one
+unknown word.  As an automaton: a root, a state for each word and each pair seen
+as a history, and an arc for each n-gram seen, to the state of its longest suffix.
+A pair's failure arc, of weight MU / (c(u, v) + MU), leads to the state of its second
+word, that word's failure arc to the root.  One traversal from left to right
+carries the state and adds up the weights.  Texts are traversed side by side, long
+ones in segments: a state remembers two words, so a segment that starts two
+tokens early at the root is in the right state when its own tokens begin.
 
 The automaton of a large corpus fits no single machine, so each chunk of
 documents gets the part its texts can reach: it asks the bucket of every
-distinct word and pair of its texts, sending its own training counts along,
-and the answers, the totals over all chunks, come back in the order asked.
-However common a word or pair is, a chunk sends it once, and pairs are dealt
-by both words, so no bucket depends on one frequent word.  Replies are
-counts, a byte or so each.
+distinct n-gram of its texts, sending its own training counts along, and the
+answers, the totals over all chunks, come back in the order asked.
+However common an n-gram is, a chunk sends it once, and n-grams are dealt by all
+their words, so no bucket depends on one frequent word.  Replies are
+counts, a byte or so each.  Words and pairs are sent as text and compared exactly;
+triples are sent as 64-bit hashes, so two triples of one hash (about one in
+10^7 at 10^12 distinct triples) would share a count.
 
 Defined results: null and empty texts are one end token; a null doc_id is
 trained on and never held out; repeated rows train as often as they occur;
@@ -38,6 +44,9 @@ MU = 50.0
 PARTS, PART = 7, 2
 #: Bytes of questions for each byte of text, for the number of buckets.
 SPREAD = 2
+#: Tokens that are traversed in one go; longer texts are cut.
+SEGMENT = 256
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 START = b"\n"  # no word holds white space
 END = b""
 
@@ -53,12 +62,12 @@ class Tokens:
     words: pa.Array  # distinct words as binary
     head: np.ndarray  # code of the history of each token
     token: np.ndarray
-    row: np.ndarray
+    edge: np.ndarray  # n+1 token offsets of the rows
     held: np.ndarray  # of rows
 
     @property
-    def end(self) -> int:
-        return len(self.words) - 2
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
 
 
 def tokens(table: pa.Table) -> Tokens:
@@ -81,13 +90,12 @@ def tokens(table: pa.Table) -> Tokens:
     head[1:] = token[:-1]
     head[edge[:-1]] = end + 1
     listed = pa.concat_arrays([coded.dictionary, pa.array([END, START], pa.large_binary())])
-    return Tokens(listed, head, token, np.repeat(np.arange(len(n)), n + 1),
-                  is_held_out(table.column("doc_id").to_pylist()))
+    return Tokens(listed, head, token, edge, is_held_out(table.column("doc_id").to_pylist()))
 
 
 @dataclass
 class Asked:
-    """Distinct words and pairs of a chunk, each sorted by bucket."""
+    """Distinct words, pairs and triples of a chunk, each sorted by bucket."""
 
     word: np.ndarray  # codes
     word_bucket: np.ndarray
@@ -96,6 +104,12 @@ class Asked:
     pair_bucket: np.ndarray
     pair_count: np.ndarray
     pair_at: np.ndarray  # of each token of the stream: its pair
+    triple: np.ndarray  # hashes, sorted within a bucket
+    triple_bucket: np.ndarray
+    triple_count: np.ndarray
+    triple_at: np.ndarray  # of each token: its triple, -1 for a text's first token
+    triple_head: np.ndarray  # the pairs a triple begins and ends with
+    triple_last: np.ndarray
 
 
 def asked(t: Tokens, buckets: int) -> Asked:
@@ -108,13 +122,30 @@ def asked(t: Tokens, buckets: int) -> Asked:
     word = np.argsort(word_bucket, kind="stable")
     pair, at = np.unique(t.head * size + t.token, return_inverse=True)
     pair_count = np.bincount(at, train, minlength=len(pair)).astype(np.int64)
-    pair_bucket = (mix(code[pair // size] * np.uint64(0x9E3779B97F4A7C15) + code[pair % size])
-                   % np.uint64(buckets)).astype(np.int64)
+    pair_hash = mix(code[pair // size] * _FACTOR + code[pair % size])
+    pair_bucket = (pair_hash % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(pair_bucket, kind="stable")
+    pair_at = _places(order)[at]
+    # a triple is a pair and the token behind it
+    inner = np.ones(len(t.token), bool)
+    inner[t.edge[:-1]] = False
+    inner = np.flatnonzero(inner)
+    _, one, which = np.unique(at[inner - 1] * size + t.token[inner], return_index=True, return_inverse=True)
+    triple_hash = mix(pair_hash[at[inner[one] - 1]] * _FACTOR + code[t.token[inner[one]]])
+    triple_bucket = (triple_hash % np.uint64(buckets)).astype(np.int64)
+    triple_count = np.bincount(which, train[inner], minlength=len(one)).astype(np.int64)
+    by = np.lexsort((triple_hash, triple_bucket))
+    triple_at = np.full(len(t.token), -1, np.int64)
+    triple_at[inner] = _places(by)[which]
+    return Asked(word, word_bucket[word], count[:size - 1][word], pair[order], pair_bucket[order],
+                 pair_count[order], pair_at, triple_hash[by], triple_bucket[by], triple_count[by], triple_at,
+                 pair_at[inner[one] - 1][by], pair_at[inner[one]][by])
+
+
+def _places(order: np.ndarray) -> np.ndarray:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Asked(word, word_bucket[word], count[:size - 1][word], pair[order], pair_bucket[order],
-                 pair_count[order], place[at])
+    return place
 
 
 def _groups(bucket: np.ndarray):
@@ -141,6 +172,9 @@ def questions(t: Tokens, a: Asked, buckets: int) -> tuple[list[int], list[bytes]
         out.append(W.pack(a.pair_count[x:y].astype(np.uint32),
                           np.diff(np.append(first, len(head))).astype(np.uint32),
                           *_texts(t.words, head[first]), *_texts(t.words, token)))
+    for bucket, x, y in _groups(a.triple_bucket):
+        out_bucket.append(2 * buckets + bucket)
+        out.append(W.pack(a.triple_count[x:y].astype(np.uint32), np.diff(a.triple[x:y], prepend=np.uint64(0))))
     return out_bucket, out
 
 
@@ -177,8 +211,15 @@ def _asked_pairs(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]
             strings(np.concatenate(datas), off, pa.large_binary()))
 
 
+def _asked_triples(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same for the hashes of triples."""
+    parts = [W.unpack(b) for b in bodies]
+    return (np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]).astype(np.int64),
+            pa.array(np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])))
+
+
 def _totals(counts: np.ndarray, what: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each entry and the total of each code (equal strings, exactly)."""
+    """Code of each entry and the total of each code (of equal values)."""
     coded = what.dictionary_encode()
     code = np.asarray(coded.indices)
     total = np.zeros(len(coded.dictionary), np.int64)
@@ -189,7 +230,7 @@ def _totals(counts: np.ndarray, what: pa.Array) -> tuple[np.ndarray, np.ndarray]
 def answer(table: pa.Table, buckets: int) -> pa.Table:
     """Totals over all chunks, for each chunk in the order it asked."""
     bucket = table.column("bucket")[0].as_py()
-    read = _asked_words if bucket < buckets else _asked_pairs
+    read = (_asked_words, _asked_pairs, _asked_triples)[bucket // buckets]
     sizes, counts, what = read(table.column("body").to_pylist())
     code, total = _totals(counts, what)
     end = np.cumsum(sizes)
@@ -211,29 +252,65 @@ def vocabulary(table: pa.Table, buckets: int) -> pa.Table:
 class Automaton:
     """The part of the model a chunk can reach, in log10.
 
-    ``root`` is the root's arc of each word; ``failure`` the failure arc of
-    each word's state (0 where the word is no state and fails for free);
-    ``arc`` the arc of each pair, NaN where the pair was never seen.
+    States are numbered: the root 0, then words, then pairs.  ``failure`` and
+    ``falls_to`` are the failure arc of each state (weight 0 where it was never a
+    history).  ``arc[k]`` and ``to[k]`` are weight and target of the arcs that read the
+    last token of an n-gram of k + 1 words; NaN where it was never seen, but for
+    the root's arcs, which every word has.
     """
 
-    root: np.ndarray
     failure: np.ndarray
-    arc: np.ndarray
+    falls_to: np.ndarray
+    first_pair: int
+    arc: list[np.ndarray]
+    to: list[np.ndarray]
 
     @classmethod
-    def build(cls, word_total, pair_total, head, token, n_train: int, n_vocabulary: int) -> "Automaton":
+    def build(cls, a: Asked, size: int, word_total, pair_total, triple_total, n_train: int,
+              n_vocabulary: int) -> "Automaton":
+        head, token = a.pair // size, a.pair % size
         root = (word_total + 1) / (n_train + n_vocabulary + 1)
         history = np.append(word_total, word_total[-1])  # START precedes as many tokens as END ends
-        failure = np.log10(MU / (history + MU))
-        with np.errstate(divide="ignore"):
-            arc = np.where(pair_total > 0,
-                           np.log10((pair_total + MU * root[token]) / (history[head] + MU)), np.nan)
-        return cls(np.log10(root), failure, arc)
-
-    def traverse(self, head: np.ndarray, token: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Weight of each step: the state's own arc, else its failure arc and the root's."""
-        own = self.arc[pair]
-        return np.where(np.isnan(own), self.failure[head] + self.root[token], own)
+        second = (pair_total + MU * root[token]) / (history[head] + MU)
+        third = (triple_total + MU * second[a.triple_last]) / (pair_total[a.triple_head] + MU)
+        lost = np.concatenate([[MU], history + MU, pair_total + MU])
+        word_state = np.where(word_total > 0, np.arange(1, size), 0)
+        pair_state = np.where(pair_total > 0, size + 1 + np.arange(len(a.pair)), word_state[token])
+        seen = lambda total, p: np.append(np.where(total > 0, np.log10(p), np.nan), np.nan)
+        return cls(np.log10(MU / lost), np.concatenate([np.zeros(size + 1, np.int64), 1 + token]), size + 1,
+                   [np.log10(root), seen(pair_total, second), seen(triple_total, third)],
+                   [word_state, np.append(pair_state, 0), np.append(pair_state[a.triple_last], 0)])
+
+    def traverse(self, t: Tokens, a: Asked) -> np.ndarray:
+        """Weight of reading each token, the state carried from left to right."""
+        row = t.row
+        start = np.concatenate([np.arange(x, y, SEGMENT) for x, y in zip(t.edge[:-1], t.edge[1:])]
+                               or [np.zeros(0, np.int64)]).astype(np.int64)
+        stop = np.minimum(start + SEGMENT, t.edge[row[start] + 1])
+        begin = np.maximum(start - 2, t.edge[row[start]])
+        order = np.argsort(begin - stop, kind="stable")  # longest first: those still running lead
+        start, stop, begin = start[order], stop[order], begin[order]
+        state = np.where(begin == t.edge[row[start]], self.first_pair - 1, 0)  # START's state, or the root
+        out = np.zeros(len(t.token))
+        reads = (t.token, a.pair_at, a.triple_at)
+        depth = np.repeat([0, 1, 2], [1, self.first_pair - 1, len(self.failure) - self.first_pair])
+        for step in range(int((stop - begin).max(initial=0))):
+            k = int(np.searchsorted(begin - stop, -step))
+            at, now = begin[:k] + step, state[:k]
+            weight, pending = np.zeros(k), np.ones(k, bool)
+            for words_kept in (2, 1, 0):
+                arc, to = self.arc[words_kept], self.to[words_kept]
+                here = np.flatnonzero(pending & (depth[now] == words_kept))
+                gram = reads[words_kept][at[here]]
+                found = ~np.isnan(arc[gram])
+                took, fell = here[found], here[~found]
+                weight[took] += arc[gram[found]]
+                weight[fell] += self.failure[now[fell]]
+                now[took], now[fell] = to[gram[found]], self.falls_to[now[fell]]
+                pending[took] = False
+            own = at >= start[:k]
+            out[at[own]] = weight[own]
+        return out
 
 
 def _in_order(replies: dict[int, bytes], bucket: np.ndarray, shift: int) -> np.ndarray:
@@ -269,15 +346,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         size = len(t.words)
         word_total = np.zeros(size - 1, np.int64)
         word_total[a.word] = _in_order(found, a.word_bucket, 0)
-        model = Automaton.build(word_total, _in_order(found, a.pair_bucket, buckets),
-                                a.pair // size, a.pair % size, n, v)
+        model = Automaton.build(a, size, word_total, _in_order(found, a.pair_bucket, buckets),
+                                _in_order(found, a.triple_bucket, 2 * buckets), n, v)
         rows = table.num_rows
-        by_row = lambda x: np.bincount(t.row, x, minlength=rows)
+        row = t.row
+        by_row = lambda x: np.bincount(row, x, minlength=rows)
         return pa.table([
-            table.column("doc_id"), pa.array(t.held), pa.array(np.bincount(t.row, minlength=rows), pa.int64()),
+            table.column("doc_id"), pa.array(t.held), pa.array(np.diff(t.edge), pa.int64()),
             pa.array(by_row(word_total[t.token] > 0).astype(np.int64)), pa.array([n] * rows, pa.int64()),
-            pa.array(by_row(model.root[t.token])),
-            pa.array(by_row(model.traverse(t.head, t.token, a.pair_at)))], schema=RESULT)
+            pa.array(by_row(model.arc[0][t.token])), pa.array(by_row(model.traverse(t, a)))], schema=RESULT)
 
     asks = rows.groupBy("chunk").applyInArrow(ask, W.BODY).groupBy("bucket")
     sizes = asks.applyInArrow(lambda table: vocabulary(table, buckets), "n long, v long")

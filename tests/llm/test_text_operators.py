@@ -1,6 +1,7 @@
 """License scan, decontamination, LM scoring and BPE against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,8 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -232,21 +235,33 @@ def test_decontamination_empty(spark, docs, nothing):
 
 
 # ---------------------------------------------------------------- LM scoring
+def trained(texts):
+    """Counts of words, pairs and triples of token lists, and p(w | u, v) by its definition."""
+    c, pairs, triples = Counter(), Counter(), Counter()
+    for w in texts:
+        c.update(w)
+        pairs.update(zip(["<s>"] + w, w))
+        triples.update(zip((["<s>"] + w), w, w[1:]))
+    n, v, mu = sum(c.values()), len(c), lm_scoring.MU
+    history = dict(c) | {"<s>": c[None]}
+
+    def p(x, *before):
+        if not before:
+            return (c[x] + 1) / (n + v + 1)
+        seen, count = ((pairs, history.get(before[0], 0)) if len(before) == 1 else (triples, pairs[before]))
+        return (seen[(*before, x)] + mu * p(x, *before[1:])) / (count + mu)
+
+    return c, n, p
+
+
 def brute_lm(rows):
     texts = [(i, words(t, SPACED) + [None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
-    c, pairs = Counter(), Counter()
-    for _, w, held in texts:
-        if not held:
-            c.update(w)
-            pairs.update(zip(["<s>"] + w, w))
-    n, v = sum(c.values()), len(c)
-    history = dict(c) | {"<s>": c[None]}
+    c, n, p = trained([w for _, w, held in texts if not held])
     out = []
     for i, w, held in texts:
-        p = [(c[x] + 1) / (n + v + 1) for x in w]
-        model = sum(math.log10((pairs[h, x] + lm_scoring.MU * q) / (history.get(h, 0) + lm_scoring.MU))
-                    for h, x, q in zip(["<s>"] + w, w, p))
-        out.append((i, held, len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, p)), model))
+        line = ["<s>"] + w
+        model = sum(math.log10(p(x, *line[max(0, k - 1):k + 1])) for k, x in enumerate(w))
+        out.append((i, held, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), model))
     return out
 
 
@@ -272,19 +287,66 @@ def test_lm_many_buckets(spark, monkeypatch):
     close_rows([tuple(r) for r in got], brute_lm(rows))
 
 
+def chunk_model(texts):
+    """Tokens, questions and automaton of one chunk that knows its own training rows only."""
+    table = pa.table({"doc_id": pa.array([k for k, _ in texts], pa.int64()),
+                      "text": pa.array([t for _, t in texts], pa.string())})
+    t = lm_scoring.tokens(table)
+    a = lm_scoring.asked(t, 1)
+    size = len(t.words)
+    word = np.zeros(size - 1, np.int64)
+    word[a.word] = a.word_count
+    return t, a, lm_scoring.Automaton.build(a, size, word, a.pair_count, a.triple_count, int(word.sum()),
+                                            int((word > 0).sum()))
+
+
 def test_lm_sums_to_one():
-    """Over the vocabulary and one unknown word, after every history."""
-    rows = [(1, "a b a c"), (3, "b b a"), (5, "")]
-    c, pairs = Counter(), Counter()
-    for _, t in rows:
-        w = t.split() + [None]
-        c.update(w)
-        pairs.update(zip(["<s>"] + w, w))
-    n, v, mu = sum(c.values()), len(c), lm_scoring.MU
-    for h in ["<s>", "a", "b", "c", "unseen"]:
-        count = c[None] if h == "<s>" else c[h]
-        p = [(pairs[h, x] + mu * (c[x] + 1) / (n + v + 1)) / (count + mu) for x in [*c, "unknown"]]
-        assert math.isclose(sum(p), 1)
+    """From every state: arcs, and what its failure arc leaves to the shorter state, over words and one unknown."""
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    free = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2]
+    vocabulary = ["a", "b", "c", "unknown"]  # one held-out text asks for every triple, so the chunk knows all arcs
+    asks = " ".join(" ".join(x) for x in itertools.product(vocabulary, repeat=4))
+    texts = [(free[0], "a b a c a b a"), (free[1], "b b a c"), (free[2], ""), (held, asks)]
+    t, a, model = chunk_model(texts)
+    names = [w.decode() for w in t.words.to_pylist()]
+    size, end = len(names), len(names) - 2
+    pair_of = {divmod(int(x), size): k for k, x in enumerate(a.pair)}
+    triple_of = {(int(head), int(a.pair[last]) % size): k
+                 for k, (head, last) in enumerate(zip(a.triple_head, a.triple_last))}
+
+    def p(state, x):
+        if state == 0:
+            return 10 ** model.arc[0][x]
+        gram = (pair_of.get((state - 1, x)) if state < model.first_pair
+                else triple_of.get((state - model.first_pair, x)))
+        weight = math.nan if gram is None else model.arc[1 if state < model.first_pair else 2][gram]
+        if not math.isnan(weight):
+            return 10 ** weight
+        return 10 ** model.failure[state] * p(int(model.falls_to[state]), x)
+
+    checked = 0
+    for state in range(len(model.failure)):
+        last = state - 1 if state < model.first_pair else int(a.pair[state - model.first_pair]) % size
+        if state and last == end:
+            continue  # nothing follows the end
+        assert math.isclose(sum(p(state, x) for x in range(size - 1)), 1), state
+        checked += 1
+    assert checked > 20 and (model.failure < 0).sum() > 5
+
+
+def test_lm_state_is_carried(monkeypatch):
+    """Segments of any length give the weights of one unbroken traversal, those of the definition."""
+    r = random.Random(11)
+    texts = [(k, " ".join(r.choice("abcdefg") for _ in range(r.choice([0, 1, 2, 3, 40, 700])))) for k in range(60)]
+    t, a, model = chunk_model(texts)
+    _, _, p = trained([x.split() + [None] for k, x in texts if zlib.crc32(str(k).encode()) % 7 != 2])
+    want = []
+    for _, x in texts:
+        line = ["<s>"] + x.split() + [None]
+        want += [math.log10(p(line[k], *line[max(0, k - 2):k])) for k in range(1, len(line))]
+    for segment in (1, 2, 3, 7, 256, 10 ** 6):
+        monkeypatch.setattr(lm_scoring, "SEGMENT", segment)
+        assert np.allclose(model.traverse(t, a), want, rtol=1e-10, atol=0)
 
 
 def test_lm_empty(spark, nothing):
