@@ -18,9 +18,10 @@ distinct n-gram of its texts, sending its own training counts along, and the
 answers, the totals over all chunks, come back in the order asked.
 However common an n-gram is, a chunk sends it once, and n-grams are dealt by all
 their words, so no bucket depends on one frequent word.  Replies are
-counts, a byte or so each.  Words and pairs are sent as text and compared exactly;
-triples are sent as 64-bit hashes, so two triples of one hash (about one in
-10^7 at 10^12 distinct triples) would share a count.
+counts, a byte or so each.  Words are sent as text and compared exactly.  Pairs and
+triples are sent as 40-bit hashes that do not depend on the bucket; as a bucket's
+size is bounded, about one n-gram in a million shares its count with another, at
+any size of the corpus.
 
 Defined results: null and empty texts are one end token; a null doc_id is
 trained on and never held out; repeated rows train as often as they occur;
@@ -46,6 +47,7 @@ PARTS, PART = 7, 2
 SPREAD = 2
 #: Tokens that are traversed in one go; longer texts are cut.
 SEGMENT = 256
+HASH_BITS = 40  # of pairs and triples in messages
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 START = b"\n"  # no word holds white space
 END = b""
@@ -95,16 +97,17 @@ def tokens(table: pa.Table) -> Tokens:
 
 @dataclass
 class Asked:
-    """Distinct words, pairs and triples of a chunk, each sorted by bucket."""
+    """Distinct words, pairs and triples of a chunk, each sorted by bucket (n-grams then by hash)."""
 
     word: np.ndarray  # codes
     word_bucket: np.ndarray
     word_count: np.ndarray  # in the chunk's training rows
     pair: np.ndarray  # head * size + token
+    pair_hash: np.ndarray
     pair_bucket: np.ndarray
     pair_count: np.ndarray
     pair_at: np.ndarray  # of each token of the stream: its pair
-    triple: np.ndarray  # hashes, sorted within a bucket
+    triple_hash: np.ndarray
     triple_bucket: np.ndarray
     triple_count: np.ndarray
     triple_at: np.ndarray  # of each token: its triple, -1 for a text's first token
@@ -112,6 +115,16 @@ class Asked:
     triple_last: np.ndarray
 
 
+def _sorted(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of n-grams by bucket and hash, the place of each in it, and both in that order."""
+    bucket = (code % np.uint64(buckets)).astype(np.int64)
+    short = mix(code + _FACTOR) >> np.uint64(64 - HASH_BITS)
+    order = np.lexsort((short, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place, short[order], bucket[order]
+
+
 def asked(t: Tokens, buckets: int) -> Asked:
     size = len(t.words)
     data, off = flat(t.words)
@@ -122,30 +135,22 @@ def asked(t: Tokens, buckets: int) -> Asked:
     word = np.argsort(word_bucket, kind="stable")
     pair, at = np.unique(t.head * size + t.token, return_inverse=True)
     pair_count = np.bincount(at, train, minlength=len(pair)).astype(np.int64)
-    pair_hash = mix(code[pair // size] * _FACTOR + code[pair % size])
-    pair_bucket = (pair_hash % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(pair_bucket, kind="stable")
-    pair_at = _places(order)[at]
+    pair_code = mix(code[pair // size] * _FACTOR + code[pair % size])
+    by_pair, pair_place, pair_hash, pair_bucket = _sorted(pair_code, buckets)
     # a triple is a pair and the token behind it
     inner = np.ones(len(t.token), bool)
     inner[t.edge[:-1]] = False
     inner = np.flatnonzero(inner)
     _, one, which = np.unique(at[inner - 1] * size + t.token[inner], return_index=True, return_inverse=True)
-    triple_hash = mix(pair_hash[at[inner[one] - 1]] * _FACTOR + code[t.token[inner[one]]])
-    triple_bucket = (triple_hash % np.uint64(buckets)).astype(np.int64)
+    ends = inner[one]
     triple_count = np.bincount(which, train[inner], minlength=len(one)).astype(np.int64)
-    by = np.lexsort((triple_hash, triple_bucket))
+    by, place, triple_hash, triple_bucket = _sorted(
+        mix(pair_code[at[ends - 1]] * _FACTOR + code[t.token[ends]]), buckets)
     triple_at = np.full(len(t.token), -1, np.int64)
-    triple_at[inner] = _places(by)[which]
-    return Asked(word, word_bucket[word], count[:size - 1][word], pair[order], pair_bucket[order],
-                 pair_count[order], pair_at, triple_hash[by], triple_bucket[by], triple_count[by], triple_at,
-                 pair_at[inner[one] - 1][by], pair_at[inner[one]][by])
-
-
-def _places(order: np.ndarray) -> np.ndarray:
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return place
+    triple_at[inner] = place[which]
+    return Asked(word, word_bucket[word], count[:size - 1][word], pair[by_pair], pair_hash, pair_bucket,
+                 pair_count[by_pair], pair_place[at], triple_hash, triple_bucket, triple_count[by], triple_at,
+                 pair_place[at[ends - 1]][by], pair_place[at[ends]][by])
 
 
 def _groups(bucket: np.ndarray):
@@ -164,17 +169,11 @@ def questions(t: Tokens, a: Asked, buckets: int) -> tuple[list[int], list[bytes]
     for bucket, x, y in _groups(a.word_bucket):
         out_bucket.append(bucket)
         out.append(W.pack(a.word_count[x:y].astype(np.uint32), *_texts(t.words, a.word[x:y])))
-    size = len(t.words)
-    for bucket, x, y in _groups(a.pair_bucket):
-        head, token = a.pair[x:y] // size, a.pair[x:y] % size
-        first = np.flatnonzero(np.diff(head, prepend=-1))  # pairs of one head are adjacent
-        out_bucket.append(buckets + bucket)
-        out.append(W.pack(a.pair_count[x:y].astype(np.uint32),
-                          np.diff(np.append(first, len(head))).astype(np.uint32),
-                          *_texts(t.words, head[first]), *_texts(t.words, token)))
-    for bucket, x, y in _groups(a.triple_bucket):
-        out_bucket.append(2 * buckets + bucket)
-        out.append(W.pack(a.triple_count[x:y].astype(np.uint32), np.diff(a.triple[x:y], prepend=np.uint64(0))))
+    for shift, at, count, code in ((buckets, a.pair_bucket, a.pair_count, a.pair_hash),
+                                   (2 * buckets, a.triple_bucket, a.triple_count, a.triple_hash)):
+        for bucket, x, y in _groups(at):
+            out_bucket.append(shift + bucket)
+            out.append(W.pack(count[x:y].astype(np.uint32), np.diff(code[x:y], prepend=np.uint64(0))))
     return out_bucket, out
 
 
@@ -187,32 +186,8 @@ def _asked_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]
             strings(data, np.concatenate([[0], np.cumsum(length)]), pa.large_binary()))
 
 
-def _asked_pairs(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The same for pairs, as head, a space, and the token."""
-    sizes, counts, datas, lengths = [], [], [], []
-    for body in bodies:
-        count, follow, head_len, heads, token_len, texts = W.unpack(body)
-        n = len(count)
-        head_end = np.cumsum(head_len.astype(np.int64))
-        token_end = np.cumsum(token_len.astype(np.int64)) + len(heads) + 1
-        head = np.repeat(np.arange(len(follow)), follow)
-        # spans in turn: head, the space between both parts, token
-        start, end = np.empty(3 * n, np.int64), np.empty(3 * n, np.int64)
-        start[0::3], end[0::3] = (head_end - head_len)[head], head_end[head]
-        start[1::3], end[1::3] = len(heads), len(heads) + 1
-        start[2::3], end[2::3] = token_end - token_len, token_end
-        data, _ = gather(np.concatenate([heads, np.array([0x20], np.uint8), texts]), start, end)
-        sizes.append(n)
-        counts.append(count)
-        datas.append(data)
-        lengths.append(head_len[head].astype(np.int64) + 1 + token_len)
-    off = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    return (np.array(sizes), np.concatenate(counts).astype(np.int64),
-            strings(np.concatenate(datas), off, pa.large_binary()))
-
-
-def _asked_triples(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The same for the hashes of triples."""
+def _asked_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same for pairs or triples, as hashes."""
     parts = [W.unpack(b) for b in bodies]
     return (np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]).astype(np.int64),
             pa.array(np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])))
@@ -230,7 +205,7 @@ def _totals(counts: np.ndarray, what: pa.Array) -> tuple[np.ndarray, np.ndarray]
 def answer(table: pa.Table, buckets: int) -> pa.Table:
     """Totals over all chunks, for each chunk in the order it asked."""
     bucket = table.column("bucket")[0].as_py()
-    read = (_asked_words, _asked_pairs, _asked_triples)[bucket // buckets]
+    read = _asked_words if bucket < buckets else _asked_hashes
     sizes, counts, what = read(table.column("body").to_pylist())
     code, total = _totals(counts, what)
     end = np.cumsum(sizes)
