@@ -8,6 +8,10 @@ suffix are kept, as no other position can match two words.  Every benchmark
 window is then searched in the array by bisection; the interval it finds are all
 its verbatim occurrences.  A document's longest verbatim run comes with it.
 
+``longest_matches`` goes on from there: the windows found, in the order of their
+places, are sorted as suffixes of any length by doubling, and every benchmark
+suffix takes its longest match in the shard from its two neighbours in that order.
+
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text; a
 benchmark beyond that is worked off block by block, the state of every
 document stored between blocks.  Blocks are cut from the distinct items, so
@@ -22,6 +26,8 @@ document without words is never contaminated.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +54,9 @@ class TestSet:
     items: list[list[str]]  # of every distinct window
     firsts: np.ndarray  # sorted codes of the first two words (the second 0 for one word)
     width: int
+    windows_at: np.ndarray  # window + 1 of every item place in turn, 0 behind an item
+    items_at: list[str]  # item of the same places
+    starts_at: np.ndarray  # first word of the same places
 
 
 def _lowered(texts: pa.Array):
@@ -71,19 +80,27 @@ def prepare(ids: list, texts: list, width: int = WINDOW) -> TestSet:
         raise ValueError("two benchmark words share a 64-bit hash")
     rank = np.empty(len(order) + 1, np.int64)
     rank[0], rank[order + 1] = 0, np.arange(1, len(order) + 1)
-    found: dict[tuple, set[str]] = {}
+    found: dict[tuple, tuple[int, set[str]]] = {}
+    windows_at, items_at, starts_at = array("q"), [], array("q")
     for k, item in enumerate(ids):
         mine = rank[number[first[k]:first[k + 1]]].tolist()
         name = "null" if item is None else str(item)
-        for at in range(max(1, len(mine) - width + 1) if mine else 0):
-            found.setdefault(tuple(mine[at:at + width]), set()).add(name)
+        places = max(1, len(mine) - width + 1) if mine else 0
+        for at in range(places):
+            index, names = found.setdefault(tuple(mine[at:at + width]), (len(found), set()))
+            names.add(name)
+            windows_at.append(index + 1)
+        windows_at.append(0)
+        items_at += [name] * (places + 1)
+        starts_at.extend(range(places + 1))
     table = np.zeros((len(found), width), np.int64)
     for k, window in enumerate(found):
         table[k, :len(window)] = window
     lengths = np.array([len(w) for w in found], np.int64)
     firsts = np.unique((table[:, 0] << 32) | table[:, 1]) if width > 1 else np.unique(table[:, 0] << 32)
     return TestSet(hashes[order], raw, start[order], end[order], table, lengths,
-                   [sorted(x) for x in found.values()], firsts, width)
+                   [sorted(names) for _, names in found.values()], firsts, width,
+                   np.array(windows_at, np.int64), items_at, np.array(starts_at, np.int64))
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -92,14 +109,14 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return flat_rows.view(f"S{4 * rows.shape[1]}").ravel()
 
 
-def shard_hits(test: TestSet, texts: pa.Array):
-    """(hit mask of all words, word offsets of the rows, row and window of every occurrence)."""
+def occurrences(test: TestSet, texts: pa.Array):
+    """(word offsets of the rows, row of every word, first word and window of every occurrence)."""
     data, off, starts, ends, first = _lowered(texts)
     n, width = len(starts), test.width
-    hit = np.zeros(n, bool)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     none = np.zeros(0, np.int64)
     if not n or not len(test.windows):
-        return hit, first, none, none
+        return first, row, none, none
     code = span_hash(data, starts, ends)
     at = np.minimum(np.searchsorted(test.hashes, code), len(test.hashes) - 1)
     maybe = np.flatnonzero((test.hashes[at] == code)
@@ -108,7 +125,6 @@ def shard_hits(test: TestSet, texts: pa.Array):
     same = equal_spans(both, starts[maybe], test.starts[at[maybe]] + len(data), (ends - starts)[maybe])
     number = np.zeros(n + width, np.int64)
     number[maybe[same]] = at[maybe[same]] + 1
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     last = first[row + 1]  # word offset at which the word's document ends
     # suffix array of the positions that can match at least two words (or a whole one-word item)
     second = np.where(np.arange(n) + 1 < last, number[1:n + 1], 0)
@@ -116,7 +132,7 @@ def shard_hits(test: TestSet, texts: pa.Array):
     can = np.isin(pair, test.firsts) | np.isin(number[:n] << 32, test.firsts)
     place = np.flatnonzero(can & (number[:n] > 0))
     if not len(place):
-        return hit, first, none, none
+        return first, row, none, none
     reach = place[:, None] + np.arange(width)
     suffix = np.where(reach < last[place][:, None], number[np.minimum(reach, n + width - 1)], 0)
     keys = _keys(suffix)
@@ -129,11 +145,86 @@ def shard_hits(test: TestSet, texts: pa.Array):
     count = high - low
     window = np.repeat(np.arange(len(low)), count)
     where = place[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    edge = np.zeros(n + 1, np.int64)
+    return first, row, where, window
+
+
+def shard_hits(test: TestSet, texts: pa.Array):
+    """(hit mask of all words, word offsets of the rows, row and window of every occurrence)."""
+    first, row, where, window = occurrences(test, texts)
+    edge = np.zeros(len(row) + 1, np.int64)
     np.add.at(edge, where, 1)
     np.add.at(edge, where + test.lengths[window], -1)
-    hit = np.cumsum(edge[:n]) > 0
-    return hit, first, row[where], window
+    return np.cumsum(edge[:-1]) > 0, first, row[where], window
+
+
+def _ranks(sequence: np.ndarray, at: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the suffixes at ``at`` by their first 1, 2, 4, ... entries; a suffix ends after ``run`` entries.
+
+    Doubling stops where a further step tells no more suffixes apart.
+    """
+    levels, known = [sequence], len(np.unique(sequence[at]))
+    while True:
+        step, rank = 1 << (len(levels) - 1), levels[-1]
+        behind = np.zeros(len(at), np.int64)
+        longer = run[at] > step
+        behind[longer] = rank[at[longer] + step]
+        pairs, place = np.unique(rank[at] * (int(rank.max()) + 1) + behind, return_inverse=True)
+        levels.append(np.zeros_like(rank))
+        levels[-1][at] = place + 1
+        if len(pairs) == known:
+            return levels
+        known = len(pairs)
+
+
+def _common(levels: list[np.ndarray], run: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Entries that the suffixes at ``a`` and ``b`` have in common from their start."""
+    total = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + total, b + total  # a suffix that has ended stands at a 0, whose run is 0
+        total += ((run[x] >= 1 << k) & (run[y] >= 1 << k) & (levels[k][x] == levels[k][y])).astype(np.int64) << k
+    return np.where(levels[-1][a] == levels[-1][b], run[a], total)
+
+
+def shard_longest(test: TestSet, texts: pa.Array):
+    """(benchmark place, words, row, first word in the row) of every benchmark suffix with a match in the shard.
+
+    The longest verbatim match of the suffix, at least a window long, and one
+    place where it stands.
+    """
+    first, row, where, window = occurrences(test, texts)
+    none = np.zeros(0, np.int64)
+    if not len(where):
+        return none, none, none, none
+    # places of the shard, one 0 behind every row, then those of the benchmark whose window was found
+    whole = test.lengths[window] == test.width
+    shard = np.zeros(len(row) + len(first) + 1, np.int64)
+    spread = where[whole] + row[where[whole]]
+    shard[spread] = window[whole] + 1
+    one = np.full(len(test.windows) + 1, -1, np.int64)  # a place of each window
+    one[window + 1] = where
+    asked = np.flatnonzero(one[test.windows_at] >= 0)
+    asked = asked[test.windows_at[asked] > 0]
+    length = test.lengths[test.windows_at[asked] - 1]
+    place = one[test.windows_at[asked]]
+    long = np.flatnonzero(length == test.width)
+    if len(long):
+        item = np.zeros(len(test.windows_at), np.int64)
+        item[asked[long]] = test.windows_at[asked[long]]
+        sequence = np.concatenate([shard, item, [0]])
+        ends = np.flatnonzero(sequence == 0)
+        run = ends[np.searchsorted(ends, np.arange(len(sequence)))] - np.arange(len(sequence))
+        levels = _ranks(sequence, np.flatnonzero(sequence), run)
+        spread = np.unique(spread)
+        spread = spread[np.argsort(levels[-1][spread], kind="stable")]
+        mine = asked[long] + len(shard)
+        at = np.searchsorted(levels[-1][spread], levels[-1][mine])
+        above, below = spread[np.minimum(at, len(spread) - 1)], spread[np.maximum(at - 1, 0)]
+        up, down = (_common(levels, run, mine, x) for x in (above, below))
+        length[long] = np.maximum(up, down) + test.width - 1
+        best = np.where(up >= down, above, below)
+        of_row = np.searchsorted(first[1:] + np.arange(1, len(first)), best, side="right")
+        place[long] = best - of_row
+    return asked, length, row[place], place - first[row[place]]
 
 
 def _longest_runs(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -188,23 +279,72 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
           item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row struct of docs, m struct of SCHEMA): every row with its matches in the whole benchmark."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(size) // block_bytes))
+    parts = _blocks(benchmark, item_id, item_text, block_bytes)
     state = docs.select(F.struct("*").alias("row"), F.lit(None).cast(f"struct<{_ddl()}>").alias("m"))
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.filter(
-            F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        rows = part.collect()  # about block_bytes of text
-        step = _pass(spark.sparkContext.broadcast(prepare([r["i"] for r in rows], [r["t"] for r in rows], width)))
+    for k, part in enumerate(parts):
+        step = _pass(_shared(part, width))
         state = state.select("row", step(F.col(f"row.{text}"), F.col("m.hits"), F.col("m.items")).alias("m"))
-        if k + 1 < blocks:
+        if k + 1 < len(parts):
             path = scratch_path(spark, "decontamination")
             state.write.parquet(path)
             state = spark.read.parquet(path)
     return state
 
 
+LONGEST = pa.schema([("item_id", pa.string()), ("item_start", pa.int64()), ("length", pa.int64()),
+                     ("doc_id", pa.int64()), ("doc_start", pa.int64())])
+
+
+def _longest(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = batch.column("text"), batch.column("doc_id")
+            for a, b in pieces(texts):
+                test = shared.value
+                at, length, row, start = shard_longest(test, texts.slice(a, b - a))
+                if len(at):
+                    yield pa.record_batch([
+                        pa.array([test.items_at[k] for k in at.tolist()], pa.string()), pa.array(test.starts_at[at]),
+                        pa.array(length), ids.slice(a, b - a).take(pa.array(row)), pa.array(start)], schema=LONGEST)
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
+    """The distinct items (i, t), cut into blocks of about ``block_bytes``."""
+    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-int(size) // block_bytes))
+    return [bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+            for k in range(blocks)]
+
+
+def _shared(part: DataFrame, width: int):
+    rows = part.collect()  # about block_bytes of text
+    return part.sparkSession.sparkContext.broadcast(prepare([r["i"] for r in rows], [r["t"] for r in rows], width))
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    item_id: str = "item_id", item_text: str = "text", width: int = WINDOW,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Columns of LONGEST: each benchmark suffix (item, first word) whose first ``width`` words stand in a document.
+
+    ``length`` is its longest verbatim match in any document, in words; ``doc_id`` and
+    ``doc_start`` name a place of it: of each shard's one, that of the largest id and
+    start.  A whole item of fewer words counts as one suffix.  Rows that repeat an
+    item_id with other texts share their places; the longest match is kept.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ddl = "item_id string, item_start long, length long, doc_id long, doc_start long"
+    found = None
+    for part in _blocks(benchmark, item_id, item_text, block_bytes):
+        one = docs.mapInArrow(_longest(_shared(part, width)), ddl)
+        found = one if found is None else found.unionAll(one)
+    best = F.max(F.struct("length", "doc_id", "doc_start")).alias("best")
+    return found.groupBy("item_id", "item_start").agg(best).select(
+        "item_id", "item_start", "best.length", "best.doc_id", "best.doc_start")
+
+
 def _ddl() -> str:
     return ", ".join(x.replace(" ", ":", 1) for x in SCHEMA.split(", "))
 

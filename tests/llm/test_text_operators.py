@@ -16,7 +16,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from corpus_cases import PASSAGE, ROWS, docs, nothing, stored  # noqa: F401
+from corpus_cases import LONG, PASSAGE, ROWS, docs, nothing, stored  # noqa: F401
 from fundflow.llm import bpe, decontaminate, license_scan, lm_scoring
 from fundflow.llm import queries as Q
 
@@ -234,6 +234,59 @@ def test_decontamination_empty(spark, docs, nothing):
     assert decontaminate.clean_rows(docs, none).count() == len(ROWS)
 
 
+def brute_longest(docs, items, width):
+    """Longest match of every item suffix, word by word, over all document places."""
+    out = {}
+    texts = [words(t) for _, t in docs]
+    for item, text in items:
+        w = words(text)
+        for at in range(max(1, len(w) - width + 1) if w else 0):
+            need, best = min(width, len(w) - at), 0
+            for t in texts:
+                for p in range(len(t)):
+                    n = 0
+                    while at + n < len(w) and p + n < len(t) and w[at + n] == t[p + n]:
+                        n += 1
+                    best = max(best, n)
+            if best >= need:
+                key = ("null" if item is None else str(item), at)
+                out[key] = max(best, out.get(key, 0))
+    return out
+
+
+def check_longest(frame, docs, items, width):
+    got = {(r["item_id"], r["item_start"]): r for r in frame.collect()}
+    assert {k: r["length"] for k, r in got.items()} == brute_longest(docs, items, width)
+    for (item, at), r in got.items():  # the place named holds those words
+        spans = [words(t)[at:at + r["length"]] for i, t in items if ("null" if i is None else str(i)) == item]
+        assert any(words(t)[r["doc_start"]:r["doc_start"] + r["length"]] in spans
+                   for i, t in docs if i == r["doc_id"])
+
+
+@pytest.mark.parametrize("width,block_bytes", [(13, 8 << 20), (3, 8 << 20), (1, 8 << 20), (3, 200)])
+def test_longest_matches(spark, width, block_bytes):
+    r = random.Random(width * block_bytes)
+    text = lambda n: " ".join(r.choice(["A", "b", "c", "no"]) for _ in range(n))
+    items = [(k, text(r.choice([0, 1, 2, 5, 30]))) for k in range(12)] + [(None, "b c b"), (3, "a a a a a"), (5, None)]
+    rows = [(k, text(r.choice([0, 3, 40]))) for k in range(25)] + [(None, "c b no"), (70, None), (71, "a " * 30)]
+    rows += [(100 + k, f"{text(4)} {items[k][1]} {text(3)}") for k in range(12)] + [(9, rows[9][1])]
+    got = decontaminate.longest_matches(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+        spark.createDataFrame(items, "item_id long, text string"), width=width, block_bytes=block_bytes)
+    check_longest(got, rows, items, width)
+
+
+def test_longest_matches_long(docs, spark, nothing):
+    """Matches far longer than a window, over all awkward rows; empty tables."""
+    items = [("x", "nowhere " + " ".join(LONG.split()[300:2000])), ("y", "spam " * 250), ("z", f"before {PASSAGE} after"), ("e", "")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r["item_id"], r["item_start"]): r["length"] for r in decontaminate.longest_matches(docs, bench).collect()}
+    assert got[("x", 1)] == 1700 and ("x", 0) not in got and got[("y", 0)] == 250 and got[("z", 1)] == 60
+    assert not [k for k in got if k == ("z", 0) or k[0] == "e"]
+    assert decontaminate.longest_matches(nothing, bench).collect() == []
+    assert decontaminate.longest_matches(docs, bench.filter("false")).collect() == []
+
+
 # ---------------------------------------------------------------- LM scoring
 def trained(texts):
     """Counts of words, pairs and triples of token lists, and p(w | u, v) by its definition."""
