@@ -15,8 +15,9 @@ suffix takes its longest match in the shard from its two neighbours in that orde
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text; a
 benchmark beyond that is worked off block by block, the state of every
 document stored between blocks.  Blocks are cut from the distinct items, so
-a repeated item fills no block.  Documents never move: no shuffle, whatever
-their sources or copies.
+a repeated item fills no block; an item of more than a quarter of a block is
+cut into pieces that overlap by a window less a word, so every window is in
+one of them.  Documents never move: no shuffle, whatever their sources or copies.
 
 Defined results: null texts have no words; an item without words matches
 nothing; an item of fewer words than a window is one window; a null item_id
@@ -38,7 +39,7 @@ from fundflow.llm.text import ALNUM, LOWER, equal_spans, flat, pieces, span_hash
 from fundflow.session import scratch_path
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -54,6 +55,7 @@ class TestSet:
     items: list[list[str]]  # of every distinct window
     firsts: np.ndarray  # sorted codes of the first two words (the second 0 for one word)
     width: int
+    deep: int  # the most words of the vocabulary that share a hash
     windows_at: np.ndarray  # window + 1 of every item place in turn, 0 behind an item
     items_at: list[str]  # item of the same places
     starts_at: np.ndarray  # first word of the same places
@@ -69,15 +71,13 @@ def prepare(ids: list, texts: list, width: int = WINDOW) -> TestSet:
     data, off, starts, ends, first = _lowered(pa.array(texts, pa.string()))
     vocabulary: dict[bytes, int] = {}
     number = [vocabulary.setdefault(data[a:b].tobytes(), len(vocabulary) + 1) for a, b in zip(starts, ends)]
-    # two words of one hash would be told apart by neither: no such pair may pass unnoticed
     joined = b"".join(vocabulary)
     end = np.cumsum([len(w) for w in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
     start = end - np.array([len(w) for w in vocabulary], np.int64)
     raw = np.frombuffer(joined, np.uint8)
     hashes = span_hash(raw, start, end)
     order = np.argsort(hashes, kind="stable")
-    if len(hashes) and (np.diff(hashes[order]) == 0).any():
-        raise ValueError("two benchmark words share a 64-bit hash")
+    deep = int(np.unique(hashes, return_counts=True)[1].max(initial=0))
     rank = np.empty(len(order) + 1, np.int64)
     rank[0], rank[order + 1] = 0, np.arange(1, len(order) + 1)
     found: dict[tuple, tuple[int, set[str]]] = {}
@@ -99,7 +99,7 @@ def prepare(ids: list, texts: list, width: int = WINDOW) -> TestSet:
     lengths = np.array([len(w) for w in found], np.int64)
     firsts = np.unique((table[:, 0] << 32) | table[:, 1]) if width > 1 else np.unique(table[:, 0] << 32)
     return TestSet(hashes[order], raw, start[order], end[order], table, lengths,
-                   [sorted(names) for _, names in found.values()], firsts, width,
+                   [sorted(names) for _, names in found.values()], firsts, width, deep,
                    np.array(windows_at, np.int64), items_at, np.array(starts_at, np.int64))
 
 
@@ -118,13 +118,15 @@ def occurrences(test: TestSet, texts: pa.Array):
     if not n or not len(test.windows):
         return first, row, none, none
     code = span_hash(data, starts, ends)
-    at = np.minimum(np.searchsorted(test.hashes, code), len(test.hashes) - 1)
-    maybe = np.flatnonzero((test.hashes[at] == code)
-                           & (test.ends[at] - test.starts[at] == ends - starts))
     both = np.concatenate([data, test.data])
-    same = equal_spans(both, starts[maybe], test.starts[at[maybe]] + len(data), (ends - starts)[maybe])
     number = np.zeros(n + width, np.int64)
-    number[maybe[same]] = at[maybe[same]] + 1
+    low = np.searchsorted(test.hashes, code)
+    for k in range(test.deep):  # words that share a hash stand side by side
+        at = np.minimum(low + k, len(test.hashes) - 1)
+        maybe = np.flatnonzero((test.hashes[at] == code)
+                               & (test.ends[at] - test.starts[at] == ends - starts))
+        same = equal_spans(both, starts[maybe], test.starts[at[maybe]] + len(data), (ends - starts)[maybe])
+        number[maybe[same]] = at[maybe[same]] + 1
     last = first[row + 1]  # word offset at which the word's document ends
     # suffix array of the positions that can match at least two words (or a whole one-word item)
     second = np.where(np.arange(n) + 1 < last, number[1:n + 1], 0)
@@ -279,7 +281,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
           item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row struct of docs, m struct of SCHEMA): every row with its matches in the whole benchmark."""
     spark = docs.sparkSession
-    parts = _blocks(benchmark, item_id, item_text, block_bytes)
+    parts = _blocks(benchmark, item_id, item_text, block_bytes, width)
     state = docs.select(F.struct("*").alias("row"), F.lit(None).cast(f"struct<{_ddl()}>").alias("m"))
     for k, part in enumerate(parts):
         step = _pass(_shared(part, width))
@@ -310,10 +312,37 @@ def _longest(shared):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
-    """The distinct items (i, t), cut into blocks of about ``block_bytes``."""
+def _item_pieces(size: int, width: int):
+    """Items cut into pieces of about ``size`` bytes, ``width`` words at least; each window is in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("i"), batch.column("t")):
+                raw = text.as_py().encode()
+                starts, ends = _lowered(pa.array([text.as_py()], pa.string()))[2:4]
+                at = end = 0
+                while end < len(starts):
+                    end = int(np.searchsorted(ends, starts[at] + size, side="right"))
+                    end = min(max(end, at + width), len(starts))
+                    piece = raw[starts[at]:ends[end - 1]].decode()
+                    yield pa.record_batch([pa.array([item.as_py()], pa.string()), pa.array([piece], pa.string())],
+                                          names=["i", "t"])
+                    at = end - width + 1
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int,
+            width: int | None = None) -> list[DataFrame]:
+    """The distinct items (i, t), cut into blocks of about ``block_bytes``; with ``width`` long items in pieces."""
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    sizes = F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n"), F.max(F.octet_length("t")).alias("longest")
+    size, longest = bench.agg(*sizes).first()
+    if width and (longest or 0) > block_bytes // 4:
+        long = F.coalesce(F.octet_length("t") > block_bytes // 4, F.lit(False))
+        cut = bench.filter(long).mapInArrow(_item_pieces(block_bytes // 4, width), "i string, t string")
+        bench = bench.filter(~long).unionByName(cut)
+        size = bench.agg(*sizes).first()["n"]
     blocks = max(1, -(-int(size) // block_bytes))
     return [bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
             for k in range(blocks)]
@@ -332,7 +361,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     ``length`` is its longest verbatim match in any document, in words; ``doc_id`` and
     ``doc_start`` name a place of it: of each shard's one, that of the largest id and
     start.  A whole item of fewer words counts as one suffix.  Rows that repeat an
-    item_id with other texts share their places; the longest match is kept.
+    item_id with other texts share their places; the longest match is kept.  Items stay
+    whole here, so a block holds at least one.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ddl = "item_id string, item_start long, length long, doc_id long, doc_start long"

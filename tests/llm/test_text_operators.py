@@ -227,6 +227,46 @@ def test_decontamination_repeated_items(spark, docs, monkeypatch):
     assert sum(sizes) == len(set(items))
 
 
+def test_decontamination_long_items(spark, monkeypatch):
+    """An item of many blocks: every window is in one piece, short rests are no windows of their own."""
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n))
+    items = [(1, text(2000)), (2, text(12)), (3, None), (4, "x" * 5000), (5, "é" * 3000 + " " + text(40))]
+    rows = []
+    for k in range(80):
+        at = r.randint(0, 1980)
+        rows.append((k, " ".join([text(5), *items[0][1].split()[at:at + r.randint(5, 40)], text(5)])))
+    rows += [(100, items[0][1]), (101, items[4][1]), (102, items[1][1])]
+    found = decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"),
+                                 spark.createDataFrame(items, "item_id long, text string"), block_bytes=2000)
+    assert by_row(found, ("doc_id", "n_words", "n_hit", "items", "contaminated")) == brute_hits(rows, items)
+    # pieces: every window once, none shorter than a window
+    w = words(items[0][1])
+    batch = pa.record_batch([pa.array(["1"]), pa.array([items[0][1]])], names=["i", "t"])
+    pieces = [words(x["t"][0].as_py()) for x in decontaminate._item_pieces(500, 13)([batch])]
+    assert [p[k:k + 13] for p in pieces for k in range(len(p) - 12)] == [w[k:k + 13] for k in range(len(w) - 12)]
+    assert len(pieces) > 5
+
+
+def test_decontamination_shared_hashes(monkeypatch):
+    """Words of the benchmark that share a hash are told apart by their bytes."""
+    whole = decontaminate.span_hash
+    monkeypatch.setattr(decontaminate, "span_hash", lambda *x: whole(*x) & np.uint64(3))
+    r = random.Random(7)
+    text = lambda n: " ".join(f"{r.choice('abcdefghij')}{r.randint(0, 3)}" for _ in range(n))
+    items = [(k, text(r.choice([1, 2, 14, 30]))) for k in range(12)]
+    rows = [(k, " ".join([text(20), items[k % 12][1], text(9)])) for k in range(40)]
+    test = decontaminate.prepare([str(i) for i, _ in items], [t for _, t in items])
+    assert test.deep > 5
+    hit, first, row, window = decontaminate.shard_hits(test, pa.array([t for _, t in rows]))
+    names = [set() for _ in rows]
+    for k, x in zip(row.tolist(), window.tolist()):
+        names[k].update(test.items[x])
+    got = [(i, int(b - a), int(hit[a:b].sum()), sorted(names[k])) for k, ((i, _), a, b)
+           in enumerate(zip(rows, first, first[1:]))]
+    assert sorted(got, key=repr) == sorted([x[:4] for x in brute_hits(rows, items)], key=repr)
+
+
 def test_decontamination_empty(spark, docs, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(nothing, none).collect() == []
