@@ -26,6 +26,7 @@ make each other duplicates; null and empty texts have no windows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -84,14 +85,26 @@ def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(place, doc_id, text): ``place`` is a hash that spreads all rows, repeated ones too, the same on every read.
 
     Rows read from Parquet files are known by file and row number, which no
-    split changes; others are written once with a row key.
+    split changes; others are written once with a row key.  So are rows that
+    an explode, a join or another step made of them: those share a number.
     """
     columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
     try:
+        if not _rows_of_files(docs):
+            return _placed_by_key(docs.select(*columns))
         return docs.select(F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place"), *columns)
     except AnalysisException:  # not the rows of Parquet files
-        rows = keyed_rows(docs.select(*columns), "dealt-rows")
-        return rows.select(F.xxhash64("row_key").alias("place"), "row.doc_id", "row.text")
+        return _placed_by_key(docs.select(*columns))
+
+
+def _placed_by_key(rows: DataFrame) -> DataFrame:
+    return keyed_rows(rows, "dealt-rows").select(F.xxhash64("row_key").alias("place"), "row.doc_id", "row.text")
+
+
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether the plan only reads, filters and selects; steps it does not know count as others."""
+    plan = docs._jdf.queryExecution().analyzed().toString().strip()
+    return all(re.match(r"[\s:+\-]*(Relation|Project|Filter|SubqueryAlias|View)\b", x) for x in plan.splitlines())
 
 
 def dealt(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:

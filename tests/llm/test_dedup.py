@@ -93,6 +93,18 @@ def test_repeated_rows_spread_over_chunks(spark, from_files):
         spark.conf.set(name, before)
 
 
+def test_exploded_rows_spread_over_chunks(spark):
+    """Rows made of one row of a file share its number, not its chunk; plain reads keep theirs."""
+    frame = stored(spark, spark.createDataFrame([(1, "all the same")], "doc_id long, text string"))
+    many = frame.selectExpr("doc_id", "text", "explode(sequence(1, 2000)) as k")
+    assert not W._rows_of_files(many) and not W._rows_of_files(many.filter("k > 0").select("doc_id", "text"))
+    assert not W._rows_of_files(frame.crossJoin(spark.range(5))) and not W._rows_of_files(frame.union(frame))
+    assert W._rows_of_files(frame) and W._rows_of_files(frame.filter("doc_id > 0").selectExpr("*", "text as t"))
+    for rows in (many, frame.crossJoin(spark.range(2000)), frame.union(frame).crossJoin(spark.range(1000))):
+        sizes = [r["count"] for r in W.dealt(rows, "doc_id", "text")[0].groupBy("chunk").count().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 400
+
+
 def test_repeated_rows_keep_their_results(spark):
     """Copies of a row in different chunks leave each other alone; the smallest id's rows stay whole."""
     rows = [(7, f"a {PASSAGE}")] * 60 + [(None, PASSAGE)] * 60 + [(9, f"{PASSAGE} z")] * 3
