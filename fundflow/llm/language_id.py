@@ -205,11 +205,14 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, doc_id: str =
 
 
 def determined_rows(docs: DataFrame, text: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns."""
+    """The rows of ``docs`` whose language can be told, with all their columns.
+
+    A learned label named ``und`` is a language like any other: a row goes by its score of 0.
+    """
     named = docs.select(F.col(columns.get("doc_id", "doc_id")).alias("doc_id"),
                         F.col(text).alias("text"), F.col(columns.get("lang", "lang")).alias("lang"))
     model = train(named.filter(~held_out(F.col("doc_id"))))
     guess = predictor(docs, model)
     rows = docs.select(F.struct("*").alias("row"))
     return (rows.select("row", guess(F.col(f"row.{text}")).alias("guess"))
-            .filter(F.col("guess.lang_pred") != UNDETERMINED).select("row.*"))
+            .filter("guess.score > 0").select("row.*"))

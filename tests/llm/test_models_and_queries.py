@@ -1,7 +1,10 @@
 """Classifiers on held-out rows, the pipeline, and the queries that SQL can express."""
 
 import math
+import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +83,80 @@ def test_language_sample_keeps_rare_labels(spark):
     assert got == {1: "fi", 2: "en"}
 
 
+def brute_grams(text):
+    """Bins of all 1- to 3-grams, one character after the other."""
+    full = (1 << 64) - 1
+    fold = lambda c: (c.lower() if "a" <= c.lower() <= "z" else " ") if c < "\x80" else (
+        c.lower() if "\xc0" <= c <= "\xde" else c)
+    text = "".join(map(fold, text))
+    out = []
+    for n in (1, 2, 3):
+        for k in range(len(text) - n + 1):
+            code = ord(text[k]) + n
+            for c in text[k + 1:k + n]:
+                code = code * 0x100000001B3 + ord(c) & full
+            code = code * 0x9E3779B97F4A7C15 & full
+            code = (code ^ code >> 29) * 0xBF58476D1CE4E5B9 & full
+            out.append(code >> 48)
+    return out
+
+
+def brute_bayes(known, asked):
+    """(label, posterior) of each asked text by multinomial naive Bayes with counters."""
+    counts, rows = {}, Counter()
+    for text, label in known:
+        if text is not None and label is not None:
+            counts.setdefault(label, Counter()).update(brute_grams(text))
+            rows[label] += 1
+    labels = sorted(x for x in counts if counts[x])
+    out = []
+    for text in asked:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        z = []
+        for x in labels:
+            total = sum(counts[x].values()) + 0.5 * 65536
+            z.append(math.log(rows[x] / sum(rows[y] for y in labels))
+                     + sum(math.log((counts[x][b] + 0.5) / total) for b in brute_grams(text)))
+        out.append((labels[z.index(max(z))], 1 / sum(math.exp(v - max(z)) for v in z)))
+    return out
+
+
+def test_language_brute_force(spark):
+    """Every prediction and score against counters, n-gram by n-gram; labels that tie go to the first."""
+    table = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+             .filter("length(text) < 1500").select("doc_id", "text", "lang").collect()]
+    r = random.Random(8)
+    table += [(None, "Ärger über ÜBUNG ×÷ ß", "de"), (10 ** 6, "", "en"), (10 ** 6 + 1, None, "fr"),
+              (10 ** 6 + 2, "123 !?", "es"), (10 ** 6 + 3, "?", None), (10 ** 6 + 4, "𝒳 ﬁ 漢字", None)]
+    table += [(10 ** 6 + 5 + k, " ".join(r.choice(["der", "la", "the", "y", "et", "É"]) for _ in range(4)), None)
+              for k in range(30)]
+    out = lambda k: k is not None and zlib.crc32(str(k).encode()) % 4 == 2
+    want = brute_bayes([(t, x) for k, t, x in table if not out(k)], [t for _, t, _ in table])
+    got = language_id.identify(spark.createDataFrame(table, "doc_id long, text string, lang string"))
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got = sorted([(x["doc_id"], x["held_out"], x["lang_pred"], x["score"]) for x in got.collect()], key=key)
+    want = sorted([(k, out(k), *w) for (k, _, _), w in zip(table, want)], key=key)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-3, atol=1e-6)
+    assert len({x[2] for x in want}) == 5 and sum(x[1] for x in want) > 20
+
+
+def test_language_ties_and_a_label_named_und(spark, tmp_path):
+    """Labels of one distribution tie: the first by name; a label ``und`` does not drop its documents."""
+    rows = [(k, "one and the same text", x) for k, x in enumerate(["zz", "aa", "mm"] * 4) if not k % 4 == 2]
+    known = spark.createDataFrame([(k, "one and the same text", x) for k, x in enumerate(["zz", "aa", "mm"])],
+                                  "doc_id long, text string, lang string")
+    model = language_id.train(known)
+    asked = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(asked, model).collect()} == {"aa"}
+    named = spark.createDataFrame([(k, f"word number {k}", "und") for k in range(12)] + [(90, "", "und"), (91, None, "en")],
+                                  "doc_id long, text string, lang string")
+    kept = language_id.determined_rows(stored(spark, named)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(12))
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_held_out(spark):
     table, labels = (spark.read.parquet(f"{SF_MID}/{n}.parquet") for n in ("documents", "labels"))
