@@ -3,18 +3,19 @@
 For the distinct words of a batch, greedy longest match proposes tokens.  A
 sequence is the one that merging by rank gives exactly when every adjacent
 pair is what merging gives for the two tokens' characters alone, so the
-pairs of all words are checked together (unique pair codes against a table
-of pairs already judged; a new pair is merged once).  Only words with a
-failing pair are merged exactly.
+pairs of all words are checked together: their unique codes are searched in a
+sorted array of the pairs already judged, a new pair is merged once, and the
+new verdicts are inserted in order.  Only words with a failing pair are merged exactly.
 
 The vocabulary file is read once on the driver and broadcast: its size is that of
 the file, fixed for a tokenizer.  Words already encoded are remembered up to
 ``REMEMBER`` words, then the memory starts anew: the bound changes speed,
 never results.
 
-Character classes follow the ``regex`` module's Unicode tables; a code point
-that another library's older tables leave unassigned may be classed
-differently there.
+Letters and numbers are those of the ``regex`` module, without the code points
+that the tokenizers library's older tables leave unassigned: the library's
+regular expressions are asked once a worker which of them it knows, and its
+lower-casing for capitals that Python's tables do not know.
 
 Defined results: null counts as empty; an empty text has no tokens and
 decodes to an empty text.  A text of any length is encoded whole; one very
@@ -30,11 +31,15 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from fundflow.llm.text import pieces
 
@@ -51,6 +56,28 @@ def byte_characters() -> list[str]:
     return [c or chr(next(spare)) for c in out]
 
 
+def _every(pattern: str) -> list[str]:
+    """All characters that match."""
+    return regex.findall(pattern, "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+
+
+@lru_cache(1)
+def unassigned() -> str:
+    """Letters and numbers of ``regex`` that are neither to the tokenizers library, as ranges of a character class."""
+    candidates = "".join(_every(r"[\p{L}\p{N}]"))
+    rest = Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(candidates)
+    found = np.array([ord(c) for part, _ in rest for c in part], np.int64)
+    runs = np.split(found, np.flatnonzero(np.diff(found) > 1) + 1) if len(found) else []
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
+@lru_cache(1)
+def capitals() -> dict[int, str]:
+    """Small letters of the capitals that only the library's tables know, to translate by."""
+    new = [c for c in _every(r"\p{Lu}") if unicodedata.category(c) == "Cn"]
+    return {ord(c): small for c, small in zip(new, map(Lowercase().normalize_str, new)) if small != c}
+
+
 class WordBpe:
     """A word-end BPE tokenizer as a vocabulary file describes it."""
 
@@ -77,6 +104,12 @@ class WordBpe:
         self.longest = max(map(len, self.ending))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
+        self.capital = re.compile("[" + "".join(map(chr, capitals())) + "]").search if capitals() else lambda text: None
+        self.newer = re.compile(f"[{unassigned()}]").search if unassigned() else lambda text: None
+        self.newer_split = regex.compile(
+            "(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{unassigned()}]]")
+            .replace(r"[\p{L}]", rf"[\p{{L}}--[{unassigned()}]]")
+            .replace(r"[\p{N}]", rf"[\p{{N}}--[{unassigned()}]]")).findall if unassigned() else self.split
         # the same words where no character is one that the two modules class differently
         self.plain_split = re.compile(pattern.replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d")
                                       .replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)")).findall
@@ -86,7 +119,8 @@ class WordBpe:
         self.inner = [self.ids[c] for c in self.bytes]  # a byte's symbol within a word, and at its end
         self.last = [self.ids[c + WORD_END] for c in self.bytes]
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.judged = np.zeros(0, np.int64)  # codes of pairs, sorted
+        self.verdicts = np.zeros(0, bool)
         self.repaired = 0
 
     # ---- text to words
@@ -96,7 +130,12 @@ class WordBpe:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-cased by character: no final sigma
-        return (self.split if self.unplain(text) else self.plain_split)(text.lower())
+        text = text.lower()
+        if not self.unplain(text):
+            return self.plain_split(text)
+        if self.capital(text):
+            text = text.translate(capitals())
+        return (self.newer_split if self.newer(text) else self.split)(text)
 
     # ---- words to tokens
     def symbols(self, word: str) -> list[int]:
@@ -178,6 +217,23 @@ class WordBpe:
             chars[-1] = self.ids[second[-1] + WORD_END]
         return self.merge(chars) == [a, b]
 
+    def judge(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each pair of sorted distinct codes is compatible."""
+        at = np.searchsorted(self.judged, codes)
+        fresh = np.ones(len(codes), bool)
+        inner = at < len(self.judged)
+        fresh[inner] = self.judged[at[inner]] != codes[inner]
+        new = codes[fresh]
+        good = np.fromiter((self.compatible(c >> 20, c & 0xFFFFF) for c in new.tolist()), bool, len(new))
+        verdict = np.empty(len(codes), bool)
+        verdict[fresh], verdict[~fresh] = good, self.verdicts[at[~fresh]]
+        if len(self.judged) > 4 * REMEMBER:
+            self.judged, self.verdicts = new, good
+        elif len(new):
+            self.judged = np.insert(self.judged, at[fresh], new)
+            self.verdicts = np.insert(self.verdicts, at[fresh], good)
+        return verdict
+
     def learn(self, new: Iterable[str]) -> None:
         """Encode distinct words: propose, verify all adjacent pairs at once, repair."""
         new = list(new)
@@ -190,15 +246,7 @@ class WordBpe:
         inside = word[:-1] == word[1:]
         codes = ((flat[:-1] << 20) | flat[1:])[inside]
         distinct, at = np.unique(codes, return_inverse=True)
-        verdict = np.empty(len(distinct), bool)
-        for k, code in enumerate(distinct.tolist()):
-            good = self.pairs.get(code)
-            if good is None:
-                good = self.pairs[code] = self.compatible(code >> 20, code & 0xFFFFF)
-            verdict[k] = good
-        if len(self.pairs) > 4 * REMEMBER:
-            self.pairs = {}
-        failing = np.unique(word[:-1][inside][~verdict[at]]).tolist()
+        failing = np.unique(word[:-1][inside][~self.judge(distinct)[at]]).tolist()
         for k in failing:
             proposals[k] = self.merge(self.symbols(new[k]))
         self.repaired += len(failing)

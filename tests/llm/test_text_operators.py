@@ -465,6 +465,30 @@ def test_bpe_rows(docs):
     assert got == sorted(want, key=repr)
 
 
+def test_bpe_new_code_points():
+    """Letters and numbers that the library's tables do not know, and others beside them, are cut as it does."""
+    own, t, r = bpe.load(VOCABULARY), Tokenizer.from_file(VOCABULARY), random.Random(9)
+    every = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    new = [c for c in every if own.newer(chr(c))]
+    points = (r.sample(new, 3000) if len(new) > 3000 else new) + r.sample(every, 3000) + list(range(0x80, 0x3000))
+    texts = [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? {chr(c)}{chr(c)}" for c in points]
+    texts += [f"x{chr(a)}{chr(b)}Y{chr(b)}" for a, b in zip(points, reversed(points))]
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode_batch(texts) == want
+
+
+def test_bpe_judged_pairs(monkeypatch):
+    """Verdicts are the same whether a pair is new, known or forgotten."""
+    monkeypatch.setattr(bpe, "REMEMBER", 20)
+    own, r = bpe.load(VOCABULARY), random.Random(10)
+    ids = sorted(own.ranks)[:400]
+    for _ in range(30):
+        codes = np.unique([a << 20 | b for a, b in r.sample(ids, 25)]).astype(np.int64)
+        assert own.judge(codes).tolist() == [own.compatible(c >> 20, c & 0xFFFFF) for c in codes.tolist()]
+        assert (np.diff(own.judged) > 0).all() and len(own.judged) == len(own.verdicts) <= 105
+    assert own.judge(np.zeros(0, np.int64)).tolist() == []
+
+
 def test_bpe_empty(nothing):
     assert bpe.tokenise(nothing, VOCABULARY).collect() == []
 
